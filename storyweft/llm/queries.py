@@ -5,6 +5,7 @@ from __future__ import annotations
 from storyweft.llm.chat import op3_chat_formatting
 from storyweft.llm.language import op8_language_id
 from storyweft.llm.mixing import op9_mixing
+from storyweft.llm.toxicity import op2_toxicity
 
-QUERIES = {"op3_chat_formatting": op3_chat_formatting, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_chat_formatting": op3_chat_formatting, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing}
 ORACLE_SQL: dict[str, str] = {}
