@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from storyweft.llm.chat import op3_chat_formatting
 from storyweft.llm.language import op8_language_id
+from storyweft.llm.lines import op7_line_dedup
 from storyweft.llm.mixing import op9_mixing
+from storyweft.llm.packing import op6_best_fit_packing
 from storyweft.llm.toxicity import op2_toxicity
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_chat_formatting": op3_chat_formatting, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
+}
 ORACLE_SQL: dict[str, str] = {}
