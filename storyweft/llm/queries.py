@@ -7,9 +7,11 @@ from storyweft.llm.language import op8_language_id
 from storyweft.llm.lines import op7_line_dedup
 from storyweft.llm.mixing import op9_mixing
 from storyweft.llm.packing import op6_best_fit_packing
+from storyweft.llm.substrings import op1_suffix_array_dedup
 from storyweft.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
