@@ -8,6 +8,7 @@ from storyweft.llm.lines import op7_line_dedup
 from storyweft.llm.mixing import op9_mixing
 from storyweft.llm.packing import op6_best_fit_packing
 from storyweft.llm.substrings import op1_suffix_array_dedup
+from storyweft.llm.topk import OP10_SQL, op10_exact_top_k
 from storyweft.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_exact_top_k": OP10_SQL}
