@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from storyweft.llm.chat import op3_chat_formatting
+from storyweft.llm.jaccard import op5_ngram_jaccard
 from storyweft.llm.language import op8_language_id
 from storyweft.llm.lines import op7_line_dedup
 from storyweft.llm.mixing import op9_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
