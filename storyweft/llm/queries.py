@@ -6,6 +6,7 @@ from storyweft.llm.chat import op3_chat_formatting
 from storyweft.llm.jaccard import op5_ngram_jaccard
 from storyweft.llm.language import op8_language_id
 from storyweft.llm.lines import op7_line_dedup
+from storyweft.llm.media import op4_media_columns
 from storyweft.llm.mixing import op9_mixing
 from storyweft.llm.packing import op6_best_fit_packing
 from storyweft.llm.substrings import op1_suffix_array_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_media_columns": op4_media_columns,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
