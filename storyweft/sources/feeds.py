@@ -22,7 +22,7 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item", limit: int
     """The first `limit` entries of every feed file: feed, position, title, url, summary, published_at, broken."""
     rows = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(ITEM).load(path)
     rows = rows.select(F.input_file_name().alias("feed"), F.monotonically_increasing_id().alias("at"), "*")
-    out = rows.select("feed", "at", F.trim("title").alias("title"), F.trim("link").alias("url"), F.trim(F.coalesce("description", F.lit(""))).alias("summary"), F.coalesce(published(F.col("pubDate")), published(F.col("updated"))).alias("published_at"), F.col("_corrupt_record").isNotNull().alias("broken"))
+    out = rows.select("feed", "at", F.trim("title").alias("title"), F.trim("link").alias("url"), F.trim(F.coalesce("description", F.lit(""))).alias("summary"), F.coalesce(published(F.col("pubDate")), published(F.col("updated"))).alias("published_at"), (F.col("_corrupt_record").isNotNull() | (F.col("title").isNull() & F.col("link").isNull())).alias("broken"))
     from pyspark.sql import Window as W
 
     return out.withColumn("position", F.row_number().over(W.partitionBy("feed").orderBy("at"))).where(F.col("position") <= limit).drop("at")
