@@ -33,6 +33,11 @@ def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def _key(doc_id: Column) -> Column:
+    """The id as a text, so that a null id joins too."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def recurring_lines(docs: DataFrame, depth: int = 4, min_texts: int = 5, min_tokens: int = 3, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> lines(doc_id, h, line, leaf) and recurring(line, first_doc): one row per wording to drop."""
     work = shared_dir(docs.sparkSession)
@@ -63,8 +68,8 @@ def without_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     named = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
     plain = named.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     lines, recurring = recurring_lines(plain, **options)
-    drop = lines.join(recurring, "line").where("doc_id IS NULL OR doc_id <> first_doc").groupBy(F.col("doc_id").alias("d"), "h").agg(F.collect_set("line").alias("drop"))
-    out = named.withColumn("h", F.xxhash64("row.text")).withColumn("d", F.col("row.doc_id")).join(drop, ["d", "h"], "left")
+    drop = lines.join(recurring, "line").where("doc_id IS NULL OR doc_id <> first_doc").groupBy(_key(F.col("doc_id")).alias("d"), "h").agg(F.collect_set("line").alias("drop"))
+    out = named.withColumn("h", F.xxhash64("row.text")).withColumn("d", _key(F.col("row.doc_id"))).join(drop, ["d", "h"], "left")
     text = F.col("row.text")
     left = F.filter(F.zip_with(F.split(text, "\n", -1), _masked_lines(text), lambda a, b: F.when(~F.array_contains("drop", F.xxhash64(b)), a)), lambda x: x.isNotNull())
     out = out.select("row", F.when(F.col("drop").isNull(), F.split(text, "\n", -1)).otherwise(left).alias("left"))
