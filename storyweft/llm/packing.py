@@ -24,28 +24,70 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from storyweft.llm.common import saved, shared_dir, table
 
-TOKENIZER, CAPACITY, SALTS, CACHE = "word_bpe_49k.json", 2048, 64, 200_000
+TOKENIZER, CAPACITY, SALTS, CACHE = "word_bpe_49k.json", 2048, 64, 1_000_000
+#: ASCII marks that never join with letters; without the apostrophe and the signs of special tokens.
+MARKS = ",.;:!?$%&*#()\"-"
 ROUNDINGS = (0.2, 0.5, 1.0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """A text's ids: words between ASCII blanks are encoded once each, as no token of the vocabulary crosses a blank."""
+    """Ids of texts as little-endian 32-bit bytes.
+
+    No token of the vocabulary crosses an ASCII blank, so a word between blanks is encoded once.  New words of letters
+    (perhaps with final MARKS, which are split off as a word of their own) are encoded together: each gives one run of
+    tokens up to an end-of-word token, and if the runs are not as many as the words they are encoded one by one.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        known, parts = self.known, (text or "").replace("\n", " ").split(" ")
-        if len(known) > CACHE:
-            known.clear()
-        if new := [w for w in dict.fromkeys(parts) if w not in known]:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in parts]), "<u4")
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        plain = {w: s for w in new if (s := w.rstrip(MARKS)).isalpha()}
+        tails = {w[len(s) :] for w, s in plain.items()}
+        self._each([w for w in {*new, *tails} if w not in plain and w not in known])
+        words = [s for s in dict.fromkeys(plain.values()) if s not in known]
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.last[ids])[0] + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self._each(words)
+        for w, s in plain.items():
+            if len(w) > len(s):
+                known[w] = known[s] + known[w[len(s) :]]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*split).difference(self.known):
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def _portions(ids: list, texts: list, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield ids[at : k + 1], texts[at : k + 1]
+            at, size = k + 1, 0
+    if at < len(ids):
+        yield ids[at:], texts[at:]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
@@ -60,9 +102,12 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         encode = Encoder(path)
         for b in batches:
             rows = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text), np.zeros(1, "<u4")).astype("<u4")
-                rows += [(i, k, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity].tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
+            for some, texts in _portions(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                for i, raw in zip(some, encode(texts), strict=True):
+                    raw += b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
