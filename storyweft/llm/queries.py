@@ -8,6 +8,7 @@ from storyweft.llm.language import op8_language_id
 from storyweft.llm.lines import op7_line_dedup
 from storyweft.llm.media import op4_media_columns
 from storyweft.llm.mixing import op9_mixing
+from storyweft.llm.oracles import OP1_SQL, OP5_SQL, OP7_SQL
 from storyweft.llm.packing import op6_best_fit_packing
 from storyweft.llm.substrings import op1_suffix_array_dedup
 from storyweft.llm.topk import OP10_SQL, op10_exact_top_k
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLE_SQL = {"op10_exact_top_k": OP10_SQL}
+ORACLE_SQL = {"op1_suffix_array_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_exact_top_k": OP10_SQL}
