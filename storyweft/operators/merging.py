@@ -48,23 +48,45 @@ def df_idf(stories: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int = 60, max_df_ratio: float = 0.35, min_overlap: int = 1) -> DataFrame:
+def _newer() -> Column:
+    """Whether alias a comes before alias b by recency, then by id."""
+    return (F.col("a.ts") > F.col("b.ts")) | (F.col("a.ts").eqNullSafe(F.col("b.ts")) & (F.col("a.story_id") > F.col("b.story_id"))) | (F.col("a.ts").isNotNull() & F.col("b.ts").isNull())
+
+
+def lexical_pairs(stories: DataFrame, window_hours: float, least: float = 0.2) -> DataFrame:
+    """Pairs within the window whose titles are alike, for stories without usable signatures.
+
+    Titles with a Jaccard above 0 share a token (or are both empty), so an index of title tokens finds all of them.
+    """
+    t = stories.select("story_id", "ts", F.array_distinct(tokens_word(F.col("title"))).alias("t"))
+    post = t.select("story_id", "ts", F.size("t").alias("n"), F.explode(F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(F.col("t"))).alias("token"))
+    a, b = post.alias("a"), post.alias("b")
+    near = F.abs(hours_between(F.col("a.ts"), F.col("b.ts"))) <= max(1, window_hours)
+    both = a.join(b, (F.col("a.token") == F.col("b.token")) & near & _newer()).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b")).agg(F.count("*").alias("k"), F.max("a.n").alias("n"), F.max("b.n").alias("m"))
+    alike = F.when(F.col("n") + F.col("m") == 0, 1.0).otherwise(F.col("k") / (F.col("n") + F.col("m") - F.col("k")))
+    none = F.array().cast("array<string>")
+    return both.select("a", "b", alike.alias("weight"), F.lit(0).cast("long").alias("overlap"), none.alias("tokens"), F.lit(None).cast("long").alias("df_min")).where(F.col("weight") >= least)
+
+
+def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int = 60, max_df_ratio: float = 0.35, min_overlap: int = 1, fallback: bool = True) -> DataFrame:
     """stories(story_id, title, ts, signature) -> scored pairs (a, b), a being the more recent.
 
     Pairs come from an inverted index without the tokens that over max_df_ratio of the stories have; the largest weight
-    is taken before the time gate.
+    is taken before the time gate.  Where no token is in two stories' lists, and fallback is set, title pairs step in
+    (a look at the document frequencies decides).
     """
     share = min(1.0, max(0.01, max_df_ratio))
     n = stories.agg(F.count("*").alias("n"))
     rare = df_idf(stories).crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * share))).select("token", "df", "idf")
     post = stories.select("story_id", "ts", F.explode(F.array_distinct("signature")).alias("token")).join(rare, "token")
     a, b = post.alias("a"), post.alias("b")
-    newer = (F.col("a.ts") > F.col("b.ts")) | (F.col("a.ts").eqNullSafe(F.col("b.ts")) & (F.col("a.story_id") > F.col("b.story_id"))) | (F.col("a.ts").isNotNull() & F.col("b.ts").isNull())
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & newer).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & _newer()).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"))
     pairs = pairs.agg(F.sum("a.idf").alias("weight"), F.count("*").alias("overlap"), F.sort_array(F.collect_list("a.token")).alias("tokens"), F.min("a.df").alias("df_min"))
+    if fallback and rare.where("df > 1").isEmpty():
+        pairs = lexical_pairs(stories, window_hours)
     top = pairs.agg(F.max("weight").alias("top"))
     side = lambda x: stories.select(F.col("story_id").alias(x), F.col("title").alias(f"title_{x}"), F.col("ts").alias(f"ts_{x}"), F.col("signature").alias(f"sig_{x}"))
-    out = pairs.where(F.col("overlap") >= min_overlap).crossJoin(F.broadcast(top)).join(side("a"), "a").join(side("b"), "b")
+    out = pairs.where((F.size("tokens") == 0) | (F.col("overlap") >= min_overlap)).crossJoin(F.broadcast(top)).join(side("a"), "a").join(side("b"), "b")
     hours = F.coalesce(F.abs(hours_between(F.col("ts_a"), F.col("ts_b"))), F.lit(9999.0))
     jac = jaccard(tokens_word(F.col("title_a")), tokens_word(F.col("title_b")))
     raw = 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.20 * jac + 0.10 * F.greatest(F.lit(0.0), 1 - hours / window_hours)
