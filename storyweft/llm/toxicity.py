@@ -136,7 +136,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) ->
             clean = [not sent.value or w[f(t)].sum() + w[-1] < 0 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that any column name will do
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
