@@ -159,54 +159,45 @@ def prefix(n: int, k: int, percent: int = 75) -> int:
 
 
 def class_lists(answers: DataFrame, classes: DataFrame, percent: int = 75) -> DataFrame:
-    """node, n, tokens: the ordered tokens (8 bytes each) that other classes have too, df, for classes that can have a partner."""
+    """node, n, tokens, df: the ordered tokens that other classes have too, for classes that can have a partner."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                token = np.concatenate([_large(a["tokens"]) | (U(a["shard"]) << U(TOKEN_BITS)) for a in r["answers"]])
-                df = np.concatenate([np.frombuffer(a["df"], "<i4") for a in r["answers"]])
-                if r["n"] - len(token) < prefix(r["n"], 1, percent):
+            for node, n, answers in zip(b.column("node"), b.column("n"), b.column("answers"), strict=True):
+                n, answers = n.as_py(), answers.as_py()
+                token = np.concatenate([_large(a["tokens"]) | (U(a["shard"]) << U(TOKEN_BITS)) for a in answers])
+                df = np.concatenate([np.frombuffer(a["df"], "<i4") for a in answers])
+                if n - len(token) < prefix(n, 1, percent):
                     o = np.lexsort((token, df))
-                    out.append((r["node"], r["n"], token[o].tobytes(), df[o].tobytes()))
+                    out.append((node.as_py(), n, token[o].view(np.int64), df[o]))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "tokens", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "tokens", "df"])
 
     grouped = answers.groupBy("class").agg(F.collect_list(F.struct("shard", "tokens", "df")).alias("answers"))
-    return grouped.join(classes, "class").select("node", "n", "answers").mapInArrow(order, "node long, n long, tokens binary, df binary")
+    return grouped.join(classes, "class").select("node", "n", "answers").mapInArrow(order, "node long, n long, tokens array<long>, df array<int>")
 
 
 def prefix_tokens(lists: DataFrame, percent: int = 75) -> DataFrame:
-    """node, n, token, df, standard: the tokens of the prefixes with k = 2 that occur elsewhere; standard for those with k = 1."""
+    """node, n, most, token, df, standard: the tokens of the prefixes with k = 2 that occur elsewhere; standard for those with k = 1.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                token, df = np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["df"], "<i4")
-                single = r["n"] - len(token)
-                token, df = token[: prefix(r["n"], 2, percent) - single].view(np.int64), df[: prefix(r["n"], 2, percent) - single]
-                out.append((np.full(len(token), r["node"]), np.full(len(token), r["n"]), token, df, np.arange(len(token)) < prefix(r["n"], 1, percent) - single))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "n", "token", "df", "standard"])
-
-    return lists.mapInArrow(emit, "node long, n long, token long, df int, standard boolean")
+    most is how many tokens of the class others have: no partner shares more.
+    """
+    alone = F.col("n") - F.size("tokens")
+    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) - alone).cast("int")
+    cut = F.slice(F.arrays_zip("tokens", "df"), F.lit(1), reach + 2)
+    rows = lists.select("node", "n", F.size("tokens").alias("most"), reach.alias("reach"), F.posexplode(cut).alias("at", "t"))
+    return rows.select("node", "n", "most", F.col("t.tokens").alias("token"), F.col("t.df").alias("df"), (F.col("at") <= F.col("reach")).alias("standard"))
 
 
 def verified(pairs: DataFrame, lists: DataFrame, percent: int = 75) -> DataFrame:
-    """pairs(a, b) -> a, b, linked: whether 100 * intersection >= percent * union of their whole sets."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "na", "nb")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                ok.append(100 * both >= percent * (n + m - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+    """pairs(a, b) -> a, b, linked: whether 100 * intersection >= percent * union of their whole sets.
 
+    Tokens that no other class has cannot be shared, so the lists and the sizes say it all.
+    """
     side = lambda x: lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ta", "tb", "na", "nb").mapInArrow(count, "a long, b long, linked boolean")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (100 * both >= percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rare: int = 32, rounds: int = 3, shard_bytes: int = 16 << 20) -> DataFrame:
@@ -249,15 +240,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rare:
         if not settle(asked.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), f"round{k}"):
             break
     spans = F.min("component") < F.max("component")
-    tokens = labelled(postings.select("node", "n", "token", "df"))
+    tokens = labelled(postings.select("node", "n", "most", "token", "df"))
     tokens = saved(tokens.join(tokens.groupBy("token").agg(spans.alias("open")).where("open").select("token"), "token"), f"{work}/open")
-    single = tokens.where(F.col("df") <= rare).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "node", "n", "component")
+    single = tokens.where(F.col("df") <= rare).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "node", "n", "most", "component")
     pairs_of = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x AS k1, y AS k2))))")
-    double = tokens.where(F.col("df") > rare).groupBy("node", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("t")).select(F.explode(pairs_of).alias("k"), "node", "n", "component").select("k.k1", "k.k2", "node", "n", "component")
+    double = tokens.where(F.col("df") > rare).groupBy("node", "n", "most", "component").agg(F.sort_array(F.collect_list("token")).alias("t")).select(F.explode(pairs_of).alias("k"), "node", "n", "most", "component").select("k.k1", "k.k2", "node", "n", "most", "component")
     keys = single.unionByName(double)
     keys = saved(keys.join(keys.groupBy("k1", "k2").agg(spans.alias("open")).where("open").select("k1", "k2"), ["k1", "k2"]), f"{work}/keys")
-    a, b = keys.alias("a"), keys.alias("b")
-    met = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
+    a, b, shared = keys.alias("a"), keys.alias("b"), F.least("a.most", "b.most")
+    met = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (100 * shared >= percent * (F.col("a.n") + F.col("b.n") - shared)))
     settle(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rest")
     out = rows.join(classes.select("class", "node"), "class")
     if labels is not None:
