@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storyweft.llm.common import dropped, saved, shared_dir, table
 
-LEAST, GRAM, BLOCK = 50, 16, 8 << 20
+LEAST, GRAM, BLOCK = 50, 16, 3 << 20
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -174,9 +174,12 @@ def _scan(merged: set[int], keep: bool):
             at = np.concatenate([np.frombuffer(x, "<i4") for x in runs["at"]])
             known = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(d) // 8).astype(bool) for x, d in zip(runs["known"], runs["docs"], strict=True)])
             stays = np.concatenate([np.full(len(d) // 8, level == -1 or level in merged) for level, d in zip(runs["level"], runs["docs"], strict=True)])
-            order, _, several = _shared(key, doc)
+            order, first, several = _shared(key, doc)
             key, doc, at, known, stays = key[order], doc[order], at[order], known[order], stays[order]
+            start = np.nonzero(first)[0]
+            several |= np.logical_or.reduceat(known, start)[np.cumsum(first) - 1]  # a gram that was in several documents before
             new = several & ~known
+            stays &= ~several | first  # of such a gram one entry is enough from now on
             out += [(shard, -1, 1, i, None, None, p, None) for i, p in _by_doc(doc[new], at[new])]
             if keep:
                 out.append((shard, -1, 0, None, _six(key[stays]), doc[stays].astype("<i8").tobytes(), at[stays].astype("<i4").tobytes(), np.packbits((known | several)[stays]).tobytes()))
@@ -230,6 +233,18 @@ def _masks(doc: np.ndarray, h: np.ndarray, at: np.ndarray, mask: np.ndarray) ->
     return pd.DataFrame({"doc_id": doc[lo], "h": h[lo], "at": [x.tobytes() for x in np.split(at, cuts)][: len(lo)], "mask": [x.tobytes() for x in np.split(mask, cuts)][: len(lo)]})
 
 
+def _strings(ctx: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the strings of `least` bytes of each row, the last that starts in it first."""
+    with np.errstate(over="ignore"):
+        h, w = _mix(ctx.astype(np.uint64) + U(1), 0x9E3779B97F4A7C15, 32), 1
+        while 2 * w <= least:
+            h = _mix(h[:, :-w] * U(0xC2B2AE3D27D4EB4F) + h[:, w:], 0xD6E8FEB86659FD93, 31)
+            w *= 2
+        if rest := least - w:
+            h = _mix(h[:, : h.shape[1] - rest] * U(0xA0761D6478BD642F) + h[:, rest:], 0xE7037ED1A0B428DB, 29)
+    return h[:, ::-1].copy()
+
+
 def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least: int = LEAST) -> DataFrame:
     """docs(doc_id, h, z), candidates(doc, at) -> doc_id, h, at, mask: bit j of a mask says that the string that starts j bytes before at also starts in a smaller document."""
     back, wide = least - GRAM, 2 * least - GRAM
@@ -297,15 +312,7 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
                 unpack = zstandard.ZstdDecompressor().decompress
                 ctx = np.concatenate([np.frombuffer(unpack(x), np.uint8).reshape(-1, wide) for x in rows["bytes"]])
                 mask = np.zeros(len(doc), np.uint64)
-                with np.errstate(over="ignore"):
-                    h32 = ctx.astype(np.uint64)
-                    h32 = _mix(h32 + U(1), 0x9E3779B97F4A7C15, 32)
-                    w = 1
-                    while 2 * w <= least:
-                        h32 = _mix(h32[:, :-w] * U(0xC2B2AE3D27D4EB4F) + h32[:, w:], 0xD6E8FEB86659FD93, 31)
-                        w *= 2
-                    rest = least - w
-                    strings = _mix(h32[:, : h32.shape[1] - rest] * U(0xA0761D6478BD642F) + h32[:, rest:], 0xE7037ED1A0B428DB, 29)[:, ::-1] if rest else h32[:, ::-1]
+                strings = np.concatenate([_strings(ctx[k : k + 8192], least) for k in range(0, len(ctx), 8192)])
                 r, j = np.nonzero(valid)
                 value, of = strings[r, j], doc[r]
                 order, first, _ = _shared(value, of)
@@ -320,7 +327,23 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
     return asked.mapInArrow(contexts, CONTEXT).groupBy("shard").applyInPandas(verify, MASKS)
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard_bytes: int = 64 << 20) -> DataFrame:
+#: Size of the filter of document ids that is broadcast; where it fills up, it only lets more texts travel.
+FILTER_BITS = 1 << 23
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+
+
+def _filter_of(ids: DataFrame, name: str):
+    """A broadcast of FILTER_BITS bits; bit pmod(xxhash64(id), FILTER_BITS) is set for every id."""
+    x = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)) + 1
+    rows = ids.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        bits[4096 * (r["k"] - 1) : 4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard_bytes: int = 16 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends: the removed runs of bytes."""
     if not GRAM <= least - 1 <= GRAM + 62:
         raise ValueError("least must be between GRAM + 1 and GRAM + 63")
@@ -340,16 +363,31 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
     work = shared_dir(spark)
     firsts = saved(keyed.groupBy("h").agg(F.min("doc_id").alias("first")), f"{work}/firsts")
 
-    def packed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches_:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "h", "z"])
+    keyed = keyed.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+
+    def packed(bits):
+        def pack_texts(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack, there = zstandard.ZstdCompressor(level=3).compress, np.unpackbits(bits.value, bitorder="little")
+            for b in batches_:
+                b = b.filter(pa.array(there[b.column("bit").to_numpy()] == 1))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "h", "z"])
+
+        return keyed.mapInArrow(pack_texts, "doc_id long, h long, z binary")
 
-    z = keyed.mapInArrow(packed, "doc_id long, h long, z binary")
     asked = family.candidates().join(firsts.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
-    masks = saved(repeated_strings(z, asked, family.shards, least), f"{work}/masks")
+    asked = saved(asked, f"{work}/asked")
+    masks = saved(repeated_strings(packed(_filter_of(asked, "doc")), asked, 4 * family.shards, least), f"{work}/masks")
     masks = masks.groupBy("doc_id", "h").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
 
+    def whole(bits):
+        def digest(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            there = np.unpackbits(bits.value, bitorder="little")
+            for b in batches_:
+                b = b.filter(pa.array(there[b.column("bit").to_numpy()] == 0))
+                yield _batch([(None if i == NO_ID else i, len(t), 0, 0, hashlib.sha256(t).hexdigest(), [], []) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)], RESULT_SCHEMA)
+
+        return keyed.mapInArrow(digest, RESULT)
+
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches_:
@@ -372,11 +410,13 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
                 starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
                 kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
                 out.append((None if r["doc_id"] == NO_ID else r["doc_id"], len(text), int(covered.sum()), len(starts), hashlib.sha256(kept).hexdigest(), starts.tolist(), ends.tolist()))
-            yield _batch(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+            yield _batch(out, RESULT_SCHEMA)
 
     copied = keyed.select("doc_id", "h").join(firsts, "h").where("doc_id > first").select("doc_id", "h", "first").distinct()
-    removed = masks.join(copied, ["doc_id", "h"], "full_outer")
-    return z.join(removed, ["doc_id", "h"], "left").select("doc_id", "h", "z", "at", "mask", "first").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    removed = saved(masks.join(copied, ["doc_id", "h"], "full_outer"), f"{work}/removed")
+    bits = _filter_of(removed, "doc_id")
+    changed = packed(bits).join(removed, ["doc_id", "h"], "left").select("doc_id", "h", "z", "at", "mask", "first").mapInArrow(cut, RESULT)
+    return changed.unionByName(whole(bits))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
