@@ -52,16 +52,23 @@ def _ln_factorial(x: str) -> str:
     return f"IF({x} < 2, 0D, ({x} + 0.5D) * ln({x}) - {x} + 0.9189385332046727D + 1D / (12D * {x}) - 1D / (360D * {x} * {x} * {x}))"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with name bound to value, which is written and evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _hypergeometric(u: str, total: str, own: str, drawn: str) -> str:
     """How many of the drawn come from own of total: inversion of the distribution function, within 12 deviations of the mean."""
-    mean = f"({drawn} * CAST({own} AS DOUBLE) / greatest({total}, 1))"
-    dev = f"sqrt({mean} * (1D - {own} / CAST(greatest({total}, 1) AS DOUBLE)) * ({total} - {drawn}) / CAST(greatest({total} - 1, 1) AS DOUBLE))"
-    low, high = f"greatest(0L, {drawn} + {own} - {total}, CAST({mean} - 12 * {dev} - 2 AS BIGINT))", f"least({own}, {drawn}, CAST({mean} + 12 * {dev} + 2 AS BIGINT))"
-    log_p = lambda x: f"(0D - ({_ln_factorial(x)}) - ({_ln_factorial(f'({own} - {x})')}) - ({_ln_factorial(f'({drawn} - {x})')}) - ({_ln_factorial(f'({total} - {own} - {drawn} + {x})')}))"
-    mode = f"least({high}, greatest({low}, CAST({mean} AS BIGINT)))"
-    p = f"transform(sequence({low}, {high}), x -> exp({log_p('x')} - {log_p(mode)}))"
-    pick = f"aggregate({p}, named_struct('c', 0D, 'n', 0L, 'p', {p}), (a, x) -> named_struct('c', a.c + x, 'n', a.n + IF(a.c + x < {u} * aggregate(a.p, 0D, (b, y) -> b + y), 1L, 0L), 'p', a.p), a -> a.n)"
-    return f"least({high}, {low} + {pick})"
+    log_p = lambda x: f"(0D - {_ln_factorial(x)} - {_ln_factorial(f'(i.own - {x})')} - {_ln_factorial(f'(i.drawn - {x})')} - {_ln_factorial(f'(i.total - i.own - i.drawn + {x})')})"
+    chances = "transform(sequence(r.low, r.high), x -> exp(" + log_p("x") + " - r.top))"
+    pick = "r.low + aggregate(c.p, named_struct('sum', 0D, 'n', 0L), (s, x) -> named_struct('sum', s.sum + x, 'n', s.n + IF(s.sum + x < i.u * c.all, 1L, 0L)), s -> s.n)"
+    body = _let("c", "named_struct('p', p, 'all', aggregate(p, 0D, (s, x) -> s + x))", f"least(r.high, {pick})")
+    body = _let("p", chances, body)
+    body = _let("r", "named_struct('low', b.low, 'high', b.high, 'top', " + log_p("b.mode") + ")", body)
+    body = _let("b", "named_struct('low', e.low, 'high', e.high, 'mode', least(e.high, greatest(e.low, CAST(m.mean AS BIGINT))))", body)
+    body = _let("e", "named_struct('low', greatest(0L, i.drawn + i.own - i.total, CAST(m.mean - m.reach AS BIGINT)), 'high', least(i.own, i.drawn, CAST(m.mean + m.reach AS BIGINT)))", body)
+    body = _let("m", "named_struct('mean', i.drawn * i.share, 'reach', 2D + 12D * sqrt(i.drawn * i.share * (1D - i.share) * (i.total - i.drawn) / greatest(i.total - 1, 1L)))", body)
+    return _let("i", f"named_struct('u', {u}, 'total', {total}, 'own', {own}, 'drawn', {drawn}, 'share', CAST({own} AS DOUBLE) / greatest({total}, 1L))", body)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -74,15 +81,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "units"))).alias("q"))
     names = nodes.select(F.posexplode("q").alias("i", "s")).select("i", F.col("s.sid").alias("sid"))
     nodes = nodes.selectExpr("1L AS node", "transform(q, s -> s.units) AS q")
-    draw = _hypergeometric(_uniform(str(seed), "node", "i"), "a.total", "a.own", "a.room")
+    draw = _hypergeometric(_uniform(str(seed), "node", "k"), "a.total", "q[k]", "a.room")
     for _ in range(shards.bit_length() - 1):
-        nodes = nodes.selectExpr("node", "q", "aggregate(q, 0L, (s, x) -> s + x) AS n").selectExpr(
+        nodes = nodes.where("size(q) > 0").selectExpr("node", "q", "aggregate(q, 0L, (s, x) -> s + x) AS n").selectExpr(
             "node", "q",
-            f"""aggregate(sequence(0, size(q) - 1), named_struct('total', n, 'room', n div 2, 'own', 0L, 'left', CAST(array() AS ARRAY<BIGINT>)),
-                (s, i) -> transform(array(named_struct('total', s.total, 'room', s.room, 'own', q[i], 'left', s.left)), a -> transform(array({draw}), d ->
-                  named_struct('total', a.total - a.own, 'room', a.room - d, 'own', 0L, 'left', concat(a.left, array(d))))[0])[0], s -> s.left) AS l""",
+            f"""aggregate(sequence(0, size(q) - 1), named_struct('total', n, 'room', n div 2, 'left', CAST(array() AS ARRAY<BIGINT>)),
+                (a, k) -> transform(array({draw}), d -> named_struct('total', a.total - q[k], 'room', a.room - d, 'left', concat(a.left, array(d))))[0], a -> a.left) AS l""",
         )
-        nodes = nodes.where("size(q) > 0").selectExpr("node", "explode(array(named_struct('node', 2 * node, 'q', l), named_struct('node', 2 * node + 1, 'q', zip_with(q, l, (x, y) -> x - y)))) AS k").selectExpr("k.node AS node", "k.q AS q")
+        nodes = nodes.selectExpr("node", "explode(array(named_struct('node', 2 * node, 'q', l), named_struct('node', 2 * node + 1, 'q', zip_with(q, l, (x, y) -> x - y)))) AS k").selectExpr("k.node AS node", "k.q AS q")
     leaves = nodes.select("node", F.posexplode("q").alias("i", "units"))
     ends = leaves.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("node", "units"))).alias("u"))
     ends = ends.selectExpr("i", "transform(sequence(1, size(u)), k -> aggregate(slice(u, 1, k), 0L, (a, x) -> a + x.units)) AS ends")
@@ -126,7 +132,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     number = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.col("source").asc_nulls_last()))
     drawn = mix(docs, **options).select("doc_id", "text_hash", "source", "size", "draws").withColumn("copy", number).drop("source")
-    own = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"), F.col("row.source").alias("source")).withColumn("copy", number).drop("source")
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"), F.col("row.source").alias("source")).withColumn("copy", number).drop("source")
     out = own.alias("l").join(drawn.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")) & (F.col("l.copy") == F.col("r.copy")))
     out = out.select("row", F.col("l.doc_id").alias("doc_id"), "size", F.explode("draws").alias("draw"))
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), "")
