@@ -11,8 +11,9 @@ are compared there, each against the smallest doc_id that holds it.  What is lef
 text is.  Texts travel as zstd-compressed bytes.
 
 Hot strings: within one block of texts a gram (or the bytes around it) that several documents share is settled on the
-spot, and only its smallest document goes on, so a shard holds one entry per block and gram.  Exact copies of a text
-are settled by their hash and never verified.  Shards grow in number with the text.
+spot, and only its smallest document goes on, so a shard holds one entry per block and gram; its further positions
+with equal bytes around them take that entry's result.  Exact copies of a text are settled by their hash and never
+verified.  Shards grow in number with the text.
 
 Defined cases: null texts are empty; a null doc_id counts as larger than any; texts under `least` bytes lose nothing;
 strings that repeat only within one doc_id stay, also where rows repeat it; an empty table gives no rows; columns other
@@ -220,8 +221,10 @@ class SuffixIndexFamily:
         return self._rows().where("kind = 1").groupBy("doc").agg(F.collect_list("at").alias("at"))
 
 
-CONTEXT = "shard int, kind int, docs binary, hs binary, at binary, bounds binary, bytes binary"
-CONTEXT_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("hs", pa.binary()), ("at", pa.binary()), ("bounds", pa.binary()), ("bytes", pa.binary())])
+CONTEXT = "shard int, kind int, docs binary, hs binary, at binary, bounds binary, bytes binary, twins binary"
+CONTEXT_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("hs", pa.binary()), ("at", pa.binary()), ("bounds", pa.binary()), ("bytes", pa.binary()), ("twins", pa.binary())])
+#: A further position of the smallest document with the bytes of entry `of`, whose mask it shares.
+TWIN = np.dtype([("h", "<i8"), ("at", "<i4"), ("of", "<i4")])
 MASKS = "doc_id long, h long, at binary, mask binary"
 
 
@@ -245,8 +248,9 @@ def _strings(ctx: np.ndarray, least: int) -> np.ndarray:
     return h[:, ::-1].copy()
 
 
-def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least: int = LEAST) -> DataFrame:
-    """docs(doc_id, h, z), candidates(doc, at) -> doc_id, h, at, mask: bit j of a mask says that the string that starts j bytes before at also starts in a smaller document."""
+def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least: int = LEAST, flush: int = 1 << 16) -> DataFrame:
+    """docs(doc_id, h, z), candidates(doc, at) -> doc_id, h, at, mask: bit j of a mask says that the string that starts j bytes before at also starts in a smaller document.  Positions with equal bytes are
+    thinned within `flush` entries."""
     back, wide = least - GRAM, 2 * least - GRAM
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +272,22 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
             least_doc = d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
             settled = order[d > least_doc]
             kept = order[first]
-            kept = kept[np.lexsort((at[kept], doc[kept], shard[kept]))]
+            turn = np.lexsort((at[kept], doc[kept], shard[kept]))
+            again = (d == least_doc) & ~first
+            twins = np.zeros(again.sum(), TWIN)
+            twins["h"], twins["at"], twins["of"] = h[order[again]], at[order[again]], np.argsort(turn)[np.cumsum(first)[again] - 1]
+            twins = twins[np.argsort(twins["of"], kind="stable")]
+            kept = kept[turn]
             pack = zstandard.ZstdCompressor(level=3).compress
             out = []
             for kind, chosen in ((0, kept), (1, settled)):
-                cuts = np.nonzero(shard[chosen][1:] != shard[chosen][:-1])[0] + 1 if kind == 0 else []
+                cuts, lo = np.nonzero(shard[chosen][1:] != shard[chosen][:-1])[0] + 1 if kind == 0 else [], 0
                 for part in np.split(chosen, cuts) if len(chosen) else []:
                     bounds = np.stack([lead[part], size[part]], 1).astype(np.uint8)
-                    out.append((int(shard[part[0]]), kind, doc[part].astype("<i8").tobytes(), h[part].astype("<i8").tobytes(), at[part].astype("<i4").tobytes(), bounds.tobytes(), b"" if kind else pack(np.ascontiguousarray(ctx[part]).tobytes())))
+                    mine = twins[slice(*np.searchsorted(twins["of"], [lo, lo + len(part)]))].copy() if kind == 0 else twins[:0]
+                    mine["of"] -= lo
+                    lo += len(part)
+                    out.append((int(shard[part[0]]), kind, doc[part].astype("<i8").tobytes(), h[part].astype("<i8").tobytes(), at[part].astype("<i4").tobytes(), bounds.tobytes(), b"" if kind else pack(np.ascontiguousarray(ctx[part]).tobytes()), mine.tobytes()))
             return _batch(out, CONTEXT_SCHEMA)
 
         rows, n = [], 0
@@ -287,12 +299,12 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
                 if not len(at) or len(text) < least:
                     continue
                 padded = np.concatenate([np.zeros(back, np.uint8), text, np.zeros(wide, np.uint8)])
-                for k in range(0, len(at), 1 << 16):
-                    a = at[k : k + (1 << 16)]
+                for k in range(0, len(at), flush):
+                    a = at[k : k + flush]
                     lead, size = np.minimum(a, back), np.minimum(len(text) - a, least)
                     rows.append((np.full(len(a), r["doc_id"], np.int64), np.full(len(a), r["h"], np.int64), a, lead, size, padded[a[:, None] + np.arange(wide)]))
                     n += len(a)
-                    if n >= 1 << 16:
+                    if n >= flush:
                         yield emit(rows)
                         rows, n = [], 0
         if rows:
@@ -319,6 +331,11 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
                 least_doc = of[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else of
                 hit = order[of[order] > least_doc]
                 np.bitwise_or.at(mask, r[hit], U(1) << j[hit].astype(np.uint64))
+                twins = [np.frombuffer(x, TWIN) for x in rows["twins"]]
+                sizes = np.array([len(x) // 8 for x in rows["docs"]])
+                of = np.concatenate([t["of"] + lo for t, lo in zip(twins, np.cumsum(sizes) - sizes, strict=True)])
+                twins = np.concatenate(twins)
+                doc, h, at, mask = np.append(doc, doc[of]), np.append(h, twins["h"]), np.append(at, twins["at"]), np.append(mask, mask[of])
             some = (mask & bits) != 0
             done.append(_masks(doc[some], h[some], at[some], mask[some]))
         return pd.concat(done) if done else pd.DataFrame({"doc_id": [], "h": [], "at": [], "mask": []})
@@ -343,7 +360,7 @@ def _filter_of(ids: DataFrame, name: str):
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard_bytes: int = 16 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard_bytes: int = 16 << 20, flush: int = 1 << 16) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends: the removed runs of bytes."""
     if not GRAM <= least - 1 <= GRAM + 62:
         raise ValueError("least must be between GRAM + 1 and GRAM + 63")
@@ -376,7 +393,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
 
     asked = family.candidates().join(firsts.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
     asked = saved(asked, f"{work}/asked")
-    masks = saved(repeated_strings(packed(_filter_of(asked, "doc")), asked, 4 * family.shards, least), f"{work}/masks")
+    masks = saved(repeated_strings(packed(_filter_of(asked, "doc")), asked, 4 * family.shards, least, flush), f"{work}/masks")
     masks = masks.groupBy("doc_id", "h").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
 
     def whole(bits):

@@ -20,6 +20,15 @@ def test_suffix_arrays_equal_brute_force(spark, batches):
     assert got == cases.removed(rows)
 
 
+@pytest.mark.parametrize("flush", [1, 7, 1 << 16])
+def test_a_document_that_repeats_a_passage_loses_every_occurrence(spark, flush):
+    passage, other = ("".join(map(chr, np.random.default_rng(k).integers(97, 123, 300))) for k in (1, 2))
+    rows = [(1, "owner " + passage + other), *[(k, f"{k}" * k) for k in range(2, 6)], (7, f"x {passage} y {passage} z {passage} {other}"), (7, f"w {passage}{passage}"), (8, "a" * 400), (9, "b " + "a" * 900), (10, passage * 3)]
+    docs = cases.documents(spark, rows).repartition(4, F.col("text"))
+    got = rows_of(substrings.substring_dedup(docs, flush=flush), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == cases.removed(rows)
+
+
 def test_suffix_levels_merge_geometrically(spark):
     family = substrings.SuffixIndexFamily(spark, 4)
     for k in range(4):
