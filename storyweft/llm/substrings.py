@@ -1,14 +1,15 @@
 """Suffix-array dedup of long repeated byte strings with a logarithmic family of indexes.
 
 Suffixes are sampled so that every string of `least` bytes holds a sampled position that depends on its bytes alone
-(the smallest hash among its grams of `GRAM` bytes).  The suffixes of a batch are dealt to shards by their leading gram
-and sorted there: a sharded, sparse suffix array whose entries are (gram, document, position).  A new batch's arrays
-are merge-scanned with those of every existing level, and levels of equal rank are merged with it into the next rank in
-the same pass.  Entries whose gram occurs in several documents are candidates.
+(the smallest hash among its grams of `GRAM` bytes).  The samples of a batch are dealt to shards by the 48-bit hash of
+their leading gram and sorted there by (hash, document): an inverted index of hashed grams with the levels of a suffix
+array family, in which no suffix is compared.  A new batch's entries are merge-scanned with those of every existing
+level, and levels of equal rank are merged with it into the next rank in the same pass.  Entries whose gram occurs in
+several documents are candidates.
 
-Candidates are then verified by content: the `least`-byte strings around a candidate go to the shard of its gram and
-are compared there, each against the smallest doc_id that holds it.  What is left of a document is computed where its
-text is.  Texts travel as zstd-compressed bytes.
+Candidates are then verified: the `least`-byte strings around a candidate go to the shard of its gram and are compared
+there by 64-bit hashes, each against the smallest doc_id that holds it.  What is left of a document is computed where
+its text is.  Texts travel as zstd-compressed bytes.
 
 Hot strings: within one block of texts a gram (or the bytes around it) that several documents share is settled on the
 spot, and only its smallest document goes on, so a shard holds one entry per block and gram; its further positions
@@ -190,7 +191,7 @@ def _scan(merged: set[int], keep: bool):
 
 
 class SuffixIndexFamily:
-    """Levels of suffix arrays; level r holds 2**r batches.  add() indexes a batch and keeps its candidates."""
+    """Levels of sampled suffixes by hashed gram; level r holds 2**r batches.  add() indexes a batch and keeps its candidates."""
 
     def __init__(self, spark: SparkSession, shards: int, least: int = LEAST) -> None:
         self.spark, self.shards, self.least, self.work = spark, shards, least, f"{shared_dir(spark)}/family"
