@@ -1,93 +1,142 @@
 """Best-fit packing of token pieces by length patterns fitted with non-negative least squares.
 
-Lengths are counted in a histogram of at most `capacity` bins, which is all that the driver sees.  Patterns of one to
-three lengths that fill a sequence exactly are enumerated (thinned by a stride where there are far more of them than
-pieces); their repeat counts are fitted to the histogram by multiplicative updates, which keep them non-negative; the
-counts are rounded and taken in order of size while the histogram lasts; what is left is packed by best fit decreasing
-on the histogram.  The roundings in `ROUNDINGS` are tried, and the plan with the fewest sequences is used.  The plan is
-a list of runs, bounded by the number of patterns and bins, not by the data; every piece finds its sequence through its
-rank among the pieces of its length, which is counted in salted parts so that a common length is never in one task.
-
-Defined cases: a null or empty text is the closing token alone; repeated rows are pieces of their own; an empty table
-gives no rows; columns other than doc_id and text are ignored.
+Lengths are counted in a histogram of at most `capacity` bins, which is all that the driver sees.  All patterns of one to
+three lengths that fill a sequence exactly are enumerated (their number is bounded by the capacity); their repeat counts
+are fitted to the histogram by multiplicative updates, which keep them non-negative; the counts are rounded and taken in
+order of size while the histogram lasts; what is left is packed by best fit decreasing on the histogram.  The roundings
+in `ROUNDINGS` are tried, one of which uses no pattern, and the plan with the fewest sequences is used.  The plan is a
+list of runs, bounded by the number of patterns and bins, not by the data; every piece finds its sequence through its
+rank among the pieces of its length, which is counted in parts.  Of n pieces of a length there are some sqrt(n) / 4 parts,
+so that neither the pieces of a part nor the parts of a common length are many in one task.
+
+Defined cases: a null or empty text is the closing token alone; a null doc_id is kept; a very long text is cut into
+pieces of `capacity` tokens; ties of rank go by doc_id, piece and checksum; repeated rows are pieces of their own; an
+empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from storyweft.llm.common import saved, shared_dir, table
 
-TOKENIZER, CAPACITY, SALTS, CACHE = "word_bpe_49k.json", 2048, 64, 1_000_000
+TOKENIZER, CAPACITY = "word_bpe_49k.json", 2048
+#: Words that a worker remembers, and bytes of text that it splits at once.
+CACHE, PORTION = 300_000, 2 << 20
 #: ASCII marks that never join with letters; without the apostrophe and the signs of special tokens.
 MARKS = ",.;:!?$%&*#()\"-"
-ROUNDINGS = (0.2, 0.5, 1.0)
+#: Letters that are their own normal form and whose lower case is one letter.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº")
+#: The least fitted count of a pattern that is rounded up and used; with infinity there is none.
+ROUNDINGS = (0.2, 0.5, 1.0, float("inf"))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts, as one array with the bounds of each text.
 
-    No token of the vocabulary crosses an ASCII blank, so a word between blanks is encoded once.  New words of letters
-    (perhaps with final MARKS, which are split off as a word of their own) are encoded together: each gives one run of
-    tokens up to an end-of-word token, and if the runs are not as many as the words they are encoded one by one.
+    No token of the vocabulary crosses an ASCII blank, so texts are split there, and a batch's different words are
+    looked up or encoded once; the ids of a text are then gathered.  New words of Latin letters (perhaps with final
+    MARKS, which are a word of their own) need no normaliser but lower case and are encoded together: each gives one run
+    of tokens up to an end-of-word token.  If the runs are not as many as the words, and for any other word, the whole
+    tokenizer is asked word by word.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers as pre
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
         self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
-
-    def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        plain = {w: s for w in new if (s := w.rstrip(MARKS)).isalpha()}
-        tails = {w[len(s) :] for w, s in plain.items()}
-        self._each([w for w in {*new, *tails} if w not in plain and w not in known])
-        words = [s for s in dict.fromkeys(plain.values()) if s not in known]
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.nonzero(self.last[ids])[0] + 1
-            if len(ends) == len(words) and ends[-1] == len(ids):
-                raw, ends = ids.tobytes(), (4 * ends).tolist()
-                known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:
-                self._each(words)
-        for w, s in plain.items():
-            if len(w) > len(s):
-                known[w] = known[s] + known[w[len(s) :]]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.at, self.n = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, words: pa.StringArray, ids: np.ndarray, n: np.ndarray) -> None:
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
+        self.n, self.ids = np.append(self.n, n), np.append(self.ids, ids)
+        self.known = pa.concat_arrays([self.known, words])
+
+    def _each(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+
+    def _together(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.nonzero(self.last[ids])[0] + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) and ends[-1] == len(ids) else self._each(words)
+
+    def _slots(self, words: pa.StringArray, learn: bool = False) -> np.ndarray:
+        """Where words are known; those that are not are learned first, or have -1."""
+        slot = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy().astype(np.int64)
+        if learn and len(new := np.nonzero(slot < 0)[0]):
+            slot[new] = len(self.known) + np.arange(len(new))
+            self._learn(words.take(pa.array(new)))
+        return slot
+
+    def _learn(self, new: pa.StringArray) -> None:
+        """Adds new words in their order."""
+        stems, tails = pc.utf8_lower(pc.utf8_rtrim(new, MARKS)), pc.utf8_ltrim(new, LETTERS)
+        plain = pc.and_(pc.match_substring_regex(stems, f"^[{LETTERS}]+$"), pc.equal(pc.add(pc.utf8_length(stems), pc.utf8_length(tails)), pc.utf8_length(new)))
+        stems, tails, odd = stems.filter(plain).dictionary_encode(), tails.filter(plain).dictionary_encode(), new.filter(pc.invert(plain))
+        other = Encoder.__new__(Encoder)  # parts that are no words of the text themselves are kept for this call only
+        other.__dict__ |= self.__dict__
+        is_new = other._slots(stems.dictionary) < 0
+        fresh = stems.dictionary.filter(pa.array(is_new))
+        for k in range(0, len(fresh), 20_000):
+            other._add(fresh.slice(k, 20_000), *other._together(fresh.slice(k, 20_000)))
+        rest = pa.concat_arrays([tails.dictionary, odd])
+        first = len(other.known)
+        other._add(rest, *other._each(rest))
+        plain = plain.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(new), 2), np.int64)  # a word is a stem and a tail, or an odd word alone
+        parts[plain, 0], parts[plain, 1] = other._slots(stems.dictionary)[stems.indices.to_numpy()], first + tails.indices.to_numpy()
+        parts[~plain, 0] = first + len(tails.dictionary) + np.arange(len(odd))
+        n = other.n[parts]
+        n[~plain, 1] = 0
+        self._add(new, gathered(other.ids, other.at[parts].ravel(), n.ravel()), n.sum(1))
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of text k are ids[bounds[k] : bounds[k + 1]]."""
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
         if len(self.known) > CACHE:
-            self.known.clear()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*split).difference(self.known):
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self._forget()
+        slot = self._slots(coded.dictionary, True)[coded.indices.to_numpy()]
+        n = self.n[slot]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return gathered(self.ids, self.at[slot], n), ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after another."""
+    return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
-def _portions(ids: list, texts: list, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield ids[at : k + 1], texts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(ids):
-        yield ids[at:], texts[at:]
+def _portions(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about PORTION bytes of text (a longer text alone)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(size):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + PORTION, "right")))
+        yield at, end
+        at = end
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
@@ -101,20 +150,22 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
             path = public_tokenizers.path(path)
         encode = Encoder(path)
         for b in batches:
-            rows = []
-            for some, texts in _portions(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for i, raw in zip(some, encode(texts), strict=True):
-                    raw += b"\0\0\0\0"
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+            doc, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for lo, hi in _portions(texts):
+                ids, bounds = encode(texts.slice(lo, hi - lo))
+                rows = []
+                for k in range(hi - lo):
+                    raw = ids[bounds[k] : bounds[k + 1]].tobytes() + b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at : at + 4 * capacity]
-                        rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((doc[lo + k], piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
-def patterns(hist: np.ndarray, most: int) -> np.ndarray:
+def patterns(hist: np.ndarray) -> np.ndarray:
     """Rows (a, b, c) of lengths in hist with a <= b <= c and a + b + c = capacity, where 0 stands for no document."""
     capacity = len(hist) - 1
     there = hist > 0
@@ -126,13 +177,10 @@ def patterns(hist: np.ndarray, most: int) -> np.ndarray:
         b = np.arange(a, (capacity - a) // 2 + 1)
         b = b[there[b] & there[capacity - a - b]]
         found.append(np.stack([np.full(len(b), a), b, capacity - a - b], 1))
-    rows = np.concatenate(found) if found else np.zeros((0, 3), int)
-    if (stride := -(-len(rows) // max(1, most))) > 1:
-        rows = rows[(rows[:, 0] * 31 + rows[:, 1] * 17) % stride == 0]
-    return rows
+    return np.concatenate(found) if found else np.zeros((0, 3), int)
 
 
-def fit_counts(rows: np.ndarray, hist: np.ndarray, rounds: int = 200) -> np.ndarray:
+def fit_counts(rows: np.ndarray, hist: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Non-negative repeat counts of the patterns that minimise the squared error to hist, by multiplicative updates."""
     want, size = hist.astype(float), len(hist)
     want[0] = 0
@@ -150,25 +198,26 @@ def fit_counts(rows: np.ndarray, hist: np.ndarray, rounds: int = 200) -> np.ndar
     return x
 
 
-def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Groups (lengths, repeats) that use up hist[length], each within the capacity len(hist) - 1."""
-    total = int(hist.sum())
-    rows = patterns(hist, max(2000, min(60_000, total // 10)))
+def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int, bool]]:
+    """Groups (lengths, repeats, fitted) that use up hist[length], each within the capacity len(hist) - 1.
+
+    Of the plans with rounded patterns and the one without any, the first with the fewest sequences.
+    """
+    rows = patterns(hist)
     x = fit_counts(rows, hist)
-    best: list[tuple[tuple[int, ...], int]] | None = None
+    order = np.argsort(-x, kind="stable")
+    best: list[tuple[tuple[int, ...], int, bool]] | None = None
     for least in ROUNDINGS:
-        left, groups = hist.astype(np.int64).copy(), []
-        for k in np.argsort(-x, kind="stable"):
-            if x[k] < least:
-                break
-            lengths = tuple(int(v) for v in rows[k] if v)
-            n = min(max(1, int(x[k] + 0.5)), *(int(left[v]) // lengths.count(v) for v in lengths))
+        left, groups = hist.astype(np.int64).tolist(), []
+        for k in order[x[order] >= least]:
+            lengths = tuple(v for v in rows[k].tolist() if v)
+            n = min(max(1, int(x[k] + 0.5)), *(left[v] // lengths.count(v) for v in lengths))
             if n > 0:
-                groups.append((lengths, n))
+                groups.append((lengths, n, True))
                 for v in lengths:
                     left[v] -= n
-        groups += best_fit(left)
-        if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
+        groups += [(g, n, False) for g, n in best_fit(np.array(left, np.int64))]
+        if best is None or sum(g[1] for g in groups) < sum(g[1] for g in best):
             best = groups
     return best or []
 
@@ -197,45 +246,48 @@ def best_fit(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(tuple(g), n) for groups in free for g, n in groups]
 
 
-def runs_of(groups: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
+def runs_of(groups: list[tuple[tuple[int, ...], int, bool]]) -> dict[str, np.ndarray]:
     """For each length, in order of rank: from which rank on which sequences hold it, and where."""
     rows, base = [], 0
-    for lengths, n in groups:
+    for lengths, n, fitted in groups:
         at = 0
         for length in lengths:
-            rows.append((length, n, base, at))
+            rows.append((length, n, base, at, fitted))
             at += length
         base += n
-    a = np.array(rows, np.int64).reshape(-1, 4)
+    a = np.array(rows, np.int64).reshape(-1, 5)
     a = a[np.argsort(a[:, 0], kind="stable")]
     ends = np.cumsum(a[:, 1])
     first = np.searchsorted(a[:, 0], a[:, 0], "left")
     starts = ends - a[:, 1]
-    return {"key": a[:, 0] << 44 | starts - starts[first] if len(a) else a[:, 0], "rank": starts - starts[first] if len(a) else a[:, 0], "sequence": a[:, 2], "offset": a[:, 3]}
+    rank = starts - starts[first] if len(a) else a[:, 0]
+    return {"key": a[:, 0] << 44 | rank, "rank": rank, "sequence": a[:, 2], "offset": a[:, 3], "fitted": a[:, 4] == 1}
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with doc_id, piece and length) and for each the sequence_id and offset."""
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    parts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    """pieces (with doc_id, piece and length) and for each the sequence_id, the offset and whether a fitted pattern placed it."""
+    spark = pieces.sparkSession
     hist = np.zeros(capacity + 1, np.int64)
-    for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         hist[r["length"]] = r["n"]
-    sent = pieces.sparkSession.sparkContext.broadcast(runs_of(plan(hist)))
+    sent = spark.sparkContext.broadcast(runs_of(plan(hist)))
+    salts = spark.createDataFrame([(k, math.ceil(math.sqrt(n) / 4)) for k, n in enumerate(hist.tolist()) if n], "length long, salts int")
+    names = pieces.columns
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")).cast("int"))
+    parts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     parts = parts.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(parts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    names = [c for c in pieces.columns if c != "salt"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = sent.value
         for b in batches:
             rank, length = b.column("rank").to_numpy(), b.column("length").to_numpy()
             k = np.searchsorted(runs["key"], length << 44 | rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(runs["sequence"][k] + rank - runs["rank"][k]), pa.array(runs["offset"][k])], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(runs["sequence"][k] + rank - runs["rank"][k]), pa.array(runs["offset"][k]), pa.array(runs["fitted"][k])], [*names, "sequence_id", "offset", "fitted"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*names).dtypes)
-    return ranked.select(*names, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long, fitted boolean")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:

@@ -137,12 +137,12 @@ def test_plans_use_up_the_histogram(seed):
     hist = np.bincount(rng.integers(1, (65, 40, 20, 33)[seed], 3000), minlength=65)
     groups = packing.plan(hist)
     used = Counter()
-    for lengths, n in groups:
+    for lengths, n, _ in groups:
         assert sum(lengths) <= 64 and n > 0
         for v in lengths:
             used[v] += n
     assert used == Counter({v: int(c) for v, c in enumerate(hist) if c})
-    assert sum(n for _, n in groups) <= 1.03 * sum(v * c for v, c in enumerate(hist)) / 64 + 1
+    assert sum(n for _, n, _ in groups) <= 1.03 * sum(v * c for v, c in enumerate(hist)) / 64 + 1
 
 
 def test_top_k(spark):
