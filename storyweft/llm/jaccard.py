@@ -6,19 +6,25 @@ A document's set holds the hashes of its 5-word shingles.  Equal sets form a cla
    tokens that some other class has too.  Tokens are in one order everywhere: by frequency, then by value.
 2. A class that must share ceil(3/4 n) of its n tokens with a partner shares at least k of the first
    n - ceil(3/4 n) + k with it.  With k = 1 most classes have no token of frequency 2 or more there: they are done.
-3. Rounds of stars: in every list of a single prefix token, each class proposes to the smallest class of about its size
-   that is not in its component; proposals are verified on whole sets, and links contract to components.  Large groups
-   of near copies end here, without pairs within the group.
-4. Exact rest: of the prefixes with k = 2, tokens whose lists still span components are indexed: rare tokens (in at most
-   `rare` classes) singly, frequent ones in combinations of two.  A pair that shares a rare token meets there; a pair
-   that shares none shares two frequent ones.  All pairs of different components that meet are verified.
-
-Only components are wanted, so links within a component need no further look.  Tokens are 40 bits of a hash besides the
-shard; a set's class is a 64-bit hash of it.
+3. Rounds of stars: in every list of a single prefix token, each class proposes to one class of about its size that is
+   not in its component; proposals are verified on whole sets, and links contract to components.
+4. Groups of near copies: of the prefixes with k = 2, tokens whose lists still span components stay open.  In lists of
+   frequent open tokens every class gets a home, the class with the most links that it meets, and is described by what
+   it has and the home has not, or the reverse.  Two classes of one home link only if these differences overlap enough
+   (see differences()), so classes of a home are joined by prefixes of their differences, which are rare edits, and not
+   by the tokens that all of the group has.
+5. Exact rest, for classes of different homes: rare open tokens (in at most `rare` classes) are indexed singly,
+   frequent ones in combinations of two.  A pair that shares a rare token meets there; a pair that shares none shares
+   two frequent ones.  Pairs of different components that meet early enough in both prefixes are verified.
+
+Only components are wanted, so links within a component need no further look.  Nodes are the 64-bit hashes of sets;
+tokens are 64-bit hashes, of which 48 bits besides the shard's number are kept: among the 3 million tokens of a shard two
+unlike ones fall together with a chance of 1 in 60, which adds one common token to two sets.
 
 Defined cases: null texts and texts without words have no shingle and are alone; fewer than five words are one shingle;
-repeated rows are one class; a null doc_id counts as larger than any and stays null in the result; an empty table
-gives no rows; columns other than doc_id and text are ignored.
+very long texts are whole sets; ties of frequency go by the token's value; repeated rows are one class; texts of one
+doc_id are one document, and reach each other; a null doc_id is no common id, counts as larger than any and stays null
+in the result; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from storyweft.llm.common import saved, shared_dir, table
 from storyweft.llm.components import connected
 
 NO_ID = (1 << 63) - 1
-CACHE, BLOCK, TOKEN_BITS = 200_000, 8 << 20, 40
+CACHE, BLOCK, TOKEN_BITS = 200_000, 8 << 20, 48
 U = np.uint64
 STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -73,22 +79,22 @@ ROWS_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.b
 
 
 def _small(tokens: np.ndarray) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _large(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
 def set_blocks(docs: DataFrame, shards: int, width: int = 5) -> DataFrame:
-    """Blocks: kind 0 by shard (a: classes, b: how many tokens each has here, tokens), kind 1 (a: doc_id, class, n of the documents)."""
+    """Blocks: kind 0 by shard (a: classes, b: how many tokens each has here, tokens), kind 1 (a: doc_id, class, n and h of the documents)."""
 
-    def block(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def block(ids: list[int], hs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], np.int64)
         of = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else xxhash.xxh3_64_intdigest(b"none%d" % i) for i, s in zip(ids, sets, strict=True)], np.uint64).view(np.int64)
-        out = [(int(ids[0]) % shards, 1, np.stack([np.array(ids, np.int64), of, n], 1).tobytes(), None, None)]
+        out = [(int(ids[0]) % shards, 1, np.stack([np.array(ids, np.int64), of, n, np.array(hs, np.int64)], 1).tobytes(), None, None)]
         _, one = np.unique(of, return_index=True)
         one = [k for k in one if n[k]]
         if one:
@@ -104,22 +110,23 @@ def set_blocks(docs: DataFrame, shards: int, width: int = 5) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ROWS_SCHEMA.types, strict=True)], schema=ROWS_SCHEMA)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, ids, sets, size = Shingler(width), [], [], 0
+        shingles, ids, hs, sets, size = Shingler(width), [], [], [], 0
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids.append(i)
-                sets.append(shingles(text))
+            for i, h, text in zip(b.column("doc_id"), b.column("h"), b.column("text"), strict=True):
+                ids.append(i.as_py())
+                hs.append(h.as_py())
+                sets.append(shingles(text.as_py()))
                 size += 8 * len(sets[-1]) + 64
                 if size >= BLOCK:
-                    yield block(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield block(ids, hs, sets)
+                    ids, hs, sets, size = [], [], [], 0
         if ids:
-            yield block(ids, sets)
+            yield block(ids, hs, sets)
 
     return docs.mapInArrow(make, ROWS)
 
 
-ANSWERS = "kind int, doc_id long, class long, n long, shard int, tokens binary, df binary"
+ANSWERS = "kind int, doc_id long, class long, n long, h long, shard int, tokens binary, df binary"
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,8 +134,8 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     shard = int(pdf["shard"].iloc[0])
     for raw in pdf.loc[pdf["kind"] == 1, "a"]:
-        d = np.frombuffer(raw, "<i8").reshape(-1, 3)
-        out.append(pd.DataFrame({"kind": 1, "doc_id": d[:, 0], "class": d[:, 1], "n": d[:, 2], "shard": shard, "tokens": None, "df": None}))
+        d = np.frombuffer(raw, "<i8").reshape(-1, 4)
+        out.append(pd.DataFrame({"kind": 1, "doc_id": d[:, 0], "class": d[:, 1], "n": d[:, 2], "h": d[:, 3], "shard": shard, "tokens": None, "df": None}))
     rows = pdf[pdf["kind"] == 0]
     if len(rows):
         token = np.concatenate([_large(x) for x in rows["tokens"]])
@@ -148,9 +155,9 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(of):
             cuts = np.nonzero(of[1:] != of[:-1])[0] + 1
             ends = [0, *cuts.tolist(), len(of)]
-            out.append(pd.DataFrame({"kind": 0, "doc_id": None, "class": of[ends[:-1]], "n": None, "shard": shard, "tokens": [_small(token[a:b]) for a, b in zip(ends, ends[1:], strict=False)], "df": [df[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]}))
-    columns = ["kind", "doc_id", "class", "n", "shard", "tokens", "df"]
-    return pd.concat(out)[columns].astype({"doc_id": "Int64", "n": "Int64"}) if out else pd.DataFrame({c: [] for c in columns})
+            out.append(pd.DataFrame({"kind": 0, "doc_id": None, "class": of[ends[:-1]], "n": None, "h": None, "shard": shard, "tokens": [_small(token[a:b]) for a, b in zip(ends, ends[1:], strict=False)], "df": [df[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]}))
+    columns = ["kind", "doc_id", "class", "n", "h", "shard", "tokens", "df"]
+    return pd.concat(out)[columns].astype({"doc_id": "Int64", "n": "Int64", "h": "Int64"}) if out else pd.DataFrame({c: [] for c in columns})
 
 
 def prefix(n: int, k: int, percent: int = 75) -> int:
@@ -158,7 +165,7 @@ def prefix(n: int, k: int, percent: int = 75) -> int:
     return n + (-percent * n) // 100 + k
 
 
-def class_lists(answers: DataFrame, classes: DataFrame, percent: int = 75) -> DataFrame:
+def class_lists(answers: DataFrame, classes: DataFrame, shards: int, percent: int = 75) -> DataFrame:
     """node, n, tokens, df: the ordered tokens that other classes have too, for classes that can have a partner."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +173,7 @@ def class_lists(answers: DataFrame, classes: DataFrame, percent: int = 75) -> Da
             out = []
             for node, n, answers in zip(b.column("node"), b.column("n"), b.column("answers"), strict=True):
                 n, answers = n.as_py(), answers.as_py()
-                token = np.concatenate([_large(a["tokens"]) | (U(a["shard"]) << U(TOKEN_BITS)) for a in answers])
+                token = np.concatenate([_large(a["tokens"]) * U(shards) + U(a["shard"]) for a in answers])
                 df = np.concatenate([np.frombuffer(a["df"], "<i4") for a in answers])
                 if n - len(token) < prefix(n, 1, percent):
                     o = np.lexsort((token, df))
@@ -175,62 +182,135 @@ def class_lists(answers: DataFrame, classes: DataFrame, percent: int = 75) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "tokens", "df"])
 
     grouped = answers.groupBy("class").agg(F.collect_list(F.struct("shard", "tokens", "df")).alias("answers"))
-    return grouped.join(classes, "class").select("node", "n", "answers").mapInArrow(order, "node long, n long, tokens array<long>, df array<int>")
+    return grouped.join(classes, "class").select(F.col("class").alias("node"), "n", "answers").mapInArrow(order, "node long, n long, tokens array<long>, df array<int>")
 
 
 def prefix_tokens(lists: DataFrame, percent: int = 75) -> DataFrame:
-    """node, n, most, token, df, standard: the tokens of the prefixes with k = 2 that occur elsewhere; standard for those with k = 1.
+    """node, n, most, token, df, left, standard: the tokens of the prefixes with k = 2 that occur elsewhere; standard for those with k = 1.
 
-    most is how many tokens of the class others have: no partner shares more.
+    most is how many tokens of the class others have: no partner shares more.  left: how many tokens the class has from
+    this one on.
     """
     alone = F.col("n") - F.size("tokens")
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) - alone).cast("int")
     cut = F.slice(F.arrays_zip("tokens", "df"), F.lit(1), reach + 2)
     rows = lists.select("node", "n", F.size("tokens").alias("most"), reach.alias("reach"), F.posexplode(cut).alias("at", "t"))
-    return rows.select("node", "n", "most", F.col("t.tokens").alias("token"), F.col("t.df").alias("df"), (F.col("at") <= F.col("reach")).alias("standard"))
+    return rows.select("node", "n", "most", F.col("t.tokens").alias("token"), F.col("t.df").alias("df"), (F.col("most") - F.col("at")).alias("left"), (F.col("at") <= F.col("reach")).alias("standard"))
 
 
-def verified(pairs: DataFrame, lists: DataFrame, percent: int = 75) -> DataFrame:
-    """pairs(a, b) -> a, b, linked: whether 100 * intersection >= percent * union of their whole sets.
+def _sides(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """pairs(a, b) with na, nb, the sizes of the sets, ta, tb, their tokens that others have, and both, how many they share.
 
     Tokens that no other class has cannot be shared, so the lists and the sizes say it all.
     """
     side = lambda x: lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (100 * both >= percent * (F.col("na") + F.col("nb") - both)).alias("linked"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rare: int = 32, rounds: int = 3, shard_bytes: int = 16 << 20) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, class_id: the smallest doc_id with an equal set."""
+def verified(pairs: DataFrame, lists: DataFrame, percent: int = 75) -> DataFrame:
+    """pairs(a, b) -> a, b, linked: whether 100 * intersection >= percent * union of their whole sets."""
+    return _sides(pairs, lists).select("a", "b", (100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).alias("linked"))
+
+
+def homes(tokens: DataFrame, links: DataFrame | None) -> DataFrame:
+    """tokens(node, token) -> node, home: the class with the most links that the node meets in any of its lists."""
+    tokens = tokens.select("node", "token")
+    if links is None:
+        tokens = tokens.withColumn("degree", F.lit(0).cast("long"))
+    else:
+        ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+        tokens = tokens.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left").fillna(0, "degree")
+    best = tokens.groupBy("token").agg(F.max(F.struct("degree", "node")).alias("best"))
+    return tokens.join(best, "token").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("home"))
+
+
+def differences(homed: DataFrame, lists: DataFrame, percent: int = 75) -> DataFrame:
+    """homed(node, home, component, home_component) -> node, home, n, component, apart, need, items.
+
+    R is the part of the home's set that other classes have.  A node's difference to R has `apart` items, of which
+    `items` may be shared.  With q = (100 - percent) / (100 + percent), nodes x and y link if and only if their symmetric
+    difference has at most q (|x| + |y|) items, that is, if their differences share at least
+    (apart x + apart y - q (|x| + |y|)) / 2 items.  Of two nodes in different components at least one is not linked
+    with the home, so its apart is over q (|x| + |R|) (nodes that are linked with R but not with the home are left out
+    here).  With |y| <= |R| + apart y this gives the least number `need` of items that a node shares with any partner.
+    Nodes that have little in common with their home are left out too: they stay in the index of plain tokens.
+    """
+    rows = _sides(homed.withColumnRenamed("node", "a").withColumnRenamed("home", "b"), lists)
+    rows = rows.withColumn("r", F.size("tb")).withColumn("apart", F.col("na") + F.col("r") - 2 * F.col("both"))
+    near = F.col("component") == F.col("home_component")
+    within = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("r"))
+    need = F.when(near, F.ceil(percent * F.col("apart") / (100 + percent))).otherwise(F.ceil(((100 + percent) * F.col("apart") - (100 - percent) * (F.col("na") + F.col("r"))) / 200))
+    items = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
+    rows = rows.where((near | ~within) & (4 * F.col("both") >= F.col("na") + F.col("r") - F.col("both")))
+    return rows.select(F.col("a").alias("node"), F.col("b").alias("home"), F.col("na").alias("n"), "component", "apart", F.greatest(F.lit(1), need).cast("int").alias("need"), items.alias("items"))
+
+
+def met_by_differences(nodes: DataFrame, work: str, percent: int = 75) -> DataFrame:
+    """nodes: rows of differences() -> pairs (a, b) of one home and different components whose differences may overlap enough."""
+    rows = saved(nodes.select("home", "node", "n", "component", "apart", "need", F.explode("items").alias("item")), f"{work}/items")
+    shared = rows.groupBy("home", "item").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("home", "item", "df")
+    order = rows.join(shared, ["home", "item"]).groupBy("home", "node", "n", "component", "apart", "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("t"))
+    order = order.withColumn("size", F.size("t")).where(F.col("size") >= F.col("need"))
+    keys = order.select("home", "node", "n", "component", "apart", "size", F.posexplode(F.slice("t", F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "t"))
+    keys = saved(keys.select("home", F.col("t.item").alias("item"), "node", "n", "component", "apart", "size", (F.col("size") - F.col("at")).alias("left")), f"{work}/item_keys")
+    a, b = keys.alias("a"), keys.alias("b")
+    need = ((100 + percent) * (F.col("a.apart") + F.col("b.apart")) - (100 - percent) * (F.col("a.n") + F.col("b.n"))) / (2 * (100 + percent))
+    same = (F.col("a.home") == F.col("b.home")) & (F.col("a.item") == F.col("b.item"))
+    met = a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (F.least("a.left", "b.left") >= need))
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def met_by_tokens(tokens: DataFrame, work: str, rare: int, percent: int = 75) -> DataFrame:
+    """tokens(node, n, most, token, df, left, component, home) -> pairs (a, b) of different homes and components that share a rare token or two frequent ones."""
+    columns = ["node", "n", "most", "component", "home"]
+    single = tokens.where(F.col("df") <= rare).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "left", *columns)
+    lists = tokens.where(F.col("df") > rare).groupBy(*columns).agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("at"), "token"))).alias("t"))
+    firsts = lists.select(*columns, "t", F.posexplode("t").alias("i", "x"))
+    double = firsts.select(*columns, F.col("x.token").alias("k1"), F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y")).select("k1", F.col("y.token").alias("k2"), (1 - F.col("y.at")).alias("left"), *columns)
+    keys = single.unionByName(double)
+    spans = (F.min("component") < F.max("component")) & (F.min("home") < F.max("home"))
+    keys = saved(keys.join(keys.groupBy("k1", "k2").agg(spans.alias("open")).where("open").select("k1", "k2"), ["k1", "k2"]), f"{work}/keys")
+    a, b, shared = keys.alias("a"), keys.alias("b"), F.least("a.most", "b.most", "a.left", "b.left")
+    met = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.home") != F.col("b.home")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * shared >= percent * (F.col("a.n") + F.col("b.n"))))
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def class_components(docs: DataFrame, by_id: bool = True, width: int = 5, percent: int = 75, rare: int = 32, rounds: int = 3, shard_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> rows(doc_id, h, class, n) with h = xxhash64(text) and NO_ID for null; classes(class, first, component).
+
+    by_id: texts of one doc_id belong together.  first is the smallest doc_id of the class, component the class that stands for the component.
+    """
     work = shared_dir(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    answers = set_blocks(docs, int(min(1 << 22, max(24, size // shard_bytes))), width).groupBy("shard").applyInPandas(_answer, ANSWERS)
+    shards = int(max(24, size // shard_bytes))
+    answers = set_blocks(docs, shards, width).groupBy("shard").applyInPandas(_answer, ANSWERS)
     answers = saved(answers, f"{work}/answers")
-    rows = answers.where("kind = 1").select("doc_id", "class", "n")
-    classes = saved(rows.groupBy("class").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), f"{work}/classes")
-    lists = saved(class_lists(answers.where("kind = 0"), classes.where("n > 0"), percent), f"{work}/lists")
+    rows = answers.where("kind = 1").select("doc_id", "h", "class", "n")
+    classes = saved(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), f"{work}/classes")
+    lists = saved(class_lists(answers.where("kind = 0"), classes.where("n > 0"), shards, percent), f"{work}/lists")
     postings = saved(prefix_tokens(lists, percent), f"{work}/postings")
-    links, tried, labels = None, None, None
+    links, labels = None, None
 
-    def labelled(tokens: DataFrame) -> DataFrame:
+    def labelled(nodes: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
         if labels is None:
-            return tokens.withColumn("component", F.col("node"))
-        return tokens.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            return nodes.withColumn(component, F.col(node))
+        return nodes.join(labels.select(F.col("node").alias(node), F.col("component").alias(component)), node, "left").withColumn(component, F.coalesce(component, node))
 
-    def settle(pairs: DataFrame, name: str) -> bool:
-        nonlocal links, tried, labels
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        seen = saved(verified(pairs, lists, percent), f"{work}/{name}")
-        tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
-        new = seen.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    def link(new: DataFrame, name: str) -> bool:
+        nonlocal links, labels
         if new.isEmpty():
             return False
         links = new if links is None else links.unionByName(new)
         labels = saved(connected(links, f"{work}/{name}_components"), f"{work}/{name}_labels")
         return True
 
+    def settle(pairs: DataFrame, name: str) -> bool:
+        return link(saved(verified(pairs, lists, percent), f"{work}/{name}").where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")), name)
+
+    if by_id:
+        several = rows.where(F.col("doc_id") < NO_ID).groupBy("doc_id").agg(F.min("class").alias("v"), F.max("class").alias("u")).where("u <> v").select("doc_id", "v")
+        link(saved(rows.join(several, "doc_id").where("class <> v").select(F.col("class").alias("u"), "v").distinct(), f"{work}/ids"), "ids")
     grown = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)))
     for k in range(rounds):
         tokens = labelled(postings.where("standard").select("node", "n", "token")).withColumn("grown", grown)
@@ -240,31 +320,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rare:
         if not settle(asked.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), f"round{k}"):
             break
     spans = F.min("component") < F.max("component")
-    tokens = labelled(postings.select("node", "n", "most", "token", "df"))
+    tokens = labelled(postings.select("node", "n", "most", "token", "df", "left"))
     tokens = saved(tokens.join(tokens.groupBy("token").agg(spans.alias("open")).where("open").select("token"), "token"), f"{work}/open")
-    single = tokens.where(F.col("df") <= rare).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "node", "n", "most", "component")
-    pairs_of = F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x AS k1, y AS k2))))")
-    double = tokens.where(F.col("df") > rare).groupBy("node", "n", "most", "component").agg(F.sort_array(F.collect_list("token")).alias("t")).select(F.explode(pairs_of).alias("k"), "node", "n", "most", "component").select("k.k1", "k.k2", "node", "n", "most", "component")
-    keys = single.unionByName(double)
-    keys = saved(keys.join(keys.groupBy("k1", "k2").agg(spans.alias("open")).where("open").select("k1", "k2"), ["k1", "k2"]), f"{work}/keys")
-    a, b, shared = keys.alias("a"), keys.alias("b"), F.least("a.most", "b.most")
-    met = a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (100 * shared >= percent * (F.col("a.n") + F.col("b.n") - shared)))
-    settle(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "rest")
-    out = rows.join(classes.select("class", "node"), "class")
-    if labels is not None:
-        out = out.join(labels, "node", "left")
-    component = F.coalesce("component", "node") if labels is not None else F.col("node")
-    shown = lambda c: F.when(c < NO_ID, c)
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), shown(F.col("node")).alias("class_id"))
+    at_home = saved(homes(tokens.where(F.col("df") > rare), links), f"{work}/homes")
+    settle(at_home.where("node <> home").select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct(), "home_links")
+    homed = labelled(labelled(at_home), "home", "home_component")
+    homed = homed.join(homed.groupBy("home").agg(spans.alias("open")).where("open").select("home"), "home")
+    nodes = saved(differences(homed, lists, percent), f"{work}/differences")
+    settle(met_by_differences(nodes, work, percent), "near_copies")
+    tokens = labelled(tokens.drop("component")).join(nodes.select("node", "home"), "node", "left").withColumn("home", F.coalesce("home", "node"))
+    settle(met_by_tokens(tokens, work, rare, percent), "rest")
+    return rows, labelled(classes.select("class", "first"), "class")
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, class_id: the smallest doc_id with an equal set."""
+    rows, classes = class_components(docs, **options)
+    least = classes.groupBy("component").agg(F.min("first").alias("least"))
+    out = rows.join(classes.join(least, "component").select("class", "first", "least"), "class")
+    shown = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return out.select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("least").alias("component_id"), shown("first").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs, one row of each component: that with the smallest doc_id; a document without a doc_id stays."""
-    kept = jaccard_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    first = row.withColumn("copy", F.row_number().over(W.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))).where("copy = 1 OR row.doc_id IS NULL")
-    one = first.join(kept, F.col("row.doc_id") == F.col("kept_id"), "left").where("kept_id IS NOT NULL OR row.doc_id IS NULL")
-    return one.select("row.*")
+    """docs, one row of each group of linked texts: that with the smallest doc_id (null last), ties by a hash of the text.
+
+    Different texts of one doc_id are judged apart.  Documents without words stay, each of their rows.
+    """
+    rows, classes = class_components(docs, by_id=False, **options)
+    one = rows.where("n > 0").join(classes.select("class", "component"), "class").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
+    kept = one.withColumn("all", F.lit(False)).unionByName(rows.where("n = 0").select("doc_id", "h").distinct().withColumn("all", F.lit(True)))
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")).withColumn("doc_id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID))).withColumn("h", F.xxhash64("row.text"))
+    found = row.join(kept, ["doc_id", "h"]).withColumn("each", F.when(F.col("all"), F.monotonically_increasing_id()))
+    return found.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "h", "each").orderBy("h"))).where("copy = 1").select("row.*")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

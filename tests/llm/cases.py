@@ -59,13 +59,15 @@ def removed(rows, least=50):
     return sorted(out, key=repr)
 
 
-def components(rows, percent=75, width=5):
-    key = lambda i: 1 << 62 if i is None else i
+def components(rows, percent=75, width=5, by_id=True):
+    keys = [(1 << 62) + k if i is None else i for k, (i, _) in enumerate(rows)]
+    if not by_id:
+        keys = list(range(len(rows)))
     sets, parent = [], {}
-    for i, t in rows:
+    for key, (_, t) in zip(keys, rows):
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
-        parent[key(i)] = key(i)
+        parent[key] = key
 
     def find(x):
         while parent[x] != x:
@@ -80,10 +82,22 @@ def components(rows, percent=75, width=5):
         shared = Counter(j for x in s for j in lists[x] if j < k)
         for j, n in shared.items():
             if 100 * n >= percent * (len(s) + len(sets[j]) - n):
-                a, b = find(key(rows[k][0])), find(key(rows[j][0]))
+                a, b = find(keys[k]), find(keys[j])
                 parent[max(a, b)] = min(a, b)
-    shown = lambda x: None if x == 1 << 62 else x
-    return sorted([(i, len(s), shown(find(key(i)))) for (i, _), s in zip(rows, sets)], key=repr)
+    if not by_id:
+        return [find(k) for k in keys], sets
+    shown = lambda x: None if x >= 1 << 62 else x
+    return sorted([(i, len(s), shown(find(k))) for k, (i, _), s in zip(keys, rows, sets)], key=repr)
+
+
+def one_of_each(rows):
+    """How often each doc_id stays: the smallest of each group of texts, and every row without a word."""
+    place, sets = components(rows, by_id=False)
+    first = {}
+    for (i, t), c, s in zip(rows, place, sets):
+        if s:
+            first[c] = min(first.get(c, 1 << 62), 1 << 62 if i is None else i)
+    return Counter([None if i >= 1 << 62 else i for i in first.values()] + [i for (i, _), s in zip(rows, sets) if not s])
 
 
 def crc(text):

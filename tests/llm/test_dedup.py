@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,9 +70,34 @@ def test_one_of_each_keeps_the_columns(spark):
     docs = cases.documents(spark)
     one = jaccard.one_of_each(docs)
     assert one.columns == docs.columns
-    want = {c for _, _, c in cases.components(cases.awkward()) if c is not None}
-    ids = [r.doc_id for r in one.collect()]
-    assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want) and ids.count(None) == 2
+    rows = one.collect()
+    assert Counter(r.doc_id for r in rows) == cases.one_of_each(cases.awkward())
+    assert {r.text for r in rows if r.doc_id == 311} == {"same id", "other text of the same id"}
+
+
+def test_ids_that_repeat_and_ids_that_are_null(spark):
+    rng = random.Random(5)
+    a, b, c, d = (cases.prose(rng, 60) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (9, b), (5, c), (None, c + " x"), (None, d), (None, None), (None, d)]
+    got = rows_of(jaccard.jaccard_components(cases.documents(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == cases.components(rows) and (9, 56, 3) in got
+    assert Counter(r.doc_id for r in jaccard.one_of_each(cases.documents(spark, rows)).collect()) == Counter({3: 1, 7: 1, 5: 1, None: 2})
+
+
+@pytest.mark.parametrize("rare", [2, 32])
+def test_a_group_of_near_copies_needs_few_pairs(spark, rare, monkeypatch):
+    rng = random.Random(rare)
+    base, rows, pairs = cases.prose(rng, 150).split(" "), [], []
+    for i in range(700):  # copies with 1 to 12 edits, of the text or of a copy
+        words = list(base if i < 20 or rng.random() < 0.7 else rows[rng.randrange(len(rows))][1].split(" "))
+        for _ in range(rng.randrange(1, 13)):
+            words[rng.randrange(len(words))] = f"edit{i}_{rng.randrange(99)}"
+        rows.append((i, " ".join(words)))
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda p, lists, percent: pairs.append(p.count()) or verified(p, lists, percent))
+    got = rows_of(jaccard.jaccard_components(cases.documents(spark, rows), rare=rare), "doc_id", "n_shingles", "component_id")
+    assert got == cases.components(rows)
+    assert sum(pairs) < 700 * 40  # of 245 thousand pairs
 
 
 def test_jaccard_of_nothing(spark):
