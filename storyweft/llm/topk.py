@@ -1,19 +1,21 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A vector's components are dealt to `slices` lists; a candidate's score is the sum of its entries in the lists.
-1. Every block of vectors gives each query's best k entries of every list, with the scores they add up to; the k-th
-   best of those scores is a cutoff that no answer can fall below.
-2. The cutoff is broadcast.  An answer has an entry of at least cutoff / slices in some list (were all below, so would
-   be their sum); blocks collect just those entries.
+1. Every block of vectors gives each query's best k entries of every list.  Only the union of those entries is scored
+   exactly; the k-th best of these scores is a cutoff that no answer can fall below.
+2. The cutoffs go to every block.  An answer has an entry of at least cutoff / slices in some list (were all below, so
+   would be their sum); blocks collect just those entries.
 3. Their scores are resolved exactly, those under the cutoff are dropped, and a block gives its best k to the merge.
 
-Queries are taken in blocks of `query_block`, which bounds what is broadcast; every block of queries reads all vectors
-once.  Scores are integers; they are computed in doubles where every sum is below 2**53, else in 64-bit integers, else
-in Python integers, so they are exact (a score that is no 64-bit integer is an error).
+Vectors and queries are packed into blocks of `block` rows.  A row of the join is one block of queries with one block of
+vectors: blocks of queries are copied to `groups` groups of blocks of vectors and meet them there, so nothing passes
+through the driver and no task holds more than two blocks.  Scores are integers; they are computed in doubles where every sum
+is below 2**53, else in 64-bit integers, else in Python integers, so they are exact (a score that is no 64-bit integer
+is an error).
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, as queries or candidates;
 vectors of different lengths score over the components both have; ties go to the smaller vec_id; repeated rows are
-candidates each, and a query's own row is left out by its id; an empty table gives no rows.
+candidates each, and a query's own row is left out by its id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from storyweft.llm.common import saved, shared_dir, table
 
-BLOCK = 2048
 FOUND = "query_id long, vec_id long, score long"
+#: The cutoff of a query with fewer than k candidates.
+LEAST = -(1 << 62)
 
 
 def matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
@@ -56,107 +58,102 @@ def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     return sound.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k highest scores, ties to smaller ids; score is one-dimensional."""
-    if len(score) > 4 * k:
-        cut = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.nonzero(score >= cut)[0]
-    else:
-        near = np.arange(len(score))
-    return near[np.lexsort((ids[near], -score[near]))[:k]]
+BLOCKS = "width int, ids array<long>, kind string, m binary"
+BLOCKS_SCHEMA = pa.schema([("width", pa.int32()), ("ids", pa.list_(pa.int64())), ("kind", pa.string()), ("m", pa.binary())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
+def blocked(vectors: DataFrame, rows: int) -> DataFrame:
+    """vectors(vec_id, v) -> blocks of at most `rows` rows: ids, and the matrix as bytes of its smallest sufficient kind, padded with zeros."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), rows):
+                part = b.slice(lo, rows)
+                lists = [x.values.to_numpy(zero_copy_only=False) for x in part.column(1)]
+                m = matrix(lists, max(map(len, lists)))
+                kind = next(t for t in ("<i2", "<i4", "<i8") if m.size == 0 or np.iinfo(t).min <= m.min() and m.max() <= np.iinfo(t).max)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([m.shape[1]], [part.column(0).to_pylist()], [kind], [m.astype(kind).tobytes()]), BLOCKS_SCHEMA.types, strict=True)], schema=BLOCKS_SCHEMA)
+
+    return vectors.select("vec_id", "v").mapInArrow(pack, BLOCKS)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(query ids, queries, vector ids, vectors, cutoffs) of each row, which is two blocks; with the components both have."""
     for b in batches:
-        ids += b.column(0).to_pylist()
-        vectors += [x.values.to_numpy(zero_copy_only=False) for x in b.column(1)]
-        if len(ids) >= BLOCK:
-            yield np.array(ids, np.int64), matrix(vectors, width)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), matrix(vectors, width)
+        for k in range(len(b)):
+            row = {name: column[k] for name, column in zip(b.schema.names, b.columns, strict=True)}
+            n, width = [len(row[c]) for c in ("q_ids", "ids")], [row[c].as_py() for c in ("q_width", "width")]
+            q, m = (np.frombuffer(row[c].as_buffer(), row[t].as_py()).reshape(h, w)[:, : min(width)].astype(np.int64) for c, t, h, w in zip(("q", "m"), ("q_kind", "kind"), n, width, strict=True))
+            yield row["q_ids"].values.to_numpy(), q, row["ids"].values.to_numpy(), m, row["cuts"].values.to_numpy() if "cuts" in row else None
+
+
+def _lists(width: int, slices: int) -> list[slice]:
+    bounds = np.linspace(0, width, min(slices, max(1, width)) + 1).astype(int)
+    return [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
 
+def leading_entries(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, m: np.ndarray, k: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 1: (query, vector) of each list's k largest entries, in row numbers; a list is one query's products over a slice."""
+    some = np.zeros((len(ids), len(vec)), bool)
+    own = ids[:, None] == vec
+    for s in _lists(q.shape[1], slices):
+        part = products(q[:, s], m[:, s]).astype(np.float64)  # only orders the entries
+        part[own] = -np.inf
+        n = min(k, len(vec))
+        np.put_along_axis(some, np.argpartition(-part, n - 1, axis=1)[:, :n], True, 1)
+    return np.nonzero(some & ~own)
 
-def _table(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
 
+def sufficient_entries(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, m: np.ndarray, cut: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 2: (query, vector) with an entry of cutoff / slices or more in some list."""
+    lists = _lists(q.shape[1], slices)
+    share = -((-cut) // len(lists))  # the least integer that is not under cutoff / slices
+    some = np.zeros((len(ids), len(vec)), bool)
+    for s in lists:
+        some |= products(q[:, s], m[:, s]) >= share[:, None]
+    return np.nonzero(some & (ids[:, None] != vec))
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, query_block: int = 4096) -> DataFrame:
+
+def _best(ids: np.ndarray, vec: np.ndarray, score: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each query's k highest scores, ties to smaller ids."""
+    order = np.lexsort((vec[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (ids[i[top]], vec[j[top]], score[top])], ["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, block: int = 2048) -> DataFrame:
     """vectors(vec_id, v), queries(vec_id, v): integer vectors -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     work = shared_dir(spark)
-    vectors = saved(vectors, f"{work}/vectors")
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // query_block)))))
-    asked = saved(asked, f"{work}/queries")
-    parts = [_top_k_of(vectors, asked.where(F.col("part") == p).select("vec_id", "v"), k, slices) for p in sorted(r["part"] for r in asked.select("part").distinct().collect())]
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _top_k_of(vectors: DataFrame, queries: DataFrame, k: int, slices: int) -> DataFrame:
-    """The candidates of one block of queries that reach the cutoff, at most k of each block of vectors."""
-    rows = sorted((int(r["vec_id"]), list(r["v"])) for r in queries.collect())  # at most about query_block rows
-    width = max((len(v) for _, v in rows), default=0)
-    ids, q = np.array([i for i, _ in rows], np.int64), matrix([np.array(v, np.int64) for _, v in rows], width)
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
-    bounds = np.linspace(0, width, min(slices, max(1, width)) + 1).astype(int)
-    lists = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    of_vectors, of_queries = saved(blocked(vectors, block), f"{work}/vectors"), saved(blocked(queries, block), f"{work}/queries")
+    n = of_vectors.count()
+    groups = max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 64)))
+    each = of_vectors.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    asked = of_queries.select(F.xxhash64("ids", "m").alias("q_block"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("m").alias("q"))
+
+    def meeting(asked: DataFrame) -> DataFrame:
+        return each.join(asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group").drop("group", "q_block")
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        for vec, m in _blocks(batches, q.shape[1]):
-            score = products(q, m)
-            some = np.zeros(score.shape, bool)
-            for s in lists:
-                part = products(q[:, s], m[:, s]).astype(np.float64)  # only orders the entries
-                part[ids[:, None] == vec] = -np.inf
-                n = min(k, len(vec))
-                np.put_along_axis(some, np.argpartition(-part, n - 1, axis=1)[:, :n], True, 1)
-            out = []
-            for i in range(len(ids)):
-                near = np.nonzero(some[i] & (vec != ids[i]))[0]
-                near = near[_best(score[i, near], vec[near], k)]
-                out.append((np.full(len(near), ids[i]), vec[near], score[i, near]))
-            yield _table(out)
-
-    found = vectors.mapInArrow(local_lists, FOUND)
+        for ids, q, vec, m, _ in _met(batches):
+            i, j = leading_entries(ids, q, vec, m, k, slices)
+            yield _best(ids, vec, resolved(q[i], m[j]), i, j, k)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, q, vec, m, cut in _met(batches):
+            i, j = sufficient_entries(ids, q, vec, m, cut, slices)
+            score = np.concatenate([resolved(q[i[lo : lo + (1 << 16)]], m[j[lo : lo + (1 << 16)]]) for lo in range(0, max(1, len(i)), 1 << 16)])
+            enough = score >= cut[i]
+            yield _best(ids, vec, score[enough], i[enough], j[enough], k)
+
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    cutoffs = found.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", "score").collect()  # one row per query of the block
-    least = {r["query_id"]: r["score"] for r in cutoffs}
-    bar = vectors.sparkSession.sparkContext.broadcast(np.array([least.get(int(i), -(1 << 62)) for i in ids], np.int64))
-
-    def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ids, q), cut = sent.value, bar.value
-        share = -((-cut) // len(lists)) if lists else cut  # the least integer that is not under cutoff / slices
-        for vec, m in _blocks(batches, q.shape[1]):
-            some = np.zeros((len(ids), len(vec)), bool)
-            for s in lists:
-                some |= products(q[:, s], m[:, s]) >= share[:, None]
-            some &= ids[:, None] != vec
-            out = []
-            i, j = np.nonzero(some)
-            for lo in range(0, len(i), 1 << 16):  # exact scores of the collected entries, some at a time
-                a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-                score = resolved(q[a], m[b])
-                enough = score >= cut[a]
-                out.append((a[enough], b[enough], score[enough]))
-            if not out:
-                continue
-            a, b, score = (np.concatenate(c) for c in zip(*out, strict=True))
-            order = np.lexsort((vec[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
-            place = np.arange(len(a)) - np.searchsorted(a, a, "left")
-            top = place < k
-            yield _table([(ids[a[top]], vec[b[top]], score[top])])
-
-    return vectors.mapInArrow(sufficient, FOUND)
+    cutoffs = meeting(asked).mapInArrow(local_lists, FOUND).withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("query_id", F.col("score").alias("cut"))
+    places = asked.select("q_block", F.posexplode("q_ids").alias("at", "query_id"))
+    cuts = places.join(cutoffs, "query_id", "left").groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("cut", F.lit(LEAST)).alias("cut")))).alias("c"))
+    cuts = saved(cuts.select("q_block", F.col("c.cut").alias("cuts")), f"{work}/cutoffs")
+    out = meeting(asked.join(cuts, "q_block")).mapInArrow(resolve, FOUND)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def resolved(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -159,8 +159,8 @@ def test_top_k(spark):
             for w, u in sound:
                 if w != q:
                     want.append((q, -dot(v, u), w))
-    for block in (2, 4096):
-        got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), query_block=block).collect()
+    for block in (7, 4096):
+        got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=block).collect()
         best = defaultdict(list)
         seen = {}
         for q, s, w in sorted(want):
@@ -173,6 +173,21 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_phases_score_few_entries():
+    rng = np.random.default_rng(3)
+    m = rng.integers(-60, 60, (3000, 64))
+    m[:, :16] *= 9  # lists that differ in weight
+    q, ids = m[:20], np.arange(3000)
+    i, j = topk.leading_entries(ids[:20], q, ids, m, 5, 4)
+    assert len(i) <= 20 * 4 * 5
+    exact = q @ m.T
+    exact[np.arange(20), np.arange(20)] = -(1 << 40)
+    cut = np.array([np.sort(exact[a, j[i == a]])[-5] for a in range(20)])
+    a, b = topk.sufficient_entries(ids[:20], q, ids, m, cut, 4)
+    best = {(r, c) for r in range(20) for c in np.argsort(-exact[r], kind="stable")[:5]}
+    assert best <= set(zip(a.tolist(), b.tolist())) and len(a) < 20 * 3000 / 2
+
+
 def test_exact_products_of_large_components():
     a = np.array([[1 << 30, 3], [-(1 << 31), 5]], np.int64)
     assert topk.products(a, a)[0, 0] == (1 << 60) + 9
