@@ -12,6 +12,7 @@ from storyweft.functions.lexicons import SIGNATURE_STOP_WORDS, TITLE_STOP_WORDS
 from storyweft.functions.vectors import embed, nearest
 from storyweft.operators import clustering as cl, coverage as cov, evaluation as ev, merging as mg, ranking as rk, store as st
 from storyweft.plans import adapters as ad
+from storyweft.sources.shared import saved, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -221,14 +222,61 @@ def source_share(spark, d):
 
 @query(f"WITH {ad.ARTICLES_SQL} SELECT story_id, article_id, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC NULLS LAST, article_id DESC) AS position, 'TIME_ORDER' AS reason FROM a")
 def diversity_time_order(spark, d):
-    return cov.diversity_order(ad.coverage_articles(spark, d), 0)
+    return cov.diversity_order(ad.coverage_articles(spark, d), 0, 1 << 30, 1 << 30)
 
 
-@query()
+LIST_TYPE = "CASE WHEN article_type IS NULL THEN 'UNKNOWN' WHEN article_type = 'OPINION' THEN 'COMMENTARY' ELSE article_type END"
+DIVERSE_SQL = f"""RECURSIVE {ad.ARTICLES_SQL}, r AS (SELECT story_id, article_id, source_id, {LIST_TYPE} AS kind, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC NULLS LAST, article_id DESC) AS i FROM a),
+po AS (SELECT story_id, list(struct_pack(i := i, a := article_id, s := source_id, k := kind) ORDER BY i) AS rest, least(12, count(*)) AS n FROM r WHERE i <= 50 GROUP BY story_id),
+st AS (SELECT story_id, n, CAST(ceil(0.6 * n) AS BIGINT) AS cap, 0 AS step, rest, rest[1:0] AS taken, '' AS why FROM po
+UNION ALL SELECT story_id, n, cap, step + 1, list_filter(rest, lambda x: x.i <> pick.i), list_append(taken, pick), why FROM (
+SELECT story_id, n, cap, step, rest, taken, coalesce(fresh, of_type[1], under[1], rest[1]) AS pick, CASE WHEN fresh IS NOT NULL THEN 'NEW_SOURCE' WHEN len(of_type) > 0 THEN 'TYPE_COVERAGE' WHEN len(under) > 0 THEN 'BASELINE_FILL' ELSE 'CAP_RELAXED_FILL' END AS why FROM (
+SELECT *, list_filter(under, lambda x: x.k = goal) AS of_type FROM (
+SELECT *, list_filter(rest, lambda x: x.s IS NOT NULL AND len(list_filter(taken, lambda t: t.s = x.s)) = 0)[1] AS fresh, list_filter(rest, lambda x: x.s IS NULL OR len(list_filter(taken, lambda t: t.s = x.s)) < cap) AS under,
+list_sort(list_transform(list_distinct(list_transform(rest, lambda x: x.k)), lambda y: struct_pack(c := len(list_filter(taken, lambda t: t.k = y)), k := y)))[1].k AS goal FROM st WHERE step < n))))"""
+
+
+@query(f"WITH {DIVERSE_SQL} SELECT story_id, taken[step].a AS article_id, step AS position, why AS reason FROM st WHERE step > 0")
 def diversity_30(spark, d):
     return cov.diversity_order(ad.coverage_articles(spark, d), 30)
 
 
+@query(f"""WITH {DIVERSE_SQL}, ch AS (SELECT story_id, taken[step].s AS source, taken[step].k AS kind FROM st WHERE step > 0), ks AS (SELECT story_id, kind, count(*) AS n FROM ch GROUP BY ALL), ss AS (SELECT story_id, source, count(*) AS n FROM ch WHERE source IS NOT NULL GROUP BY ALL)
+SELECT story_id, (SELECT string_agg(concat(kind, '=', n), ' ' ORDER BY kind) FROM ks WHERE ks.story_id = po.story_id) AS by_kind, (SELECT string_agg(concat(source, '=', n), ' ' ORDER BY CAST(source AS VARCHAR)) FROM ss WHERE ss.story_id = po.story_id) AS by_source FROM po""")
+def diversity_histograms(spark, d):
+    a = ad.coverage_articles(spark, d)
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e.key, F.lit("="), e.value)), " ")
+    return cov.diversity_histograms(cov.diversity_order(a, 30), a).select("story_id", text("by_kind").alias("by_kind"), text("by_source").alias("by_source"))
+
+
+@query(f"""WITH {ad.ARTICLES_SQL}, t AS (SELECT a.*, n_name AS source, {MATRIX_TYPE} AS kind FROM a JOIN nation ON n_nationkey = source_id)
+SELECT story_id, {', '.join(f"count(*) FILTER (kind = '{t}') AS n_{t.lower()}" for t in cov.TYPES)}, count(*) AS n_total, count(DISTINCT source) AS n_sources FROM t GROUP BY story_id""")
+def coverage_totals(spark, d):
+    return cov.coverage_totals(cov.coverage_matrix(ad.coverage_articles(spark, d), ad.coverage_sources(spark, d)))
+
+
+DETAIL_SQL = f"""{ad.ARTICLES_SQL}, o AS (SELECT story_id FROM a GROUP BY story_id ORDER BY count(*) DESC, story_id LIMIT 1), w AS (SELECT a.* FROM a JOIN o USING (story_id)),
+h AS (SELECT *, row_number() OVER (ORDER BY published_at DESC NULLS LAST, article_id DESC) AS position FROM w WHERE {HOURS_SQL.format(NOW_SQL, 'published_at')} <= 720)"""
+
+
+def _detail(spark, d, part):
+    a = ad.coverage_articles(spark, d)
+    largest = a.groupBy("story_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "story_id").first()["story_id"]
+    return cov.story_detail(largest, a, ad.coverage_stories(spark, d), ad.coverage_sources(spark, d), ad.as_of())[part]
+
+
+@query(f"WITH {DETAIL_SQL} SELECT story_id, article_id, position, n_name AS source, 'Unknown' AS country, {LIST_TYPE} AS type, published_at FROM h LEFT JOIN nation ON n_nationkey = source_id WHERE position <= 12")
+def story_page_articles(spark, d):
+    """The page of the story with the most articles."""
+    return _detail(spark, d, "articles").select("story_id", "article_id", "position", "source", "country", "type", "published_at")
+
+
+@query(f"""WITH {DETAIL_SQL} SELECT w.story_id, any_value(substr(text, 1, 120)) AS title, min(published_at) AS start_time, count(*) AS articles_count, count(DISTINCT source_id) AS sources_count, strftime(max(published_at), '%Y-%m-%dT%H:%M:%S') AS last_seen_text,
+CASE WHEN {HOURS_SQL.format(NOW_SQL, 'max(published_at)')} <= 96 THEN 'active' WHEN {HOURS_SQL.format(NOW_SQL, 'max(published_at)')} <= 240 THEN 'closing' ELSE 'closed' END AS status FROM w JOIN documents ON doc_id = w.story_id GROUP BY w.story_id""")
+def story_page_summary(spark, d):
+    return _detail(spark, d, "summary").select("story_id", "title", "start_time", "articles_count", "sources_count", "last_seen_text", "status")
+
+
 @query()
 def rerank_top(spark, d):
     return rk.rerank(_top(spark, d), 5)
@@ -353,8 +401,8 @@ def df_idf(spark, d):
     return mg.df_idf(_signed(spark, d)).select("token", "df", r6("idf").alias("idf"))
 
 
-#: The longest list that a token may have here, as a share of the stories.
-RATIO = 0.01
+#: The longest list that a token may have, as a share of the stories.
+RATIO = 0.35
 CAND_SQL = f"""{DF_SQL}, po AS (SELECT id, published_at AS ts, unnest(list_distinct(signature)) AS token FROM sig JOIN d USING (id)),
 pr AS (SELECT po.*, idf, df FROM po JOIN idf USING (token), n WHERE df <= greatest(2, floor(n * {RATIO}))),
 pa AS (SELECT x.id AS a, y.id AS b, sum(x.idf) AS weight, list_sort(list(x.token)) AS tokens, min(x.df) AS df_min FROM pr x JOIN pr y ON x.token = y.token AND (x.ts > y.ts OR (x.ts = y.ts AND x.id > y.id)) GROUP BY ALL),
@@ -377,15 +425,28 @@ def merge_candidates(spark, d):
 GENERIC_SQL = "'world', 'united states', 'new york', 'breaking', 'news', 'cup', 'government', 'election'"
 
 
-@query(f"""WITH {CAND_SQL}, ju AS (SELECT a, b, score, round(weight, 4) AS weight, CAST(len(list_filter(tokens[1:8], lambda t: t NOT IN ({GENERIC_SQL}))) AS INT) AS strong, df_min, hours, jac FROM ca),
-ru AS (SELECT *, CASE WHEN strong = 0 AND jac < 0.20 THEN 'RULE_NO_GENERIC_ONLY' WHEN score >= 0.78 THEN 'RULE_HIGH_SCORE' WHEN df_min <= 2 AND weight >= 6 AND strong >= 1 THEN 'RULE_RARE_TOKEN_STRONG' WHEN strong >= 3 AND score >= 0.45 AND hours <= 36 THEN 'RULE_MULTI_TOKEN_STRONG' WHEN score BETWEEN 0.45 AND 0.70 THEN 'GREY' ELSE 'RULE_NO' END AS rule FROM ju),
-bu AS (SELECT *, coalesce(sum(CASE WHEN rule = 'GREY' THEN 1 ELSE 0 END) OVER (ORDER BY score DESC, weight DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM ru),
-pt AS (SELECT *, CASE WHEN rule = 'GREY' AND spent < 20 THEN 'LLM_GREY_ZONE' WHEN rule = 'GREY' THEN 'RULE_NO' ELSE rule END AS decision_path FROM bu)
-SELECT least(a, b) AS a, greatest(a, b) AS b, score, CASE WHEN decision_path IN ('RULE_HIGH_SCORE', 'RULE_RARE_TOKEN_STRONG', 'RULE_MULTI_TOKEN_STRONG') OR (decision_path = 'LLM_GREY_ZONE' AND strong >= 2) THEN 'SUGGEST_MERGE' ELSE 'NO_MERGE' END AS decision, decision_path, strong FROM pt""")
+def judge_sql(cached: str, budget: int) -> str:
+    return f"""WITH {CAND_SQL}, ju AS (SELECT a, b, score, round(weight, 4) AS weight, CAST(len(list_filter(tokens[1:8], lambda t: t NOT IN ({GENERIC_SQL}))) AS INT) AS strong, df_min, hours, jac FROM ca),
+ru AS (SELECT *, CASE WHEN strong = 0 AND jac < 0.20 THEN 'RULE_NO_GENERIC_ONLY' WHEN score >= 0.78 THEN 'RULE_HIGH_SCORE' WHEN df_min <= 2 AND weight >= 6 AND strong >= 1 THEN 'RULE_RARE_TOKEN_STRONG' WHEN strong >= 3 AND score >= 0.45 AND hours <= 36 THEN 'RULE_MULTI_TOKEN_STRONG' WHEN score BETWEEN 0.45 AND 0.70 THEN 'GREY' ELSE 'RULE_NO' END AS rule,
+CASE WHEN {cached} THEN CASE WHEN (a + b) % 2 = 0 THEN 'NO_MERGE' ELSE 'SUGGEST_MERGE' END END AS cached FROM ju),
+bu AS (SELECT *, coalesce(sum(CASE WHEN rule = 'GREY' AND cached IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY score DESC, weight DESC, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM ru),
+pt AS (SELECT *, CASE WHEN rule = 'GREY' AND spent < {budget} THEN 'LLM_GREY_ZONE' WHEN rule = 'GREY' THEN 'RULE_NO' ELSE rule END AS decision_path FROM bu)
+SELECT least(a, b) AS a, greatest(a, b) AS b, score, CASE WHEN decision_path IN ('RULE_HIGH_SCORE', 'RULE_RARE_TOKEN_STRONG', 'RULE_MULTI_TOKEN_STRONG') OR (decision_path = 'LLM_GREY_ZONE' AND coalesce(cached = 'SUGGEST_MERGE', strong >= 2)) THEN 'SUGGEST_MERGE' ELSE 'NO_MERGE' END AS decision, decision_path, strong FROM pt"""
+
+
+@query(judge_sql("false", 20))
 def merge_judge(spark, d):
     return mg.merge_judge(_candidates(spark, d))
 
 
+@query(judge_sql("a % 3 = 0", 3))
+def merge_judge_cached(spark, d):
+    """With judgements from before for a third of the stories' pairs, and a budget that the others use up."""
+    pairs = saved(_candidates(spark, d), shared_dir(spark))
+    decision = F.when((F.col("a") + F.col("b")) % 2 == 0, "NO_MERGE").otherwise("SUGGEST_MERGE")
+    return mg.merge_judge(pairs, pairs.where("a % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), decision.alias("decision")), budget=3)
+
+
 KNN_SQL = ad.EMBEDDED_SQL + ", k AS (SELECT q.id AS query_id, c.id AS article_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS sim, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.id) AS rn, c.story_id FROM v q JOIN v c ON q.id <> c.id {where})"
 SEVEN_DAYS = "AND abs(epoch_us(q.published_at) - epoch_us(c.published_at)) <= 604800000000"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -27,6 +28,12 @@ def coverage_matrix(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.groupBy("story_id", "source").agg(*counts, *ids, F.count("*").alias("n_total"))
 
 
+def coverage_totals(matrix: DataFrame) -> DataFrame:
+    """The sums of a matrix by type, and how many sources each story has."""
+    names = [f"n_{t.lower()}" for t in TYPES]
+    return matrix.groupBy("story_id").agg(*[F.sum(n).alias(n) for n in names], F.sum("n_total").alias("n_total"), F.count("*").alias("n_sources"))
+
+
 def gap_hints(articles: DataFrame, sources: DataFrame, least_articles: int = 4, least_sources: int = 3, dominant: float = 0.6) -> DataFrame:
     """Per story, whether types are missing or a source dominates; a tie for the dominant source goes to the first name."""
     kind = effective_type(F.col("article_type"), "gap")
@@ -42,47 +49,49 @@ def gap_hints(articles: DataFrame, sources: DataFrame, least_articles: int = 4,
     return out.withColumn("status", F.when(few, "INSUFFICIENT_DATA").when(F.size("codes") > 0, "GAP_FOUND").otherwise("NO_GAP")).withColumn("reason", F.when(few, "below_thresholds"))
 
 
-def diversity_order(articles: DataFrame, level: int = 0, k: int | None = None) -> DataFrame:
-    """articles(story_id, article_id, source_id, article_type, published_at) -> story_id, article_id, position, reason.
+def diversity_order(articles: DataFrame, level: int = 0, k: int = 12, pool: int = 50) -> DataFrame:
+    """articles(story_id, article_id, source_id, article_type, published_at) -> story_id, article_id, position, reason: k of each story.
 
-    Level 0 is by time.  Level 30 (60 is treated as 30) caps each source at ceil(0.6 k) and picks, step by step, a new
-    source, else the least represented type, else the newest under the cap, else the newest.  A story is a group there,
-    so the ids and types of a story (not its texts) have to fit a task.
+    The pool is a story's newest articles.  Level 0 is by time.  Level 30 (60 is treated as 30) caps each source at
+    ceil(0.6 k) of the k that are picked and takes, step by step, a source that has none yet, else an article of the
+    type that has the fewest among those that remain (ties by name), else the newest under the cap, else the newest.
+    An article without a source is under no cap and never a new source.  A group is a pool, so its size is bounded.
     """
     if level not in (0, 30, 60):
         raise ValueError("level must be 0, 30 or 60")
-    kind = effective_type(F.col("article_type"), "list")
+    rows = articles.withColumn("i", F.row_number().over(newest_first())).where(F.col("i") <= pool)
     if level == 0:
-        return articles.select("story_id", "article_id", F.row_number().over(newest_first()).alias("position"), F.lit("TIME_ORDER").alias("reason"))
+        return rows.where(F.col("i") <= k).select("story_id", "article_id", F.col("i").alias("position"), F.lit("TIME_ORDER").alias("reason"))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["published_at", "article_id"], ascending=[False, False], na_position="last")
-        rest = list(zip(pdf["article_id"], pdf["source_id"], pdf["kind"], strict=True))
-        cap = math.ceil(0.6 * (k or max(12, len(rest))))
-        out, by_source, by_kind = [], {}, {}
-        while rest:
-            under = [i for i, r in enumerate(rest) if by_source.get(r[1], 0) < cap]
-            fresh = [i for i in under if r_new(rest[i], by_source)]
-            if fresh:
-                i, why = fresh[0], "NEW_SOURCE"
-            elif under:
-                least = min(sorted({rest[i][2] for i in under}), key=lambda t: by_kind.get(t, 0))
-                covers = by_kind.get(least, 0) < max(by_kind.get(rest[i][2], 0) for i in under)
-                i, why = (next(i for i in under if rest[i][2] == least), "TYPE_COVERAGE") if covers else (under[0], "BASELINE_FILL")
-            else:
-                i, why = 0, "CAP_RELAXED_FILL"
-            a, s, t = rest.pop(i)
-            by_source[s], by_kind[t] = by_source.get(s, 0) + 1, by_kind.get(t, 0) + 1
+        pdf = pdf.sort_values("i")
+        rest = [(a, None if pd.isna(s) else s, t) for a, s, t in zip(pdf["article_id"], pdf["source_id"], pdf["kind"], strict=True)]
+        n = min(k, len(rest))
+        cap, out, by_source, by_kind = math.ceil(0.6 * n), [], Counter(), Counter()
+        while len(out) < n:
+            under = [r for r in rest if r[1] is None or by_source[r[1]] < cap]
+            fresh = [r for r in under if r[1] is not None and not by_source[r[1]]]
+            least = min({r[2] for r in rest}, key=lambda t: (by_kind[t], t))
+            of_type = [r for r in under if r[2] == least]
+            found, why = next((f, w) for f, w in ((fresh, "NEW_SOURCE"), (of_type, "TYPE_COVERAGE"), (under, "BASELINE_FILL"), (rest, "CAP_RELAXED_FILL")) if f)
+            rest.remove(found[0])
+            a, s, t = found[0]
+            by_source[s] += 1
+            by_kind[t] += 1
             out.append((int(pdf["story_id"].iloc[0]), a, len(out) + 1, why))
         return pd.DataFrame(out, columns=["story_id", "article_id", "position", "reason"])
 
-    def r_new(row: tuple, by_source: dict) -> bool:
-        return row[1] not in by_source
-
-    few = articles.select("story_id", "article_id", "source_id", kind.alias("kind"), F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    few = rows.select("story_id", "article_id", "source_id", effective_type(F.col("article_type"), "list").alias("kind"), "i")
     return few.groupBy("story_id").applyInPandas(order, "story_id long, article_id long, position int, reason string")
 
 
+def diversity_histograms(ordered: DataFrame, articles: DataFrame) -> DataFrame:
+    """story_id, and maps of how many of the picked articles each source and each type has."""
+    rows = ordered.join(articles, ["story_id", "article_id"]).select("story_id", F.col("source_id").cast("string").alias("source"), effective_type(F.col("article_type"), "list").alias("kind"))
+    count = lambda c: rows.where(F.col(c).isNotNull()).groupBy("story_id", c).agg(F.count("*").alias("n")).groupBy("story_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
+    return count("kind").join(count("source"), "story_id", "left")
+
+
 def newest_per_story(articles: DataFrame, k: int) -> DataFrame:
     """Each story's k newest articles, with rn."""
     return articles.withColumn("rn", F.row_number().over(newest_first())).where(F.col("rn") <= k)
@@ -117,8 +126,21 @@ def touch_window(stories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def story_detail(story_id: int, articles: DataFrame, stories: DataFrame, sources: DataFrame, now: Column, diversity: int = 0, days: int = 30) -> dict[str, DataFrame]:
-    """The parts of a story's page: summary, articles in order, coverage and gaps."""
+    """The parts of a story's page: summary, shown articles (of the last days, in order, with source, country and type), coverage, totals, gaps and the histograms of what is shown.
+
+    stories(story_id, title, and title_override where there is a rewritten one); sources(source_id, source, and country,
+    which is Unknown where it is missing).
+    """
     own = articles.where(F.col("story_id") == story_id)
     shown = own.where(hours_between(now, F.col("published_at")) <= 24 * days)
-    summary = stories.where(F.col("story_id") == story_id).join(own.groupBy("story_id").agg(F.min("published_at").alias("start_time"), F.max("published_at").alias("last_seen_at"), F.count("*").alias("articles_count")), "story_id", "left")
-    return {"summary": summary, "articles": shown.join(diversity_order(shown, diversity), ["story_id", "article_id"]).orderBy("position"), "coverage": coverage_matrix(own, sources), "gaps": gap_hints(own, sources)}
+    span = own.groupBy("story_id").agg(F.min("published_at").alias("start_time"), F.max("published_at").alias("last_seen_at"), F.count("*").alias("articles_count"), F.countDistinct("source_id").alias("sources_count"))
+    summary = stories.where(F.col("story_id") == story_id).join(span, "story_id", "left")
+    if "title_override" in stories.columns:
+        summary = summary.withColumn("title", F.coalesce("title_override", "title")).drop("title_override")
+    summary = summary.withColumn("status", story_status(F.col("last_seen_at"), now)).withColumn("last_seen_text", F.date_format("last_seen_at", "yyyy-MM-dd'T'HH:mm:ss"))  # F11
+    named = sources if "country" in sources.columns else sources.withColumn("country", F.lit(None).cast("string"))
+    ordered = diversity_order(shown, diversity)
+    listed = shown.join(ordered, ["story_id", "article_id"]).join(named, "source_id", "left").withColumn("country", F.coalesce("country", F.lit("Unknown")))
+    listed = listed.withColumn("type", effective_type(F.col("article_type"), "list")).orderBy("position")
+    coverage = coverage_matrix(own, sources)
+    return {"summary": summary, "articles": listed, "coverage": coverage, "totals": coverage_totals(coverage), "gaps": gap_hints(own, sources), "histograms": diversity_histograms(ordered, shown)}

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from storyweft.functions import lexicons as lex
 from storyweft.functions.text import jaccard, tokens_word
 from storyweft.plans.adapters import hours_between
+from storyweft.sources.shared import saved, shared_dir
 
-URL = r"https?://\S+|www\.\S+"
+URL = r"(?i)https?://\S+|www\.\S+"
 
 
 def signature_words(text: Column) -> Column:
@@ -68,23 +69,62 @@ def lexical_pairs(stories: DataFrame, window_hours: float, least: float = 0.2) -
     return both.select("a", "b", alike.alias("weight"), F.lit(0).cast("long").alias("overlap"), none.alias("tokens"), F.lit(None).cast("long").alias("df_min")).where(F.col("weight") >= least)
 
 
+def _weights(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+    """Pairs a, b of two aliased posting lists with weight, overlap, tokens and df_min."""
+    pairs = a.join(b, on).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"))
+    return pairs.agg(F.sum("a.idf").alias("weight"), F.count("*").alias("overlap"), F.sort_array(F.collect_list("a.token")).alias("tokens"), F.min("a.df").alias("df_min"))
+
+
+def gated_pairs(post: DataFrame, window_hours: float) -> DataFrame:
+    """Pairs within the window.  Lists are cut into time buckets as long as the window, so a story meets its own bucket and the one before.
+
+    Stories without a time are as far from all others as the gate's 9999 hours say.
+    """
+    if window_hours >= 9999:
+        return _weights(post.alias("a"), post.alias("b"), (F.col("a.token") == F.col("b.token")) & _newer())
+    post = post.where("ts IS NOT NULL").withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (3.6e9 * window_hours)))
+    older = post.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    near = hours_between(F.col("a.ts"), F.col("b.ts")) <= window_hours
+    return _weights(post.alias("a"), older.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & near & _newer())
+
+
+def largest_weight(post: DataFrame, least: DataFrame) -> DataFrame:
+    """top: the largest weight of any pair, at whatever distance, if it is over least(weight), which is one row; else no value.
+
+    Of a story's tokens, rarest first, those from which on the rest weighs at most `least` cannot alone make a heavier
+    pair, so a heavier pair shares one of the tokens before: only those are joined, and the pairs they give are added up.
+    """
+    order = W.partitionBy("story_id").orderBy(F.col("idf").desc(), "token")
+    rest = F.sum("idf").over(order.rowsBetween(0, W.unboundedFollowing))
+    heavy = post.withColumn("rest", rest).crossJoin(F.broadcast(least)).where(F.col("rest") > F.coalesce("weight", F.lit(0.0)) - 1e-9).select("story_id", "ts", "token")
+    met = heavy.alias("a").join(heavy.alias("b"), (F.col("a.token") == F.col("b.token")) & _newer()).select(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b")).distinct()
+    lists = post.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("w"))
+    both = met.join(lists.select(F.col("story_id").alias("a"), F.col("w").alias("wa")), "a").join(lists.select(F.col("story_id").alias("b"), F.map_keys("w").alias("wb")), "b")
+    weight = F.aggregate(F.array_intersect(F.map_keys("wa"), F.col("wb")), F.lit(0.0), lambda s, t: s + F.element_at("wa", t))
+    return both.agg(F.max(weight).alias("top"))
+
+
 def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int = 60, max_df_ratio: float = 0.35, min_overlap: int = 1, fallback: bool = True) -> DataFrame:
     """stories(story_id, title, ts, signature) -> scored pairs (a, b), a being the more recent.
 
-    Pairs come from an inverted index without the tokens that over max_df_ratio of the stories have; the largest weight
-    is taken before the time gate.  Where no token is in two stories' lists, and fallback is set, title pairs step in
-    (a look at the document frequencies decides).
+    Pairs come from an inverted index without the tokens that over max_df_ratio of the stories have, and lie within the
+    window (an hour at least); weights are relative to the largest weight of any pair, whatever its distance.  Where no
+    token is in two stories' lists, and fallback is set, title pairs step in.  Signatures are computed once and saved.
     """
+    work = shared_dir(stories.sparkSession)
+    window_hours = max(1, window_hours)
+    stories = saved(stories.select("story_id", "title", "ts", "signature"), f"{work}/stories")
     share = min(1.0, max(0.01, max_df_ratio))
     n = stories.agg(F.count("*").alias("n"))
     rare = df_idf(stories).crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * share))).select("token", "df", "idf")
-    post = stories.select("story_id", "ts", F.explode(F.array_distinct("signature")).alias("token")).join(rare, "token")
-    a, b = post.alias("a"), post.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & _newer()).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"))
-    pairs = pairs.agg(F.sum("a.idf").alias("weight"), F.count("*").alias("overlap"), F.sort_array(F.collect_list("a.token")).alias("tokens"), F.min("a.df").alias("df_min"))
-    if fallback and rare.where("df > 1").isEmpty():
+    post = saved(stories.select("story_id", "ts", F.explode(F.array_distinct("signature")).alias("token")).join(rare, "token"), f"{work}/postings")
+    if fallback and post.where("df > 1").isEmpty():
         pairs = lexical_pairs(stories, window_hours)
-    top = pairs.agg(F.max("weight").alias("top"))
+        top = pairs.agg(F.max("weight").alias("top"))
+    else:
+        pairs = saved(gated_pairs(post, window_hours), f"{work}/pairs")
+        near = pairs.agg(F.max("weight").alias("weight"))
+        top = near.crossJoin(largest_weight(post, near)).select(F.greatest("weight", "top").alias("top"))
     side = lambda x: stories.select(F.col("story_id").alias(x), F.col("title").alias(f"title_{x}"), F.col("ts").alias(f"ts_{x}"), F.col("signature").alias(f"sig_{x}"))
     out = pairs.where((F.size("tokens") == 0) | (F.col("overlap") >= min_overlap)).crossJoin(F.broadcast(top)).join(side("a"), "a").join(side("b"), "b")
     hours = F.coalesce(F.abs(hours_between(F.col("ts_a"), F.col("ts_b"))), F.lit(9999.0))
@@ -100,15 +140,16 @@ def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int =
 def merge_judge(pairs: DataFrame, cache: DataFrame | None = None, budget: int = 20, low: float = 0.45, high: float = 0.70) -> DataFrame:
     """Decision and path for each candidate pair; pairs in the grey zone go to the (mock) model while budget is left.
 
-    cache(a, b) holds pairs judged before, which cost nothing; pairs are ranked as merge_candidates() orders them.
+    cache(a, b, decision) holds pairs judged before, in either order: they cost nothing, and in the grey zone their
+    decision stands; pairs are ranked as merge_candidates() orders them.
     """
     strong = F.size(F.filter("evidence", lambda t: ~t.isin(*lex.GENERIC_TOKENS)))
     out = pairs.withColumn("strong", strong)
     if cache is not None:
-        seen = cache.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct().withColumn("cached", F.lit(True))
+        seen = cache.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("decision").alias("cached"))
         out = out.join(seen, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left").drop("lo", "hi")
     else:
-        out = out.withColumn("cached", F.lit(None).cast("boolean"))
+        out = out.withColumn("cached", F.lit(None).cast("string"))
     rule = (
         F.when((F.size("evidence") > 0) & (F.col("strong") == 0) & (F.col("title_jaccard") < 0.20), "RULE_NO_GENERIC_ONLY")
         .when(F.col("score") >= 0.78, "RULE_HIGH_SCORE")
@@ -120,5 +161,5 @@ def merge_judge(pairs: DataFrame, cache: DataFrame | None = None, budget: int =
     order = W.orderBy(F.col("score").desc(), F.col("weight").desc(), "a", "b").rowsBetween(W.unboundedPreceding, -1)
     out = out.withColumn("rule", rule).withColumn("spent", F.coalesce(F.sum(F.when((F.col("rule") == "GREY") & F.col("cached").isNull(), 1).otherwise(0)).over(order), F.lit(0)))
     path = F.when((F.col("rule") == "GREY") & (F.col("spent") < budget), "LLM_GREY_ZONE").when(F.col("rule") == "GREY", "RULE_NO").otherwise(F.col("rule"))
-    yes = path.isin("RULE_HIGH_SCORE", "RULE_RARE_TOKEN_STRONG", "RULE_MULTI_TOKEN_STRONG") | ((path == "LLM_GREY_ZONE") & (F.col("strong") >= 2))
+    yes = path.isin("RULE_HIGH_SCORE", "RULE_RARE_TOKEN_STRONG", "RULE_MULTI_TOKEN_STRONG") | ((path == "LLM_GREY_ZONE") & F.coalesce(F.col("cached") == "SUGGEST_MERGE", F.col("strong") >= 2))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", F.when(yes, "SUGGEST_MERGE").otherwise("NO_MERGE").alias("decision"), path.alias("decision_path"), F.col("strong").cast("int").alias("strong"))
