@@ -10,7 +10,7 @@ from storyweft.functions import text as tx
 from storyweft.functions.fuzzy import token_set_ratio
 from storyweft.functions.lexicons import SIGNATURE_STOP_WORDS, TITLE_STOP_WORDS
 from storyweft.functions.vectors import embed, nearest
-from storyweft.operators import clustering as cl, coverage as cov, evaluation as ev, merging as mg, ranking as rk, store as st
+from storyweft.operators import clustering as cl, coverage as cov, evaluation as ev, listing as ls, merging as mg, ranking as rk, store as st
 from storyweft.plans import adapters as ad
 from storyweft.sources.shared import saved, shared_dir
 
@@ -457,12 +457,12 @@ def knn_articles(spark, d):
     return nearest(v, v, 5).select("query_id", "article_id", F.round("sim", 5).alias("sim"))
 
 
-CANDIDATES_SQL = KNN_SQL.format(where=SEVEN_DAYS) + ", b AS (SELECT query_id, story_id, max(sim) AS best_sim FROM k WHERE rn <= 50 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_sim DESC, story_id) AS rank FROM b)"
+CANDIDATES_SQL = KNN_SQL.format(where=SEVEN_DAYS) + ", b AS (SELECT query_id, story_id, max(sim) AS best_sim FROM k WHERE rn <= 2000 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_sim DESC, story_id) AS rank FROM b)"
 
 
 def _story_candidates(spark, d, n=20):
     v = ad.embedded_articles(spark, d)
-    return cl.candidate_stories(v, v, v.select(F.col("id").alias("article_id"), "story_id"), 7, 50, n)
+    return cl.candidate_stories(v, v, v.select(F.col("id").alias("article_id"), "story_id"), 7, 2000, n)
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT query_id, story_id, round(best_sim, 5) AS best_sim, rank FROM c WHERE rank <= 20")
@@ -470,7 +470,15 @@ def candidate_stories(spark, d):
     return _story_candidates(spark, d).select("query_id", "story_id", F.round("best_sim", 5).alias("best_sim"), "rank")
 
 
-@query(f"""WITH {KNN_SQL.format(where=SEVEN_DAYS)}, w AS (SELECT *, row_number() OVER (PARTITION BY query_id, story_id ORDER BY sim DESC, article_id) AS per FROM k WHERE rn <= 50)
+@query(f"""WITH {KNN_SQL.format(where='')}, b AS (SELECT query_id, story_id, max(sim) AS best_sim FROM k WHERE rn <= 200 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_sim DESC, story_id) AS rank FROM b)
+SELECT query_id, story_id, round(best_sim, 5) AS best_sim, rank FROM c WHERE rank <= 20""")
+def retrieve_candidates(spark, d):
+    """Without a gate on time."""
+    v = ad.embedded_articles(spark, d)
+    return cl.candidate_stories(v, v, v.select(F.col("id").alias("article_id"), "story_id"), None, 200, 20).select("query_id", "story_id", F.round("best_sim", 5).alias("best_sim"), "rank")
+
+
+@query(f"""WITH {KNN_SQL.format(where=SEVEN_DAYS)}, w AS (SELECT *, row_number() OVER (PARTITION BY query_id, story_id ORDER BY sim DESC, article_id) AS per FROM k WHERE rn <= 2000)
 SELECT query_id, story_id, round(max(sim), 5) AS best_sim FROM w WHERE per <= 3 GROUP BY ALL""")
 def cap_noop(spark, d):
     """Q05: the SQL caps articles per story, the query does not; the maxima are the same."""
@@ -478,10 +486,10 @@ def cap_noop(spark, d):
 
 
 @query(f"""WITH {CANDIDATES_SQL}, f AS (SELECT v.id, min(rank) AS rank FROM v LEFT JOIN c ON c.query_id = v.id AND c.story_id = v.story_id GROUP BY v.id)
-SELECT k.k, count(*) FILTER (rank <= k.k) AS hits, count(*) AS n, round(count(*) FILTER (rank <= k.k) / count(*), 6) AS recall FROM f, (SELECT unnest([1, 3, 5]) AS k) k GROUP BY k.k""")
+SELECT k.k, count(*) FILTER (rank <= k.k) AS hits, count(*) AS n, round(count(*) FILTER (rank <= k.k) / count(*), 6) AS recall FROM f, (SELECT unnest([10, 20, 50]) AS k) k GROUP BY k.k""")
 def retrieval_recall(spark, d):
     labels = ad.embedded_articles(spark, d).select(F.col("id").alias("query_id"), F.col("story_id").alias("true_story_id"))
-    return ev.retrieval_recall(labels, _story_candidates(spark, d), (1, 3, 5)).select("k", "hits", "n", r6("recall").alias("recall"))
+    return ev.retrieval_recall(labels, _story_candidates(spark, d, 50)).select("k", "hits", "n", r6("recall").alias("recall"))
 
 
 @query(f"WITH {CANDIDATES_SQL}, p AS (SELECT query_id, count(*) AS n FROM c WHERE rank <= 20 GROUP BY query_id) SELECT round(avg(n), 6) AS mean_candidates, round(quantile_cont(n, 0.95), 6) AS p95_candidates, count(*) AS queries FROM p")
@@ -502,7 +510,7 @@ x AS (SELECT v.id AS query_id, e.story_id, best_sim, jac, CASE WHEN best_sim IS
 SELECT query_id, action, CASE WHEN action = 'merge' THEN story_id END AS story_id, round(best_sim, 5) AS best_sim, round(jac, 6) AS jac FROM x""")
 def cluster_dry_run(spark, d):
     v = ad.embedded_articles(spark, d)
-    out = cl.cluster_dry_run(v, v, v.select(F.col("id").alias("article_id"), "story_id"), _named_stories(spark, d), fuzzy=False, m=50)
+    out = cl.cluster_dry_run(v, v, v.select(F.col("id").alias("article_id"), "story_id"), _named_stories(spark, d), fuzzy=False)
     return out.select("query_id", "action", "story_id", F.round("best_sim", 5).alias("best_sim"), r6("jac").alias("jac"))
 
 
@@ -529,10 +537,19 @@ au AS (SELECT article_id, story_id, max(sim) FILTER (other = story_id) AS self_s
 
 @query(f"WITH {AUDIT_SQL} SELECT article_id, story_id, round(self_sim, 6) AS self_sim, round(best_other_sim, 6) AS best_other_sim, round(self_sim - best_other_sim, 6) AS margin, self_sim - best_other_sim <= 0 AS conflict, best_other_sim - self_sim >= 0.15 AS suspect FROM au")
 def misattachment_audit(spark, d):
+    out = _audit(spark, d)
+    return out.select("article_id", "story_id", r6("self_sim").alias("self_sim"), r6("best_other_sim").alias("best_other_sim"), r6("margin").alias("margin"), "conflict", "suspect")
+
+
+@query(f"WITH {AUDIT_SQL} SELECT round(avg(self_sim), 4) AS avg_title_match, round(avg(self_sim - best_other_sim), 4) AS avg_margin, round(avg(CASE WHEN self_sim - best_other_sim <= 0 THEN 1.0 ELSE 0.0 END), 4) AS conflict_rate, count(*) FILTER (best_other_sim - self_sim >= 0.15) AS suspects, count(*) AS articles FROM au")
+def audit_summary(spark, d):
+    return ev.audit_summary(_audit(spark, d))
+
+
+def _audit(spark, d):
     a = ad.coverage_articles(spark, d)
     titles = ad.read(spark, d, "documents").select(F.col("doc_id").alias("story_id"), F.substring("text", 121, 120).alias("title"))
-    out = ev.misattachment_audit(a.join(titles, "story_id").select("article_id", "story_id", "title"), _top(spark, d, 5).select("story_id", "title"))
-    return out.select("article_id", "story_id", r6("self_sim").alias("self_sim"), r6("best_other_sim").alias("best_other_sim"), r6("margin").alias("margin"), "conflict", "suspect")
+    return ev.misattachment_audit(a.join(titles, "story_id").select("article_id", "story_id", "title"), _top(spark, d, 5).select("story_id", "title"))
 
 
 @query(f"""WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'SUCCESS' WHEN 'view' THEN 'PENDING' WHEN 'error' THEN 'ERROR' ELSE 'SUCCESS' END AS status, ts AS updated_at, (epoch_us({NOW_SQL}) - epoch_us(ts)) / 1e6 AS age FROM events)

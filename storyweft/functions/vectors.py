@@ -9,54 +9,70 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Microseconds.
+DAY = 86_400_000_000
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
 def nearest(queries: DataFrame, articles: DataFrame, m: int, days: float | None = None, block: int = 1024) -> DataFrame:
-    """Each query's m most similar articles: query_id, article_id, sim; ties to the smaller id.
+    """Each query's m most similar articles (J08: within `days` of it): query_id, article_id, sim; ties to the smaller id.
 
-    queries and articles have id, published_at and embedding.  Queries go out in blocks of at most `block` rows, so what
-    is broadcast is bounded; every block of articles gives its own best m of a query, and a window merges them.
+    queries and articles have id, published_at and embedding; rows without an embedding take no part.  Both are packed
+    into blocks: of `block` queries, and of enough articles that a block's own best m are few of them.  A row of the join
+    is two blocks.  With days, blocks hold one time bucket of that length, and a query meets its bucket and the two beside
+    it.  Blocks of articles are dealt to groups that the blocks of queries are copied to, so no bucket is one task.
     """
-    if queries.limit(1).count() == 0:
-        return queries.sparkSession.createDataFrame([], "query_id long, article_id long, sim double")
-    n = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)))
-    found = None
-    for k in range(n):
-        part = _nearest_of(dealt.where(F.col("part") == k), articles, m, days)
-        found = part if found is None else found.unionByName(part)
+    groups = queries.sparkSession.sparkContext.defaultParallelism
+    q = _blocks(queries, days, block).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("q_ids"), F.col("ats").alias("q_ats"), F.col("m").alias("q"))
+    a = _blocks(articles, days, max(4096, 4 * m)).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    if days is not None:
+        a = a.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                ids, at, vec, when = (np.frombuffer(x, "<i8") for x in (r.q_ids, r.q_ats, r.ids, r.ats))
+                sim = np.frombuffer(r.q, "<f8").reshape(len(ids), -1) @ np.frombuffer(r.m, "<f8").reshape(len(vec), -1).T
+                sim[ids[:, None] == vec] = -np.inf
+                if days is not None:
+                    sim[np.abs(at[:, None] - when) > days * DAY] = -np.inf
+                k = min(m, len(vec))
+                least = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+                i, j = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+                order = np.lexsort((vec[j], -sim[i, j], i))
+                i, j = i[order], j[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+                yield pd.DataFrame({"query_id": ids[i[top]], "article_id": vec[j[top]], "sim": sim[i[top], j[top]]})
+
+    found = q.join(a, ["bucket", "group"]).select("q_ids", "q_ats", "q", "ids", "ats", "m").mapInPandas(match, "query_id long, article_id long, sim double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("article_id")))
     return found.withColumn("rn", best).where(F.col("rn") <= m).drop("rn")
 
 
-def _nearest_of(queries: DataFrame, articles: DataFrame, m: int, days: float | None) -> DataFrame:
-    rows = queries.select("id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"), "embedding").collect()  # one block of queries
-    ids, at = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    q = np.array([r[2] for r in rows], np.float64).reshape(len(rows), -1)
-    sent = queries.sparkSession.sparkContext.broadcast((ids, at, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+def _blocks(rows: DataFrame, days: float | None, size: int) -> DataFrame:
+    """rows(id, published_at, embedding) -> bucket, and ids, times and unit vectors of at most `size` of its rows as bytes."""
+    at = F.unix_micros(F.col("published_at").cast("timestamp"))
+    bucket = F.lit(0).cast("long") if days is None else F.floor(at / (days * DAY))
+    rows = rows.where("embedding IS NOT NULL").select("id", F.coalesce(at, F.lit(0)).alias("at"), F.col("embedding").cast("array<double>").alias("embedding"), bucket.alias("bucket"))
+    if days is not None:
+        rows = rows.where("bucket IS NOT NULL").repartitionByRange("bucket", "id").sortWithinPartitions("bucket")
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, at, q = sent.value
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            vec, when = b["id"].to_numpy(), b["at"].to_numpy()
-            e = np.array(b["embedding"].tolist(), np.float64)
-            sim = q @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)).T
-            sim[ids[:, None] == vec] = -np.inf
-            if days is not None:
-                sim[np.abs(at[:, None] - when) > days * 86_400_000_000] = -np.inf
-            for i in range(len(ids)):
-                near = np.nonzero(np.isfinite(sim[i]))[0]
-                near = near[np.lexsort((vec[near], -sim[i, near]))[:m]]
-                if len(near):
-                    yield pd.DataFrame({"query_id": ids[i], "article_id": vec[near], "sim": sim[i, near]})
-
-    known = articles.where("embedding IS NOT NULL").select("id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"), "embedding")
-    return known.mapInPandas(match, "query_id long, article_id long, sim double")
+            out = []
+            for k, part in b.groupby("bucket"):
+                for lo in range(0, len(part), size):
+                    some = part.iloc[lo : lo + size]
+                    e = np.array(some["embedding"].tolist(), "<f8").reshape(len(some), -1)
+                    e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
+                    out.append((k, some["id"].to_numpy("<i8").tobytes(), some["at"].to_numpy("<i8").tobytes(), e.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "ids", "ats", "m"])
+
+    return rows.mapInPandas(pack, "bucket long, ids binary, ats binary, m binary")
 
 
 def hashed_encoder(width: int = 384) -> Callable[[list[list[str]]], np.ndarray]:

@@ -22,11 +22,12 @@ def rank_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
     return shared.crossJoin(pairs).withColumn("tau", F.coalesce((F.col("concordant") - F.col("discordant")) / F.when(total != 0, total), F.lit(0.0)))
 
 
-def misattachment_audit(articles: DataFrame, top: DataFrame, suspect: float = 0.15) -> DataFrame:
+def misattachment_audit(articles: DataFrame, top: DataFrame, suspect: float = 0.15, most: int = 1000) -> DataFrame:
     """articles(article_id, story_id, title), top(story_id, title): is an article's title closer to another top story?
 
-    top is a short list, so it is broadcast.
+    top is the short list of a report: at most `most` stories take part, the first by id, and they are broadcast.
     """
+    top = top.orderBy("story_id").limit(most)
     t = F.broadcast(top.select(F.col("story_id").alias("other"), tokens_eval(F.col("title")).alias("other_tokens")))
     own = articles.join(F.broadcast(top.select("story_id")), "story_id", "left_semi").withColumn("tokens", tokens_eval(F.col("title")))
     sim = jaccard(F.col("tokens"), F.col("other_tokens"))
@@ -37,6 +38,12 @@ def misattachment_audit(articles: DataFrame, top: DataFrame, suspect: float = 0.
     return out.withColumn("margin", F.col("self_sim") - F.col("best_other_sim")).withColumn("conflict", F.col("margin") <= 0).withColumn("suspect", F.col("best_other_sim") - F.col("self_sim") >= suspect)
 
 
+def audit_summary(audited: DataFrame) -> DataFrame:
+    """Averages, the rate of conflicts and the number of suspects of misattachment_audit(), as one row."""
+    rate = F.avg(F.col("conflict").cast("double"))
+    return audited.agg(F.round(F.avg("self_sim"), 4).alias("avg_title_match"), F.round(F.avg("margin"), 4).alias("avg_margin"), F.round(rate, 4).alias("conflict_rate"), F.count_if("suspect").alias("suspects"), F.count("*").alias("articles"))
+
+
 def retrieval_recall(labels: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     """labels(query_id, true_story_id), candidates(query_id, story_id, rank) -> k, hits, n, recall."""
     found = labels.join(candidates.withColumnRenamed("story_id", "true_story_id"), ["query_id", "true_story_id"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def list_sources(sources: DataFrame) -> DataFrame:
@@ -25,3 +25,8 @@ def latest_output(stories: DataFrame, cache: DataFrame) -> DataFrame:
     """Each story's latest cached output; MISSING where there is none.  cache(story_id, status, output_json, error, updated_at)."""
     last = cache.groupBy("story_id").agg(F.max_by(F.struct("status", "output_json", "error", "updated_at"), F.struct("updated_at", "status")).alias("c"))
     return stories.select("story_id").join(last, "story_id", "left").select("story_id", F.coalesce("c.status", F.lit("MISSING")).alias("status"), "c.output_json", "c.error", "c.updated_at")
+
+
+def open_stories(stories: DataFrame, since: Column) -> DataFrame:
+    """stories(story_id, end_time, created_at) without an end or with one that is not before `since`, newest first."""
+    return stories.where(F.col("end_time").isNull() | (F.col("end_time") >= since)).orderBy(F.coalesce("end_time", "created_at").desc(), F.col("story_id").desc())

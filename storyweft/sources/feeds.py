@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from storyweft.operators.store import first_of, insert_ignore
 
-ITEM = "title STRING, link STRING, description STRING, pubDate STRING, updated STRING, _corrupt_record STRING"
+#: An RSS item or an Atom entry; an Atom link is an attribute, and there may be several.
+ITEM = "title STRING, link ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>>, description STRING, summary STRING, content STRING, pubDate STRING, published STRING, updated STRING, _corrupt_record STRING"
 #: RFC 2822 with a zone name or offset, then ISO.
 FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss")
 
@@ -19,12 +20,20 @@ def published(text: Column) -> Column:
 
 
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item", limit: int = 50) -> DataFrame:
-    """The first `limit` entries of every feed file: feed, position, title, url, summary, published_at, broken."""
-    rows = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(ITEM).load(path)
-    rows = rows.select(F.input_file_name().alias("feed"), F.monotonically_increasing_id().alias("at"), "*")
-    out = rows.select("feed", "at", F.trim("title").alias("title"), F.trim("link").alias("url"), F.trim(F.coalesce("description", F.lit(""))).alias("summary"), F.coalesce(published(F.col("pubDate")), published(F.col("updated"))).alias("published_at"), (F.col("_corrupt_record").isNotNull() | (F.col("title").isNull() & F.col("link").isNull())).alias("broken"))
-    from pyspark.sql import Window as W
+    """The first `limit` entries of every feed file: feed, position, title, url, summary, published_at, broken.
 
+    row_tag is item for RSS and entry for Atom.  A feed is one document, so files are read whole (multiLine) and the
+    order of its entries is theirs.  Of an Atom entry's links the alternate one counts, else the first.
+    """
+    rows = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").option("multiLine", True).schema(ITEM).load(path)
+    rows = rows.select(F.input_file_name().alias("feed"), F.monotonically_increasing_id().alias("at"), "*")
+    page = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    first = F.coalesce(F.get(page, F.lit(0)), F.get("link", F.lit(0)))
+    url = F.trim(F.coalesce(first["_href"], first["_VALUE"]))
+    summary = F.trim(F.coalesce("description", "summary", "content", F.lit("")))
+    at = F.coalesce(*[published(F.col(c)) for c in ("pubDate", "published", "updated")])
+    broken = F.col("_corrupt_record").isNotNull() | (F.col("title").isNull() & F.col("link").isNull())
+    out = rows.select("feed", "at", F.trim("title").alias("title"), url.alias("url"), summary.alias("summary"), at.alias("published_at"), broken.alias("broken"))
     return out.withColumn("position", F.row_number().over(W.partitionBy("feed").orderBy("at"))).where(F.col("position") <= limit).drop("at")
 
 
@@ -35,6 +44,15 @@ def new_entries(entries: DataFrame, known: DataFrame) -> DataFrame:
     return insert_ignore(first_of(cut, "url", F.col("position")), known, "url")
 
 
-def feed_health(entries: DataFrame) -> DataFrame:
-    """Per feed, entries and broken ones; a broken feed does not stop the others."""
-    return entries.groupBy("feed").agg(F.count("*").alias("entries"), F.count_if("broken").alias("broken_entries"))
+def feed_health(entries: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """Per feed, entries and broken ones; a broken feed does not stop the others.
+
+    fetches(feed, http_status, error) are the attempts to fetch: their feeds come too, with status FAILED where there was
+    an error or a code of 400 or more, EMPTY where there is no entry, and OK otherwise.
+    """
+    per = entries.groupBy("feed").agg(F.count("*").alias("entries"), F.count_if("broken").alias("broken_entries"))
+    if fetches is None:
+        return per
+    out = fetches.join(per, "feed", "left").fillna(0, ["entries", "broken_entries"])
+    failed = F.col("error").isNotNull() | (F.coalesce("http_status", F.lit(0)) >= 400)
+    return out.withColumn("status", F.when(failed, "FAILED").when(F.col("entries") == 0, "EMPTY").otherwise("OK"))

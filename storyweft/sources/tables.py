@@ -1,4 +1,4 @@
-"""Checked CSV input and output, JSON reports, named views, seeds."""
+"""Checked CSV input and output, JSON reports, named views, seeds."""
 
 from __future__ import annotations
 
@@ -32,6 +32,67 @@ def named_views(frames: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+#: The names and addresses of the sources that a new table starts with.
+SOURCES = [
+    ("BBC News", "http://feeds.bbci.co.uk/news/rss.xml"),
+    ("BBC World", "http://feeds.bbci.co.uk/news/world/rss.xml"),
+    ("CNN Top", "http://rss.cnn.com/rss/edition.rss"),
+    ("CNN World", "http://rss.cnn.com/rss/edition_world.rss"),
+    ("NPR News", "https://feeds.npr.org/1001/rss.xml"),
+    ("NYTimes Home", "https://rss.nytimes.com/services/xml/rss/nyt/HomePage.xml"),
+    ("NYTimes World", "https://rss.nytimes.com/services/xml/rss/nyt/World.xml"),
+    ("NYTimes US", "https://rss.nytimes.com/services/xml/rss/nyt/US.xml"),
+    ("NYTimes Business", "https://rss.nytimes.com/services/xml/rss/nyt/Business.xml"),
+    ("NYTimes Technology", "https://rss.nytimes.com/services/xml/rss/nyt/Technology.xml"),
+    ("The Guardian World", "https://www.theguardian.com/world/rss"),
+    ("The Guardian US", "https://www.theguardian.com/us-news/rss"),
+    ("Al Jazeera", "https://www.aljazeera.com/xml/rss/all.xml"),
+    ("Deutsche Welle", "https://rss.dw.com/rdf/rss-en-all"),
+    ("Sky News World", "https://feeds.skynews.com/feeds/rss/world.xml"),
+    ("ABC News Top", "https://abcnews.go.com/abcnews/topstories"),
+    ("NBC News Top", "https://feeds.nbcnews.com/nbcnews/public/news"),
+    ("Fox News Latest", "https://feeds.foxnews.com/foxnews/latest"),
+    ("NYTimes Politics", "https://rss.nytimes.com/services/xml/rss/nyt/Politics.xml"),
+    ("Washington Post Politics", "https://feeds.washingtonpost.com/rss/politics"),
+    ("CNN US", "http://rss.cnn.com/rss/cnn_us.rss"),
+    ("DW World (EN)", "https://rss.dw.com/rdf/rss-en-world"),
+    ("France24 EN", "https://www.france24.com/en/rss"),
+    ("Japan Times", "https://www.japantimes.co.jp/feed/"),
+    ("PBS NewsHour Headlines", "https://www.pbs.org/newshour/feeds/rss/headlines"),
+    ("Vox", "https://www.vox.com/rss/index.xml"),
+    ("The Conversation Global Atom", "https://theconversation.com/global/articles.atom"),
+    ("WSJ World News", "https://feeds.a.dj.com/rss/RSSWorldNews.xml"),
+    ("WSJ US Business", "https://feeds.a.dj.com/rss/WSJcomUSBusiness.xml"),
+    ("CNBC Top News", "https://www.cnbc.com/id/100003114/device/rss/rss.html"),
+    ("CNBC World News", "https://www.cnbc.com/id/100727362/device/rss/rss.html"),
+    ("NBC News World", "https://feeds.nbcnews.com/nbcnews/public/world"),
+    ("CBS News World", "https://www.cbsnews.com/latest/rss/world"),
+    ("ABC News World", "https://abcnews.go.com/abcnews/internationalheadlines"),
+    ("Korea Times", "https://www.koreatimes.co.kr/www/rss/rss.xml"),
+    ("Channel NewsAsia", "https://www.channelnewsasia.com/rssfeeds/8396082"),
+    ("SCMP Top News", "https://www.scmp.com/rss/91/feed"),
+    ("Al Jazeera English", "https://www.aljazeera.com/xml/rss/all.xml"),
+    ("The Straits Times", "https://www.straitstimes.com/news/world/rss.xml"),
+    ("Hong Kong Free Press", "https://hongkongfp.com/feed/"),
+    ("BBC Chinese", "https://feeds.bbci.co.uk/zhongwen/simp/rss.xml"),
+    ("FT Chinese", "https://www.ftchinese.com/rss/feed"),
+]
+
+
+def seed_sources(spark: SparkSession) -> DataFrame:
+    """The fixed sources; one address stands there twice."""
+    return spark.createDataFrame(SOURCES, "name string, url string")
+
+
+def daily_views(logs: DataFrame) -> None:
+    """logs(created_at, eval_type, metrics, params as JSON) as the views vw_gap_hints_daily and vw_top_events_params_daily."""
+    day = F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day")
+    number = lambda c, path: F.get_json_object(c, f"$.{path}").cast("double")
+    gap = logs.where("eval_type = 'gap_hints_daily'").groupBy(day).agg(F.count("*").alias("events_checked"), F.sum(F.when(F.get_json_object("metrics", "$.gap_found").cast("boolean"), 1).otherwise(0)).alias("events_with_gap"), F.avg(number("metrics", "dominant_source_ratio")).alias("avg_dominant_source_ratio"), F.avg(number("metrics", "missing_type_count")).alias("avg_missing_type_count"))
+    top = logs.where("eval_type = 'top_events_params'").groupBy(day).agg(*[F.max(number("params", c).cast("int")).alias(c) for c in ("window_hours", "tau_hours")], *[F.max(number("params", f"weights.{c}")).alias(f"w_{c}") for c in ("hot", "div", "fresh")], F.count("*").alias("runs"))
+    named_views({"vw_gap_hints_daily": gap.orderBy(F.col("day").desc()), "vw_top_events_params_daily": top.orderBy(F.col("day").desc())})
+
+
 def seeded(table: DataFrame, seeds: DataFrame, key: str = "url") -> DataFrame:
     """Table and the seeds that it lacks."""
     return table.unionByName(seeds.dropDuplicates([key]).join(table.select(key), key, "left_anti"), allowMissingColumns=True)
@@ -40,3 +101,14 @@ def seeded(table: DataFrame, seeds: DataFrame, key: str = "url") -> DataFrame:
 def seed_story(articles: DataFrame, story_id: int, n: int = 3) -> DataFrame:
     """Links of a first story to the n articles with the largest ids."""
     return articles.orderBy(F.col("article_id").desc()).limit(n).select(F.lit(story_id).cast("long").alias("story_id"), "article_id")
+
+
+def mock_candidates(spark: SparkSession) -> DataFrame:
+    """A few candidate pairs for a dry run without tables, one for each path of the judgement's rules and its grey zone."""
+    rows = [
+        (1, 2, 0.81, 7.0, ["quake", "japan"], 2, 3.0, 0.6),
+        (3, 4, 0.60, 5.0, ["budget", "senate"], 3, 30.0, 0.3),
+        (5, 6, 0.50, 2.0, ["world"], 9, 60.0, 0.1),
+        (7, 8, 0.30, 2.0, ["storm"], 9, 60.0, 0.3),
+    ]
+    return spark.createDataFrame(rows, "a long, b long, score double, weight double, evidence array<string>, df_min long, hours double, title_jaccard double")
