@@ -212,8 +212,11 @@ def verified(pairs: DataFrame, lists: DataFrame, percent: int = 75) -> DataFrame
     return _sides(pairs, lists).select("a", "b", (100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).alias("linked"))
 
 
-def homes(tokens: DataFrame, links: DataFrame | None) -> DataFrame:
-    """tokens(node, token) -> node, home: the class with the most links that the node meets in any of its lists."""
+def homes(tokens: DataFrame, links: DataFrame | None, work: str, steps: int = 3) -> DataFrame:
+    """tokens(node, token) -> node, home, step: candidates for a home, the last step being the best.
+
+    Step 0 is the class with the most links that the node meets in any of its lists, each further one is the choice of the one before.
+    """
     tokens = tokens.select("node", "token")
     if links is None:
         tokens = tokens.withColumn("degree", F.lit(0).cast("long"))
@@ -221,40 +224,58 @@ def homes(tokens: DataFrame, links: DataFrame | None) -> DataFrame:
         ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
         tokens = tokens.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left").fillna(0, "degree")
     best = tokens.groupBy("token").agg(F.max(F.struct("degree", "node")).alias("best"))
-    return tokens.join(best, "token").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("home"))
+    own = saved(tokens.join(best, "token").groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("home")), f"{work}/homes")
+    up = own.select(F.col("node").alias("home"), F.col("home").alias("next"))
+    out = own.select("node", F.array("home").alias("chain"), "home")
+    for _ in range(steps):
+        out = out.join(up, "home").select("node", F.array_append("chain", F.col("next")).alias("chain"), F.col("next").alias("home"))
+    return out.select("node", F.posexplode("chain").alias("step", "home")).groupBy("node", "home").agg(F.max("step").alias("step"))
 
 
 def differences(homed: DataFrame, lists: DataFrame, percent: int = 75) -> DataFrame:
-    """homed(node, home, component, home_component) -> node, home, n, component, apart, need, items.
-
-    R is the part of the home's set that other classes have.  A node's difference to R has `apart` items, of which
-    `items` may be shared.  With q = (100 - percent) / (100 + percent), nodes x and y link if and only if their symmetric
-    difference has at most q (|x| + |y|) items, that is, if their differences share at least
-    (apart x + apart y - q (|x| + |y|)) / 2 items.  Of two nodes in different components at least one is not linked
-    with the home, so its apart is over q (|x| + |R|) (nodes that are linked with R but not with the home are left out
-    here).  With |y| <= |R| + apart y this gives the least number `need` of items that a node shares with any partner.
-    Nodes that have little in common with their home are left out too: they stay in the index of plain tokens.
+    """homed(node, home, step) -> of each node's last step with something in common: node, home, n, r, apart, items, f.
+
+    R is the part of the home's set that other classes have, r its size.  A node's difference to R has `apart` items, of
+    which `items` may be shared.  With q = (100 - percent) / (100 + percent), nodes x and y link if and only if their
+    symmetric difference has at most q (n x + n y) items, that is, if their differences share at least (g x + g y) / 2
+    items, where g = apart - q n; f is (100 + percent) g.  Nodes that have little in common with any of their
+    homes are left out: they stay in the index of plain tokens.
     """
-    rows = _sides(homed.withColumnRenamed("node", "a").withColumnRenamed("home", "b"), lists)
-    rows = rows.withColumn("r", F.size("tb")).withColumn("apart", F.col("na") + F.col("r") - 2 * F.col("both"))
-    near = F.col("component") == F.col("home_component")
-    within = (100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("r"))
-    need = F.when(near, F.ceil(percent * F.col("apart") / (100 + percent))).otherwise(F.ceil(((100 + percent) * F.col("apart") - (100 - percent) * (F.col("na") + F.col("r"))) / 200))
-    items = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
-    rows = rows.where((near | ~within) & (4 * F.col("both") >= F.col("na") + F.col("r") - F.col("both")))
-    return rows.select(F.col("a").alias("node"), F.col("b").alias("home"), F.col("na").alias("n"), "component", "apart", F.greatest(F.lit(1), need).cast("int").alias("need"), items.alias("items"))
+    rows = _sides(homed.withColumnRenamed("node", "a").withColumnRenamed("home", "b"), lists).withColumn("r", F.size("tb"))
+    rows = rows.where(4 * F.col("both") >= F.col("na") + F.col("r") - F.col("both")).withColumn("apart", F.col("na") + F.col("r") - 2 * F.col("both"))
+    at = F.struct("step", F.col("b").alias("home"), F.col("na").alias("n"), "r", "apart", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("items"), ((100 + percent) * F.col("apart") - (100 - percent) * F.col("na")).alias("f"))
+    return rows.select(F.col("a").alias("node"), at.alias("at")).groupBy("node").agg(F.max_by("at", "at.step").alias("at")).select("node", "at.home", "at.n", "at.r", "at.apart", "at.items", "at.f")
+
+
+def centres(nodes: DataFrame) -> DataFrame:
+    """nodes: rows of differences() -> pairs (a, b) of each node and the one with the least f of its home.
+
+    Where f x + f y <= 0, no shared item is needed; then both link with the one that has the least f, too.
+    """
+    least = nodes.groupBy("home").agg(F.min(F.struct("f", "node")).alias("c")).select("home", F.col("c.node").alias("centre"))
+    return nodes.join(least, "home").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
 
 def met_by_differences(nodes: DataFrame, work: str, percent: int = 75) -> DataFrame:
-    """nodes: rows of differences() -> pairs (a, b) of one home and different components whose differences may overlap enough."""
-    rows = saved(nodes.select("home", "node", "n", "component", "apart", "need", F.explode("items").alias("item")), f"{work}/items")
+    """nodes: rows of differences() with component -> pairs (a, b) of one home and different components whose differences may overlap enough.
+
+    A node shares at least (f + the least f of other components of its home) / 2 / (100 + percent) items with a partner.
+    Also n y <= r + apart y, and apart y is at least what is shared, which gives (f - (100 - percent) r) / 200.
+    """
+    least = nodes.groupBy("home").agg(F.min(F.struct("f", "component")).alias("least"))
+    paired = nodes.select("home", "f", "component").join(least, "home")
+    second = paired.where(F.col("component") != F.col("least.component")).groupBy("home").agg(F.min("f").alias("second"))
+    rival = F.when(F.col("component") == F.col("least.component"), F.col("second")).otherwise(F.col("least.f"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("f") + rival) / (2 * (100 + percent))), F.ceil((F.col("f") - (100 - percent) * F.col("r")) / 200))
+    nodes = nodes.join(least.join(second, "home"), "home").withColumn("need", need.cast("int"))
+    rows = saved(nodes.select("home", "node", "n", "component", "f", "need", F.explode("items").alias("item")), f"{work}/items")
     shared = rows.groupBy("home", "item").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("home", "item", "df")
-    order = rows.join(shared, ["home", "item"]).groupBy("home", "node", "n", "component", "apart", "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("t"))
+    order = rows.join(shared, ["home", "item"]).groupBy("home", "node", "n", "component", "f", "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("t"))
     order = order.withColumn("size", F.size("t")).where(F.col("size") >= F.col("need"))
-    keys = order.select("home", "node", "n", "component", "apart", "size", F.posexplode(F.slice("t", F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "t"))
-    keys = saved(keys.select("home", F.col("t.item").alias("item"), "node", "n", "component", "apart", "size", (F.col("size") - F.col("at")).alias("left")), f"{work}/item_keys")
+    keys = order.select("home", "node", "n", "component", "f", F.posexplode(F.slice("t", F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "t"), "size")
+    keys = saved(keys.select("home", F.col("t.item").alias("item"), "node", "n", "component", "f", (F.col("size") - F.col("at")).alias("left")), f"{work}/item_keys")
     a, b = keys.alias("a"), keys.alias("b")
-    need = ((100 + percent) * (F.col("a.apart") + F.col("b.apart")) - (100 - percent) * (F.col("a.n") + F.col("b.n"))) / (2 * (100 + percent))
+    need = (F.col("a.f") + F.col("b.f")) / (2 * (100 + percent))
     same = (F.col("a.home") == F.col("b.home")) & (F.col("a.item") == F.col("b.item"))
     met = a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (F.least("a.left", "b.left") >= need))
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
@@ -322,12 +343,12 @@ def class_components(docs: DataFrame, by_id: bool = True, width: int = 5, percen
     spans = F.min("component") < F.max("component")
     tokens = labelled(postings.select("node", "n", "most", "token", "df", "left"))
     tokens = saved(tokens.join(tokens.groupBy("token").agg(spans.alias("open")).where("open").select("token"), "token"), f"{work}/open")
-    at_home = saved(homes(tokens.where(F.col("df") > rare), links), f"{work}/homes")
+    at_home = saved(homes(tokens.where(F.col("df") > rare), links, work), f"{work}/candidates")
     settle(at_home.where("node <> home").select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct(), "home_links")
-    homed = labelled(labelled(at_home), "home", "home_component")
-    homed = homed.join(homed.groupBy("home").agg(spans.alias("open")).where("open").select("home"), "home")
-    nodes = saved(differences(homed, lists, percent), f"{work}/differences")
-    settle(met_by_differences(nodes, work, percent), "near_copies")
+    nodes = saved(differences(at_home, lists, percent), f"{work}/differences")
+    settle(labelled(labelled(centres(nodes), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), "centres")
+    open_homes = labelled(nodes).groupBy("home").agg(spans.alias("open")).where("open").select("home")
+    settle(met_by_differences(labelled(nodes).join(open_homes, "home"), work, percent), "near_copies")
     tokens = labelled(tokens.drop("component")).join(nodes.select("node", "home"), "node", "left").withColumn("home", F.coalesce("home", "node"))
     settle(met_by_tokens(tokens, work, rare, percent), "rest")
     return rows, labelled(classes.select("class", "first"), "class")
