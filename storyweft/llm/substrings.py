@@ -54,13 +54,29 @@ def gram_hashes(b: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def sampled(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, position, gram) of the sampled suffixes; grams have 48 bits."""
+def sampled(texts: list[bytes], least: int = LEAST, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, position, gram) of the sampled suffixes; grams have 48 bits.  Windows are hashed `chunk` at a time."""
     texts_n = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
-    if len(b) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts = np.cumsum(texts_n) - texts_n
+    inside = np.zeros(len(b) + 1, np.int8)  # windows that lie in one text
+    long = texts_n >= least
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, starts[long] + texts_n[long] - least + 1, -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for lo in range(0, len(b) - least + 1, chunk):
+        at, key = _sampled(b[lo : lo + chunk + least - 1], inside[lo : lo + chunk], least)
+        found.append((at + lo, key))
+    at, key = (np.concatenate(c) for c in zip(*found, strict=True))
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    at, key = at[new], key[new]
+    doc = np.searchsorted(starts, at, "right") - 1
+    return doc, at - starts[doc], key
+
+
+def _sampled(b: np.ndarray, inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = gram_hashes(b, GRAM)
         span = least - GRAM + 1
@@ -70,16 +86,9 @@ def sampled(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndar
             low = np.minimum(low[:-w], low[w:])
             w *= 2
         low = np.minimum(low[: len(low) - (span - w)], low[span - w :])
-        inside = np.zeros(len(low) + 1, np.int8)  # windows that lie in one text
-        long = texts_n >= least
-        np.add.at(inside, starts[long], 1)
-        np.add.at(inside, starts[long] + texts_n[long] - least + 1, -1)
-        s = np.nonzero(np.cumsum(inside[:-1]))[0]
+        s = np.nonzero(inside[: len(low)])[0]
         at = s + (((low[s] & U(0xFFFF)).astype(np.int64) - s) & 0xFFFF)
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-        key = _mix(h[at], 0xA0761D6478BD642F, 29) >> U(16)
-    doc = np.searchsorted(starts, at, "right") - 1
-    return doc, at - starts[doc], key
+        return at, _mix(h[at], 0xA0761D6478BD642F, 29) >> U(16)
 
 
 def _shared(order_key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,9 +107,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of at most about BLOCK bytes of text (a longer text alone)."""
     rows, size = [], 0
     for b in batches:
-        for r in b.to_pylist():
-            rows.append(r)
-            size += len(r["text"])
+        for doc, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+            rows.append({"doc_id": doc.as_py(), "text": text.as_py()})
+            size += len(rows[-1]["text"])
             if size >= BLOCK:
                 yield rows
                 rows, size = [], 0
@@ -108,6 +117,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    for k in range(len(batch)):
+        yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def _by_doc(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order].astype("<i4")
@@ -249,6 +264,19 @@ def _strings(ctx: np.ndarray, least: int) -> np.ndarray:
     return h[:, ::-1].copy()
 
 
+def _by_gram(grams: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
+    """Indices of rows in parts of about `size`, equal rows in one part."""
+    with np.errstate(over="ignore"):
+        key = gram_hashes(np.ascontiguousarray(grams).ravel(), GRAM)[::GRAM]
+    order = np.argsort(key, kind="stable")
+    ends = np.append(np.nonzero(np.diff(key[order]))[0] + 1, len(order))
+    at = 0
+    while at < len(order):
+        end = int(ends[np.searchsorted(ends, min(at + size, len(order)))])
+        yield order[at:end]
+        at = end
+
+
 def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least: int = LEAST, flush: int = 1 << 16) -> DataFrame:
     """docs(doc_id, h, z), candidates(doc, at) -> doc_id, h, at, mask: bit j of a mask says that the string that starts j bytes before at also starts in a smaller document.  Positions with equal bytes are
     thinned within `flush` entries."""
@@ -293,7 +321,7 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
 
         rows, n = [], 0
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 text = np.frombuffer(unpack(r["z"]), np.uint8)
                 at = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in r["at"]])).astype(np.int64)
                 at = at[at + GRAM <= len(text)]
@@ -325,13 +353,14 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
                 unpack = zstandard.ZstdDecompressor().decompress
                 ctx = np.concatenate([np.frombuffer(unpack(x), np.uint8).reshape(-1, wide) for x in rows["bytes"]])
                 mask = np.zeros(len(doc), np.uint64)
-                strings = np.concatenate([_strings(ctx[k : k + 8192], least) for k in range(0, len(ctx), 8192)])
-                r, j = np.nonzero(valid)
-                value, of = strings[r, j], doc[r]
-                order, first, _ = _shared(value, of)
-                least_doc = of[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else of
-                hit = order[of[order] > least_doc]
-                np.bitwise_or.at(mask, r[hit], U(1) << j[hit].astype(np.uint64))
+                for part in _by_gram(ctx[:, back : back + GRAM]):
+                    strings = _strings(ctx[part], least)
+                    r, j = np.nonzero(valid[part])
+                    value, of = strings[r, j], doc[part][r]
+                    order, first, _ = _shared(value, of)
+                    least_doc = of[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else of
+                    hit = order[of[order] > least_doc]
+                    np.bitwise_or.at(mask, part[r[hit]], U(1) << j[hit].astype(np.uint64))
                 twins = [np.frombuffer(x, TWIN) for x in rows["twins"]]
                 sizes = np.array([len(x) // 8 for x in rows["docs"]])
                 of = np.concatenate([t["of"] + lo for t, lo in zip(twins, np.cumsum(sizes) - sizes, strict=True)])
@@ -368,7 +397,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     seen = docs.agg(F.sum(F.length("text")).alias("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5]).alias("cuts")).first()
-    family = SuffixIndexFamily(spark, int(min(65536, max(24, (seen["n"] or 0) // shard_bytes))), least)
+    family = SuffixIndexFamily(spark, int(max(24, (seen["n"] or 0) // shard_bytes)), least)
     cuts = sorted({*(seen["cuts"] or [])} if batches > 1 else [])
     for k in range(len(cuts) + 1):
         part = docs
@@ -388,7 +417,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
             pack, there = zstandard.ZstdCompressor(level=3).compress, np.unpackbits(bits.value, bitorder="little")
             for b in batches_:
                 b = b.filter(pa.array(there[b.column("bit").to_numpy()] == 1))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([pack(t) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "h", "z"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([pack(t.as_buffer()) for t in b.column("text")], pa.binary())], ["doc_id", "h", "z"])
 
         return keyed.mapInArrow(pack_texts, "doc_id long, h long, z binary")
 
@@ -402,7 +431,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
             there = np.unpackbits(bits.value, bitorder="little")
             for b in batches_:
                 b = b.filter(pa.array(there[b.column("bit").to_numpy()] == 0))
-                yield _batch([(None if i == NO_ID else i, len(t), 0, 0, hashlib.sha256(t).hexdigest(), [], []) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)], RESULT_SCHEMA)
+                yield _batch([(None if i == NO_ID else i, len(t), 0, 0, hashlib.sha256(t).hexdigest(), [], []) for i, t in zip(b.column("doc_id").to_pylist(), (t.as_py() for t in b.column("text")), strict=True)], RESULT_SCHEMA)
 
         return keyed.mapInArrow(digest, RESULT)
 
@@ -410,7 +439,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches_:
             out = []
-            for r in b.to_pylist():
+            for r in _rows(b):
                 text = unpack(r["z"])
                 gone = np.zeros(len(text) + 1, np.int32)
                 if r["first"] is not None and r["first"] < r["doc_id"]:
