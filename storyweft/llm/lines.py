@@ -1,18 +1,23 @@
 """Line dedup by a log-template tree, with DataFrame and SQL functions only.
 
 A line's tokens that hold a digit are variable fields from the start.  The tree has a fixed depth: lines are parsed by
-their token count and their first `depth` tokens.  In a leaf with several wordings, a position whose token more than
-half of the leaf shares is fixed and any other is variable; lines that agree with the fixed positions in `similarity`
-of their tokens belong to the leaf's template, any other line is a template of its own.  Templates that recur in
-min_texts different texts are dropped, except in the document with the smallest doc_id that has them.  Exact copies
-of a text count once, so that copies of a whole document are left to document dedup.
-
-Only hashes of lines are counted; tokens are compared for one holder of each wording in leaves that could recur.  Hot
-lines are pre-aggregated by (line, text), and joins to them have one row per line on the other side.
-
-Defined cases: null texts stay null and have no lines; lines of fewer than min_tokens tokens and empty lines are always
-kept; a template repeated within its first document stays there; repeated rows are treated alike; an empty table gives
-no rows; the input's columns stay in one struct, so other columns may have any name.
+their token count, by their first `depth` tokens, and then `splits` times by the further token that most wordings of
+their node share.  A node with several wordings has a template: a position whose token more than half of the wordings
+share is fixed, and any other is variable; wordings that agree with the fixed positions in `similarity` of their tokens
+belong to it, if one of these tokens is a word.  The others go on to the node's children, where they vote anew, so that
+templates that share count and leading tokens do not drown each other, and however often one wording recurs, it has
+one vote.  Templates (and single wordings) that recur in min_texts different texts are dropped, except in the
+document with the smallest doc_id that has them.  Exact copies of a text count once, so that copies of a whole document
+are left to document dedup.
+
+Only 64-bit hashes of lines are counted (10^11 different lines would give some 300 collisions); tokens are compared for
+one holder of each wording in nodes that could recur.  Hot lines are pre-aggregated by (line, text), and joins to them
+have one row per line on the other side.
+
+Defined cases: null texts stay null and have no lines; lines of fewer than min_tokens tokens, empty lines and lines of
+variable fields alone are always kept; very long lines are lines like others; of tokens that as many wordings share the
+first in the line leads on; a template repeated within its first document stays there; repeated rows are treated alike;
+an empty table gives no rows; the input's columns stay in one struct, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,8 +30,13 @@ from storyweft.llm.common import saved, shared_dir, table
 VARIABLE = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
 
 
+#: Blanks that are not one space.
+BLANKS = r"[\t\r ]{2,}+|[\t\r]"
+
+
 def _masked_lines(text: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(F.regexp_replace(text, VARIABLE, "<*>"), r"[\t\r ]++", " "), "\n", -1), F.trim)
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x)
+    return F.transform(F.split(F.regexp_replace(text, BLANKS, " "), "\n", -1), lambda x: F.trim(masked(x)))
 
 
 def _tokens(line: Column) -> Column:
@@ -38,28 +48,41 @@ def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
-def recurring_lines(docs: DataFrame, depth: int = 4, min_texts: int = 5, min_tokens: int = 3, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, depth: int = 4, splits: int = 3, min_texts: int = 5, min_tokens: int = 3, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> lines(doc_id, h, line, leaf) and recurring(line, first_doc): one row per wording to drop."""
     work = shared_dir(docs.sparkSession)
     of_line = lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(_tokens(x), F.substring_index(x, " ", depth)).alias("leaf"))
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform(F.filter(_masked_lines(F.col("text")), lambda x: (_tokens(x) >= min_tokens) & (x != "")), of_line))).alias("l"))
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform(F.filter(_masked_lines(F.col("text")), lambda x: (_tokens(x) >= min_tokens) & (F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "")), of_line))).alias("l"))
     lines = saved(lines.select("doc_id", "h", "l.line", "l.leaf"), f"{work}/lines")
     texts = lines.groupBy("line", "leaf", "h").agg(F.min("doc_id").alias("doc_id"))
     counts = saved(texts.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")), f"{work}/counts")
     exact = counts.where(F.col("n") >= min_texts).select("line", "first_doc")
-    open_leaves = counts.groupBy("leaf").agg(F.count("*").alias("wordings"), F.sum("n").alias("total")).where((F.col("wordings") > 1) & (F.col("total") >= min_texts)).select("leaf", "total")
+    may_recur = (F.count("*") > 1) & (F.sum("n") >= min_texts)
+    open_leaves = counts.groupBy("leaf").agg(may_recur.alias("open")).where("open").select("leaf")
     wordings = counts.join(open_leaves, "leaf")
     asked = wordings.groupBy("first_doc").agg(F.collect_set("line").alias("asked"))
     found = docs.join(asked, docs["doc_id"] == asked["first_doc"]).select(F.explode(F.filter(F.transform(_masked_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), x.alias("words"))), lambda s: F.array_contains("asked", s.line))).alias("s"))
     found = found.select("s.line", F.split("s.words", " ").alias("words")).groupBy("line").agg(F.first("words").alias("words"))
-    wordings = saved(wordings.join(found, "line").select("line", "leaf", "n", "total", "words"), f"{work}/wordings")
-    votes = wordings.select("leaf", "total", "n", F.posexplode("words").alias("at", "word")).groupBy("leaf", "at", "word", "total").agg(F.sum("n").alias("votes"))
-    trees = votes.where(F.col("votes") * 2 > F.col("total")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("fixed"))
-    agreed = F.expr("size(filter(transform(words, (w, i) -> element_at(fixed, i) <=> w), x -> x))")
-    members = saved(wordings.join(trees, "leaf").where(agreed >= similarity * F.size("words")).select("line", "leaf"), f"{work}/members")
-    spread = lines.join(members.withColumnRenamed("leaf", "template"), "line").groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
+    node = saved(wordings.join(found, "line").select("line", F.col("leaf").alias("node"), "n", "words"), f"{work}/wordings0")
+    templates = None
+    for k in range(splits + 1):
+        tokens = node.select("node", "line", F.posexplode("words").alias("at", "word"))
+        votes = tokens.groupBy("node", "at", "word").agg(F.count("*").alias("votes")).join(node.groupBy("node").agg(F.count("*").alias("total")), "node")
+        votes = saved(votes.where((F.col("votes") > 1) | (2 * F.col("votes") > F.col("total"))), f"{work}/votes{k}")
+        fixed = 2 * F.col("votes") > F.col("total")
+        seen = tokens.join(votes, ["node", "at", "word"], "left").groupBy("node", "line").agg(
+            ((F.count_if(fixed) >= similarity * F.count("*")) & (F.count_if(fixed & (F.col("word") != "<*>")) > 0)).alias("member"), F.max(F.when(F.col("votes") < F.col("total"), F.struct("votes", (-F.col("at")).alias("at"), "word"))).alias("next")
+        )
+        seen = saved(seen, f"{work}/seen{k}")
+        members = seen.where("member").select("line", F.col("node").alias("template"))
+        templates = members if templates is None else templates.unionByName(members)
+        if k < splits:
+            rest = node.join(seen.where("NOT member AND next IS NOT NULL").select("line", F.xxhash64("node", "next.at", "next.word").alias("child")), "line").select("line", F.col("child").alias("node"), "n", "words")
+            rest = saved(rest, f"{work}/rest{k}")
+            node = saved(rest.join(rest.groupBy("node").agg(may_recur.alias("open")).where("open").select("node"), "node").select("line", "node", "n", "words"), f"{work}/wordings{k + 1}")
+    spread = lines.join(templates, "line").groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
     spread = spread.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_texts)
-    loose = members.join(spread, F.col("leaf") == F.col("template")).select("line", "first_doc")
+    loose = templates.join(spread, "template").select("line", "first_doc")
     return lines, saved(exact.unionByName(loose).groupBy("line").agg(F.min("first_doc").alias("first_doc")), f"{work}/recurring")
 
 

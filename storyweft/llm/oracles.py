@@ -27,21 +27,29 @@ f AS (SELECT node, min(seen) AS component FROM t GROUP BY node)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(component, n.doc_id) AS component_id, coalesce(c.c, n.doc_id) AS class_id FROM n LEFT JOIN c ON n.k = c.k AND n.n = c.n LEFT JOIN f ON f.node = c.c
 """
 
-OP7_SQL = r"""
+def _tree(k: int) -> str:
+    """Level k of the template tree: votes (u), members (b) and the children (n, then g of the next level)."""
+    return rf"""
+v{k} AS (SELECT m, g, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM g{k}),
+u{k} AS (SELECT g, pos, word, votes, total FROM (SELECT g, pos, word, count(*) AS votes FROM v{k} GROUP BY ALL) JOIN (SELECT g, count(*) AS total FROM g{k} GROUP BY g) USING (g)),
+h{k} AS (SELECT m, g, count(*) FILTER (2 * votes > total) >= 0.7 * count(*) AND count(*) FILTER (2 * votes > total AND word <> '<*>') > 0 AS member, max(struct_pack(votes := votes, pos := -pos, word := word)) FILTER (votes < total AND (votes > 1 OR 2 * votes > total)) AS next FROM v{k} JOIN u{k} USING (g, pos, word) GROUP BY m, g),
+n{k} AS (SELECT g{k}.m, w, n, concat(g, chr(1), next.pos, ' ', next.word) AS g FROM g{k} JOIN h{k} USING (m, g) WHERE NOT member AND next IS NOT NULL),
+g{k + 1} AS (SELECT n{k}.* FROM n{k} JOIN (SELECT g FROM n{k} GROUP BY g HAVING count(*) > 1 AND sum(n) >= 5) USING (g)),"""
+
+
+OP7_SQL = rf"""
 WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 q AS (SELECT doc_id, text, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM p),
 m AS (SELECT *, trim(regexp_replace(regexp_replace(line, '[^\s]*[0-9][^\s]*', '<*>', 'g'), '[\t\r ]+', ' ', 'g')) AS m FROM q),
 z AS (SELECT *, string_split(m, ' ') AS w FROM m),
-y AS (SELECT DISTINCT doc_id, text, m, w, len(w) || ' ' || array_to_string(w[1:4], ' ') AS leaf FROM z WHERE len(w) >= 3 AND m <> ''),
+y AS (SELECT DISTINCT doc_id, text, m, w, len(w) || ' ' || array_to_string(w[1:4], ' ') AS leaf FROM z WHERE len(w) >= 3 AND trim(replace(m, '<*>', '')) <> ''),
 t AS (SELECT m, w, leaf, text, min(doc_id) AS d FROM y GROUP BY ALL),
 c AS (SELECT m, w, leaf, count(*) AS n, min(d) AS first_doc FROM t GROUP BY ALL),
-o AS (SELECT leaf, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 5),
-v AS (SELECT m, leaf, n, total, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM c JOIN o USING (leaf)),
-x AS (SELECT leaf, pos, word FROM v GROUP BY leaf, pos, word, total HAVING sum(n) * 2 > total),
-b AS (SELECT v.m, v.leaf FROM v LEFT JOIN x ON x.leaf = v.leaf AND x.pos = v.pos AND x.word = v.word GROUP BY v.m, v.leaf HAVING count(x.word) >= 0.7 * count(*)),
-s AS (SELECT b.leaf, t.text, min(d) AS d FROM b JOIN t ON t.m = b.m GROUP BY ALL),
-g AS (SELECT leaf, min(d) AS first_doc FROM s GROUP BY leaf HAVING count(*) >= 5),
-r AS (SELECT m, min(first_doc) AS first_doc FROM (SELECT m, first_doc FROM c WHERE n >= 5 UNION ALL SELECT b.m, g.first_doc FROM b JOIN g USING (leaf)) GROUP BY m),
+g0 AS (SELECT m, w, n, leaf AS g FROM c JOIN (SELECT leaf FROM c GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 5) USING (leaf)),{"".join(map(_tree, range(4)))}
+b AS ({" UNION ALL ".join(f"SELECT m, g FROM h{k} WHERE member" for k in range(4))}),
+s AS (SELECT b.g, t.text, min(d) AS d FROM b JOIN t ON t.m = b.m GROUP BY ALL),
+f AS (SELECT g, min(d) AS first_doc FROM s GROUP BY g HAVING count(*) >= 5),
+r AS (SELECT m, min(first_doc) AS first_doc FROM (SELECT m, first_doc FROM c WHERE n >= 5 UNION ALL SELECT b.m, f.first_doc FROM b JOIN f USING (g)) GROUP BY m),
 k AS (SELECT z.doc_id, z.i, z.line, r.m IS NOT NULL AND z.doc_id <> r.first_doc AS gone FROM z LEFT JOIN r ON r.m = z.m)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id
 """

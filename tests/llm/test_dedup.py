@@ -128,24 +128,77 @@ def test_lines(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def brute_lines(rows, least=5, tokens=3):
-    """Exact recurring lines only: dropped but in their first document."""
+def masked_lines(text):
     import re
 
-    of = lambda t: [re.sub(r"[\t\r ]+", " ", re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", x)).strip(" ") for x in t.split("\n")]
+    return [re.sub(r"[\t\r ]+", " ", re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", x)).strip(" ") for x in text.split("\n")]
+
+
+def brute_lines(rows, least=5, tokens=3, depth=4, splits=3, similarity=0.7):
+    """The template tree, wording by wording."""
     texts, first = {}, {}
     for i, t in rows:
-        for x in of(t or ""):
-            if len(x.split(" ")) >= tokens and x:
+        for x in masked_lines(t or ""):
+            if len(x.split(" ")) >= tokens and x.replace("<*>", "").strip():
                 texts.setdefault(x, set()).add(t)
                 first[x] = min(first.get(x, i), i)
-    drop = {x for x in texts if len(texts[x]) >= least}
-    return sorted((i, "\n".join(a for a, b in zip(t.split("\n"), of(t)) if b not in drop or first[b] == i)) for i, t in rows)
+    drop = {x: first[x] for x in texts if len(texts[x]) >= least}
+    nodes = {}
+    for x in texts:
+        w = x.split(" ")
+        nodes.setdefault((len(w), *w[:depth]), []).append(w)
+    for k in range(splits + 1):
+        children = {}
+        for key, node in nodes.items():
+            if len(node) < 2 or sum(len(texts[" ".join(w)]) for w in node) < least:
+                continue
+            votes = Counter((j, v) for w in node for j, v in enumerate(w))
+            fixed = {t for t, n in votes.items() if 2 * n > len(node)}
+            agreed = lambda w: [v for j, v in enumerate(w) if (j, v) in fixed]  # noqa: E731, B023
+            members = [w for w in node if len(agreed(w)) >= similarity * len(w) and set(agreed(w)) - {"<*>"}]
+            of = set().union(*(texts[" ".join(w)] for w in members))
+            for w in members if len(of) >= least else []:
+                x = " ".join(w)
+                drop[x] = min(drop.get(x, 1 << 62), min(first[" ".join(v)] for v in members))
+            for w in node:
+                shared = [(votes[j, v], -j, v) for j, v in enumerate(w) if 1 < votes[j, v] < len(node)]
+                if w not in members and shared:
+                    children.setdefault((key, max(shared)[1:]), []).append(w)
+        nodes = children
+    return sorted((i, "\n".join(a for a, b in zip(t.split("\n"), masked_lines(t)) if drop.get(b, i) == i)) for i, t in rows)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(n))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    hot = [words(rng, 6) for _ in range(3)] + ["12 34 56 78"]
+    heads = [words(rng, 4) for _ in range(3)]
+    tails = [words(rng, 5).split(" ") for _ in range(4)]
+
+    def line():
+        kind = rng.random()
+        if kind < 0.4:
+            return words(rng, 8)
+        if kind < 0.6:
+            return rng.choice(hot)
+        tail = list(rng.choice(tails))
+        tail[rng.randrange(5)] = words(rng, 1)
+        return f"{rng.choice(heads)} {' '.join(tail)}" + (f"\t at {rng.randrange(99)}" if rng.random() < 0.3 else "")
+
+    rows = [(i, "\n".join(line() for _ in range(8))) for i in range(70)]
+    got = sorted((r.doc_id, r.text) for r in lines.line_deduplicated(cases.documents(spark, rows)).collect())
+    assert got == brute_lines(rows)
 
 
-def test_lines_equal_brute_force_without_generalising(spark):
-    rng = __import__("random").Random(5)
-    hot = [cases.prose(rng, 6).replace("w", "v") for _ in range(5)]
-    rows = [(i, "\n".join(cases.prose(rng, 9) if rng.random() < 0.6 else rng.choice(hot) for _ in range(6))) for i in range(60)]
-    got = sorted((r.doc_id, r.text) for r in lines.line_deduplicated(cases.documents(spark, rows), similarity=2.0).collect())
-    assert got == brute_lines(rows)
+def test_templates_that_share_a_leaf_are_both_found(spark):
+    rng = random.Random(9)
+    a, b = "the job on alpha named {} has ended well", "the job on alpha was put off until {}"
+    rows = [(i, f"{(a, b)[i % 2].format(words(rng, 1))}\n{words(rng, 7)}") for i in range(40)]
+    rows += [(100 + i, "the job on alpha that is the hot line\n" + words(rng, 7)) for i in range(60)]
+    docs = cases.documents(spark, rows)
+    got = {r.doc_id: r.text for r in lines.line_deduplicated(docs).collect()}
+    assert sum(t.startswith("the job") for t in got.values()) == 3 and got == dict(brute_lines(rows))
