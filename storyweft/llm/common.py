@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from storyweft.sources.shared import saved, shared_dir  # noqa: F401  shared with the operators of this package
+
 #: White space that separates words in the contracts of these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,21 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-storyweft-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/storyweft-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """Cuts lineage: writes the rows as Parquet in the shared folder and reads them again."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a folder that saved() wrote, through the store's own file system."""
     jvm = spark._jvm

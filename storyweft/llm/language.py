@@ -6,8 +6,9 @@ once per distinct word.  Training takes a sample of labelled rows of expected si
 task; a tenth of it is set aside to fit the softmax temperature and the level below which a prediction counts as
 rejected (column accepted): the lowest confidence at which at most 1 % of the rows above it are wrong.
 
-Defined cases: a null text and a text without a letter are `und` with score 0; null languages are not learned from;
-without labelled rows everything is `und`; repeated rows are predicted each; other columns are ignored.
+Defined cases: a null text and a text without a letter are `und` with score 0; very long texts are read whole; of equally
+likely languages the first by name is predicted; null languages are not learned from; without labelled rows everything is
+`und`; repeated rows are predicted each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

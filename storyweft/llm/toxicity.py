@@ -5,9 +5,11 @@ whole text.  Training takes a sample of labelled rows whose expected size is tra
 task that runs the sequential updates holds a bounded number of rows.  Per-coordinate rates and L1 leave few non-zero
 weights; at most 2**BITS of them go to the driver and are broadcast.  Scoring reads every whole text in Arrow batches.
 
-Defined cases: null and empty texts get the score of the intercept; labels that are null are not learned from; without
-any labelled row every score is 0; repeated rows are scored each; other columns are ignored, and ids, languages and
-sources are never features.
+Defined cases: null and empty texts get the score of the intercept; very long texts are scored whole; labels that are
+null are not learned from; of the labels of one doc_id the toxic one counts, and of its texts the least one is learned
+from, so repeated rows do not enlarge the sample; a score of exactly 0.5 is predicted toxic; without any labelled row
+every score is 0; repeated rows are scored each; an empty table gives no rows; other columns are ignored, and ids,
+languages and sources are never features.
 """
 
 from __future__ import annotations
@@ -75,10 +77,11 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 6, alpha: float = 3.0
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) -> list[tuple[int, float]]:
     """Non-zero weights by feature, at most 2**BITS + 1 of them; rows that held_out() keeps are not seen."""
-    known = labels.where("toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    known = labels.where("toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20))
     sample = known.where(draw < int((1 << 20) * min(1.0, train_rows / max(1, n)))).join(docs.select("doc_id", "text"), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Features()

@@ -70,3 +70,70 @@ def test_language_without_labels(spark):
     docs = speech(spark, 30).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identified(docs, language.train(docs)).collect()} == {"und"}
     assert language.identified(docs.limit(0), None).count() == 0
+
+
+def plain_features(text):
+    """Kinds of features as texts: words, and pairs with up to two words between."""
+    import re
+
+    w = re.findall(r"\w+", (text or "").lower())
+    return {("word", x) for x in w} | {(gap, a, b) for gap in (1, 2, 3) for a, b in zip(w, w[gap:])}
+
+
+def test_features_are_the_distinct_words_and_pairs():
+    f = toxicity.Features()
+    for text in ["a b c a b", "one two", "x", "", None, "ä ö ü ß " * 50, cases.prose(__import__("random").Random(1), 300)]:
+        assert len(f(text)) == len(plain_features(text)) or len(plain_features(text)) > 500 and len(f(text)) > 0.99 * len(plain_features(text))
+        assert list(f(text)) == list(toxicity.Features()(text))
+
+
+def test_ftrl_equals_the_scalar_algorithm():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 40, 6)), int(rng.random() < 0.4)) for _ in range(120)] + [(np.array([toxicity.HALF + 3]), 1)]
+    alpha, beta, l1, positive = 3.0, 1.0, 0.5, 2.0
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+    value = lambda i: 0.3 if toxicity.HALF <= i < bias else 1.0
+
+    def weight(i):
+        limit = 0.0 if i == bias else l1
+        if abs(z.get(i, 0.0)) <= limit:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * limit) / ((beta + n[i] ** 0.5) / alpha)
+
+    for _ in range(6):
+        for x, y in rows:
+            ids = [*map(int, x), bias]
+            w = [weight(i) for i in ids]
+            p = 1 / (1 + np.exp(-sum(a * value(i) for a, i in zip(w, ids))))
+            for i, a in zip(ids, w):
+                g = (p - y) * (positive if y else 1.0) * value(i)
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * a
+                n[i] = n.get(i, 0.0) + g * g
+    got = toxicity.ftrl(rows, l1=l1)
+    assert np.allclose(got[list(z)], [weight(i) * value(i) for i in z]) and not np.delete(got, list(z)).any()
+
+
+def test_scores_equal_a_plain_sum(spark):
+    docs, labels = labelled(spark, 200)
+    weights = toxicity.train(docs, labels)
+    w, f = dict(weights), toxicity.Features()
+    rows = {r.doc_id: r.score for r in toxicity.scored(docs, weights).collect()}
+    for r in docs.collect():
+        x = w[1 << toxicity.BITS] + sum(w.get(int(i), 0.0) for i in f(r.text))
+        assert abs(rows[r.doc_id] - 1 / (1 + np.exp(-x))) < 1e-9
+    twice = docs.unionByName(docs.where("doc_id < 50"))
+    assert toxicity.train(twice, labels.unionByName(labels)) == weights
+
+
+def test_language_scores_equal_a_plain_average(spark):
+    docs = speech(spark, 120)
+    m = language.train(docs)
+    table = np.array(m["sums"]).reshape(-1, len(m["langs"]))
+    for r in language.identified(docs, m).join(docs.drop("lang"), "doc_id").collect():
+        grams = []
+        for w in language.words(r.text):
+            marked = f"<{w}>"
+            grams += [marked] + [marked[i : i + k] for k in (2, 3, 4) for i in range(len(marked) - k + 1)]
+        x = (sum(table[cases.crc(g) % language.BUCKETS] for g in grams) / len(grams) + np.array(m["bias"])) / m["temperature"]
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert r.lang_pred == m["langs"][int(p.argmax())] and abs(r.score - p.max()) < 1e-9
