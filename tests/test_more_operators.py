@@ -111,3 +111,21 @@ def test_story_page_takes_the_rewritten_title(spark):
     sources = spark.createDataFrame([(0, "S")], "source_id int, source string")
     page = cov.story_detail(1, a, stories, sources, ad.as_of())
     assert page["summary"].first().title == "new" and page["articles"].first().country == "Unknown" and page["histograms"].first().by_kind == {"UNKNOWN": 1}
+
+
+def test_model_step(spark):
+    from storyweft.plans import models
+
+    rows = spark.createDataFrame([(1, ["a", "longer", None]), (2, None), (3, ["x"]), (4, ["y"])], "story_id long, titles array<string>")
+    got = {r.story_id: (r.status, r.output_json) for r in models.model_answers(rows).collect()}
+    assert got == {1: ("SUCCESS", '{"title": "longer"}'), 2: ("SUCCESS", '{"title": ""}'), 3: ("SUCCESS", '{"title": "x"}'), 4: ("SUCCESS", '{"title": "y"}')}
+
+    def broken(requests):
+        if any(r["story_id"] == 3 for r in requests):
+            raise TimeoutError("slow")
+        return ["[1]" if r["story_id"] == 4 else "{}" for r in requests]
+
+    got = {r.story_id: (r.status, r.error) for r in models.model_answers(rows, broken, batch=1).collect()}
+    assert got == {1: ("SUCCESS", None), 2: ("SUCCESS", None), 3: ("ERROR", "TimeoutError: slow"), 4: ("ERROR", "no JSON object")}
+    cache = spark.createDataFrame([(1, "SUCCESS", datetime(2024, 1, 30, 23)), (2, "SUCCESS", datetime(2024, 1, 1)), (3, "ERROR", datetime(2024, 1, 30))], "story_id long, status string, updated_at timestamp_ntz")
+    assert {r.story_id for r in models.refreshed_titles(rows, cache, ad.as_of()).collect()} == {2, 3, 4}
