@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from storyweft.llm.common import saved, shared_dir, table
+from storyweft.llm.common import saved, shared_dir, short_batches, table
 from storyweft.llm.components import connected
 
 NO_ID = (1 << 63) - 1
@@ -306,7 +306,8 @@ def class_components(docs: DataFrame, by_id: bool = True, width: int = 5, percen
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(24, size // shard_bytes))
     answers = set_blocks(docs, shards, width).groupBy("shard").applyInPandas(_answer, ANSWERS)
-    answers = saved(answers, f"{work}/answers")
+    with short_batches(docs.sparkSession):
+        answers = saved(answers, f"{work}/answers")
     rows = answers.where("kind = 1").select("doc_id", "h", "class", "n")
     classes = saved(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), f"{work}/classes")
     lists = saved(class_lists(answers.where("kind = 0"), classes.where("n > 0"), shards, percent), f"{work}/lists")

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from storyweft.llm.common import saved, shared_dir, table
+from storyweft.llm.common import saved, shared_dir, short_batches, table
 
 TOKENIZER, CAPACITY = "word_bpe_49k.json", 2048
 #: Words that a worker remembers, and bytes of text that it splits at once.
@@ -54,11 +54,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers as pre
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.words.normalizer = None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
-        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
         self._forget()
 
@@ -291,7 +292,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    return packed(saved(token_pieces(docs, tokenizer, capacity), shared_dir(docs.sparkSession)), capacity)
+    with short_batches(docs.sparkSession):
+        pieces = saved(token_pieces(docs, tokenizer, capacity), shared_dir(docs.sparkSession))
+    return packed(pieces, capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

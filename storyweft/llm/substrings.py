@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storyweft.llm.common import dropped, saved, shared_dir, table
+from storyweft.llm.common import dropped, saved, shared_dir, short_batches, table
 
 LEAST, GRAM, BLOCK = 50, 16, 3 << 20
 NO_ID = (1 << 63) - 1
@@ -222,7 +222,8 @@ class SuffixIndexFamily:
             rank += 1
         for r, batch in self.levels.items():
             blocks = blocks.unionByName(self._rows().where((F.col("batch") == batch) & (F.col("kind") == 0)).withColumn("level", F.lit(r)).drop("batch"))
-        blocks.groupBy("shard").applyInPandas(_scan(merged, not last), RUN).write.partitionBy("kind").parquet(f"{self.work}/batch={self.batches}")
+        with short_batches(self.spark):
+            blocks.groupBy("shard").applyInPandas(_scan(merged, not last), RUN).write.partitionBy("kind").parquet(f"{self.work}/batch={self.batches}")
         for r in merged:
             dropped(self.spark, f"{self.work}/batch={self.levels.pop(r)}/kind=0")
         if not last:
@@ -423,7 +424,8 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
 
     asked = family.candidates().join(firsts.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
     asked = saved(asked, f"{work}/asked")
-    masks = saved(repeated_strings(packed(_filter_of(asked, "doc")), asked, 4 * family.shards, least, flush), f"{work}/masks")
+    with short_batches(spark):
+        masks = saved(repeated_strings(packed(_filter_of(asked, "doc")), asked, 4 * family.shards, least, flush), f"{work}/masks")
     masks = masks.groupBy("doc_id", "h").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
 
     def whole(bits):
