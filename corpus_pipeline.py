@@ -1,4 +1,9 @@
-"""The training-data pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over the documents table, each written as Parquet and read again by the next.
+
+Every stage takes null texts and ids, repeated rows, very long texts, an empty table and further columns of any name; what
+becomes of them is said with each stage, ties in the operator's own docstring.  All but the last return the columns of
+their input.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,43 @@ from storyweft.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go.
+
+    A null or empty text is judged by the intercept; every repeated row is judged alike; without labels all stay.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but for their first document; every document stays."""
+    """Lines of templates that recur across documents go, but for their first document; every document stays.
+
+    A null text stays null; a text of dropped lines alone becomes empty; exact copies of a text count once.
+    """
     return line_deduplicated(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id (null last).
+
+    Texts without a word are nobody's duplicates and all stay; different texts of one doc_id are judged apart.
+    """
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their targets; a document that is drawn twice comes twice."""
+    """Sources are mixed to their targets; a document that is drawn twice comes twice.
+
+    A null source is a source of its own; a document without a word has nothing to take and is not in the mix; the
+    one document at which a source's last pass ends is cut at a word.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of the documents' token pieces in the training sequences."""
+    """The places of the documents' token pieces in the training sequences.
+
+    Every row is tokenised, a document that comes twice twice; longer texts than a sequence are cut into pieces.
+    """
     return best_fit_packing(docs)
 
 
