@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from storyweft.llm.chat import op3_chat_formatting
 from storyweft.llm.jaccard import op5_ngram_jaccard
 from storyweft.llm.language import op8_language_id
 from storyweft.llm.lines import op7_line_dedup
 from storyweft.llm.media import op4_media_columns
 from storyweft.llm.mixing import op9_mixing
-from storyweft.llm.oracles import OP1_SQL, OP5_SQL, OP7_SQL
+from storyweft.llm.oracles import CHAT_SQL, MIX_SQL, OP1_SQL, OP5_SQL, OP7_SQL
 from storyweft.llm.packing import op6_best_fit_packing
 from storyweft.llm.substrings import op1_suffix_array_dedup
 from storyweft.llm.topk import OP10_SQL, op10_exact_top_k
 from storyweft.llm.toxicity import op2_toxicity
 
+
+
+def chat_digests(spark, sf_dir):
+    """The columns of op3 that SQL can say: all but the length of what was formatted."""
+    return op3_chat_formatting(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def mix_targets(spark, sf_dir):
+    """The columns of op9 that SQL can say: sizes and targets, not what was drawn."""
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
@@ -25,5 +39,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "chat_digests": chat_digests,
+    "mix_targets": mix_targets,
 }
-ORACLE_SQL = {"op1_suffix_array_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLE_SQL = {"op1_suffix_array_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_exact_top_k": OP10_SQL, "chat_digests": CHAT_SQL, "mix_targets": MIX_SQL}
