@@ -54,6 +54,15 @@ def gram_hashes(b: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """gram_hashes() of whole rows, whose length is a power of two."""
+    with np.errstate(over="ignore"):
+        h = _mix(rows.astype(np.uint64) + U(1), 0x9E3779B97F4A7C15, 32)
+        while h.shape[1] > 1:
+            h = _mix(h[:, ::2] * U(0xC2B2AE3D27D4EB4F) + h[:, 1::2], 0xD6E8FEB86659FD93, 31)
+    return h[:, 0]
+
+
 def sampled(texts: list[bytes], least: int = LEAST, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, position, gram) of the sampled suffixes; grams have 48 bits.  Windows are hashed `chunk` at a time."""
     texts_n = np.array([len(t) for t in texts], np.int64)
@@ -267,8 +276,7 @@ def _strings(ctx: np.ndarray, least: int) -> np.ndarray:
 
 def _by_gram(grams: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
     """Indices of rows in parts of about `size`, equal rows in one part."""
-    with np.errstate(over="ignore"):
-        key = gram_hashes(np.ascontiguousarray(grams).ravel(), GRAM)[::GRAM]
+    key = row_hashes(grams)
     order = np.argsort(key, kind="stable")
     ends = np.append(np.nonzero(np.diff(key[order]))[0] + 1, len(order))
     at = 0
@@ -278,6 +286,24 @@ def _by_gram(grams: np.ndarray, size: int = 1 << 14) -> Iterator[np.ndarray]:
         at = end
 
 
+def _held_before(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Marks the strings (by hash) that a smaller document holds too."""
+    out = np.zeros(len(value), bool)
+    if len(value):
+        order = np.argsort(value)
+        v, d = value[order], doc[order]
+        first = np.concatenate([[True], v[1:] != v[:-1]])
+        out[order] = d > np.minimum.reduceat(d, np.nonzero(first)[0])[np.cumsum(first) - 1]
+    return out
+
+
+def _bits(rows: np.ndarray) -> np.ndarray:
+    """Rows of at most 64 marks as numbers, the first mark being bit 0."""
+    wide = np.zeros((len(rows), 64), bool)
+    wide[:, : rows.shape[1]] = rows
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least: int = LEAST, flush: int = 1 << 16) -> DataFrame:
     """docs(doc_id, h, z), candidates(doc, at) -> doc_id, h, at, mask: bit j of a mask says that the string that starts j bytes before at also starts in a smaller document.  Positions with equal bytes are
     thinned within `flush` entries."""
@@ -289,7 +315,7 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
         def emit(rows):
             doc, h, at, lead, size, ctx = (np.concatenate(c) for c in zip(*rows, strict=True))
             with np.errstate(over="ignore"):
-                gram = _mix(gram_hashes(ctx[:, back : back + GRAM].ravel(), GRAM)[:: GRAM], 0xA0761D6478BD642F, 29) >> U(16)
+                gram = _mix(row_hashes(ctx[:, back : back + GRAM]), 0xA0761D6478BD642F, 29) >> U(16)
                 whole = np.zeros(len(doc), np.uint64)
                 for k in range(0, wide + (-wide) % 8, 8):
                     part = np.zeros((len(doc), 8), np.uint8)
@@ -343,31 +369,26 @@ def repeated_strings(docs: DataFrame, candidates: DataFrame, shards: int, least:
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         done = []
         read = lambda rows, c, t: np.concatenate([np.frombuffer(x, t) for x in rows[c]])
-        bits = U(2 ** (back + 1) - 1)
         for kind, rows in pdf.groupby("kind"):
             doc, h, at, bounds = read(rows, "docs", "<i8"), read(rows, "hs", "<i8"), read(rows, "at", "<i4"), read(rows, "bounds", np.uint8).reshape(-1, 2).astype(np.int64)
             js = np.arange(back + 1)
             valid = (js <= bounds[:, :1]) & (js >= least - bounds[:, 1:])  # starts j before at and ends inside the text
             if kind == 1:
-                mask = (valid.astype(np.uint64) << js.astype(np.uint64)).sum(1, dtype=np.uint64)
+                mask = _bits(valid)
             else:
                 unpack = zstandard.ZstdDecompressor().decompress
                 ctx = np.concatenate([np.frombuffer(unpack(x), np.uint8).reshape(-1, wide) for x in rows["bytes"]])
                 mask = np.zeros(len(doc), np.uint64)
                 for part in _by_gram(ctx[:, back : back + GRAM]):
-                    strings = _strings(ctx[part], least)
-                    r, j = np.nonzero(valid[part])
-                    value, of = strings[r, j], doc[part][r]
-                    order, first, _ = _shared(value, of)
-                    least_doc = of[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else of
-                    hit = order[of[order] > least_doc]
-                    np.bitwise_or.at(mask, part[r[hit]], U(1) << j[hit].astype(np.uint64))
+                    hits = np.zeros((len(part), back + 1), bool)
+                    hits[valid[part]] = _held_before(_strings(ctx[part], least)[valid[part]], np.repeat(doc[part], valid[part].sum(1)))
+                    mask[part] = _bits(hits)
                 twins = [np.frombuffer(x, TWIN) for x in rows["twins"]]
                 sizes = np.array([len(x) // 8 for x in rows["docs"]])
                 of = np.concatenate([t["of"] + lo for t, lo in zip(twins, np.cumsum(sizes) - sizes, strict=True)])
                 twins = np.concatenate(twins)
                 doc, h, at, mask = np.append(doc, doc[of]), np.append(h, twins["h"]), np.append(at, twins["at"]), np.append(mask, mask[of])
-            some = (mask & bits) != 0
+            some = mask != 0
             done.append(_masks(doc[some], h[some], at[some], mask[some]))
         return pd.concat(done) if done else pd.DataFrame({"doc_id": [], "h": [], "at": [], "mask": []})
 
@@ -450,10 +471,11 @@ def substring_dedup(docs: DataFrame, batches: int = 3, least: int = LEAST, shard
                         gone[-1] -= 1
                 elif r["at"]:
                     at, mask = (np.concatenate([np.frombuffer(x, t) for x in r[c]]) for c, t in (("at", "<i4"), ("mask", "<u8")))
-                    i, j = np.nonzero((mask[:, None] >> np.arange(least - GRAM + 1, dtype=np.uint64)) & U(1))
-                    s = np.unique(at[i].astype(np.int64) - j)
-                    gone[s] += 1
-                    np.add.at(gone, s + least, -1)
+                    i, j = np.nonzero(np.unpackbits(np.ascontiguousarray(mask).view(np.uint8).reshape(-1, 8), axis=1, count=least - GRAM + 1, bitorder="little"))
+                    starts = np.zeros(len(text) + 1, bool)
+                    starts[at[i].astype(np.int64) - j] = True
+                    gone += starts
+                    gone[least:] -= starts[: len(gone) - least]
                 covered = np.cumsum(gone[:-1]) > 0
                 edge = np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))
                 starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
