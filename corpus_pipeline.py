@@ -20,8 +20,10 @@ from storyweft.llm.toxicity import without_toxic
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go.
 
+    Whole texts go through Python here, so the session's Arrow batches are made short: a batch stays some MB.
     A null or empty text is judged by the intercept; every repeated row is judged alike; without labels all stay.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 

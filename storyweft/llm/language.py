@@ -144,7 +144,7 @@ def identified(docs: DataFrame, model: dict | None) -> DataFrame:
         model = Model(langs, np.zeros((1, 1)), np.zeros((1, len(langs))), np.array(m["bias"]), m["temperature"], m["least"])
         model.table = np.array(m["sums"]).reshape(-1, max(1, len(langs)))
         for b in batches:
-            found = [model.predict(t) for t in b.column("text").to_pylist()]
+            found = [model.predict(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
 
     return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, accepted boolean")

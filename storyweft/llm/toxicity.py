@@ -32,6 +32,10 @@ CACHE = 200_000
 MIX = [(np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))]
 
 
+def str_of(x: pa.Scalar) -> str | None:
+    return x.as_py()
+
+
 class Features:
     """Hashes words once; a text's features are array operations on its words' hashes."""
 
@@ -110,7 +114,7 @@ def scored(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
             w[i] = x
         for b in batches:
             if sent.value:
-                s = np.array([w[f(t)].sum() + w[-1] for t in b.column("text").to_pylist()], np.float64)
+                s = np.array([w[f(t)].sum() + w[-1] for t in map(str_of, b.column("text"))], np.float64)
                 s = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
             else:
                 s = np.zeros(b.num_rows)
@@ -136,7 +140,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) ->
         for i, x in sent.value:
             w[i] = x
         for b in batches:
-            clean = [not sent.value or w[f(t)].sum() + w[-1] < 0 for t in b.column(at).to_pylist()]
+            clean = [not sent.value or w[f(t)].sum() + w[-1] < 0 for t in map(str_of, b.column(at))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that any column name will do
