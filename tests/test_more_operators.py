@@ -129,3 +129,18 @@ def test_model_step(spark):
     assert got == {1: ("SUCCESS", None), 2: ("SUCCESS", None), 3: ("ERROR", "TimeoutError: slow"), 4: ("ERROR", "no JSON object")}
     cache = spark.createDataFrame([(1, "SUCCESS", datetime(2024, 1, 30, 23)), (2, "SUCCESS", datetime(2024, 1, 1)), (3, "ERROR", datetime(2024, 1, 30))], "story_id long, status string, updated_at timestamp_ntz")
     assert {r.story_id for r in models.refreshed_titles(rows, cache, ad.as_of()).collect()} == {2, 3, 4}
+
+
+def test_embedded_titles_are_signed_counts(spark):
+    import zlib
+
+    from storyweft.functions.vectors import embed
+
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["c"])], "id long, tokens array<string>")
+    for r in embed(rows, F.col("tokens"), batch=1).join(rows, "id").collect():
+        want = [0.0] * 384
+        for t in r.tokens:
+            h = zlib.crc32(t.encode())
+            want[h % 384] += 1.0 if h >> 31 else -1.0
+        norm = sum(x * x for x in want) ** 0.5 or 1.0
+        assert all(abs(x - y / norm) < 1e-6 for x, y in zip(r.embedding, want))
