@@ -586,6 +586,14 @@ def touch_window(spark, d):
     return cov.touch_window(o, ad.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("story_id"), F.col("l_shipdate").alias("published_at")))
 
 
+@query("""SELECT story_id, end_time FROM (SELECT o_orderkey AS story_id, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS end_time FROM orders) WHERE end_time IS NULL OR end_time >= TIMESTAMP '1996-01-01 00:00:00'""")
+def open_stories(spark, d):
+    """Orders that are open have no end."""
+    end = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp_ntz"))
+    o = ad.read(spark, d, "orders").select(F.col("o_orderkey").alias("story_id"), end.alias("end_time"), F.col("o_orderdate").alias("created_at"))
+    return ls.open_stories(o, ad.as_of("1996-01-01 00:00:00")).select("story_id", "end_time")
+
+
 @query(r"""SELECT DISTINCT source, CASE WHEN lower(trim(source)) = 'src1' THEN '来源一' WHEN regexp_matches(concat('BBC ', source), '(?i)^bbc(\s|$)') AND source LIKE 'src2%' THEN 'BBC新闻' ELSE trim(source) END AS name_zh FROM documents""")
 def source_names(spark, d):
     s = ad.read(spark, d, "documents").select("source").distinct()

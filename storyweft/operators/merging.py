@@ -63,16 +63,15 @@ def lexical_pairs(stories: DataFrame, window_hours: float, least: float = 0.2) -
     post = t.select("story_id", "ts", F.size("t").alias("n"), F.explode(F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(F.col("t"))).alias("token"))
     a, b = post.alias("a"), post.alias("b")
     near = F.abs(hours_between(F.col("a.ts"), F.col("b.ts"))) <= max(1, window_hours)
-    both = a.join(b, (F.col("a.token") == F.col("b.token")) & near & _newer()).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b")).agg(F.count("*").alias("k"), F.max("a.n").alias("n"), F.max("b.n").alias("m"))
+    both = a.join(b, (F.col("a.token") == F.col("b.token")) & near & _newer()).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b")).agg(F.count("*").alias("k"), F.max("a.n").alias("n"), F.max("b.n").alias("m"), F.min("a.ts").alias("ts_a"), F.min("b.ts").alias("ts_b"))
     alike = F.when(F.col("n") + F.col("m") == 0, 1.0).otherwise(F.col("k") / (F.col("n") + F.col("m") - F.col("k")))
-    none = F.array().cast("array<string>")
-    return both.select("a", "b", alike.alias("weight"), F.lit(0).cast("long").alias("overlap"), none.alias("tokens"), F.lit(None).cast("long").alias("df_min")).where(F.col("weight") >= least)
+    return both.select("a", "b", alike.alias("weight"), F.lit(0).cast("long").alias("overlap"), F.lit(None).cast("long").alias("df_min"), "ts_a", "ts_b").where(F.col("weight") >= least)
 
 
 def _weights(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    """Pairs a, b of two aliased posting lists with weight, overlap, tokens and df_min."""
+    """Pairs a, b of two aliased posting lists with weight, overlap, df_min and both times."""
     pairs = a.join(b, on).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"))
-    return pairs.agg(F.sum("a.idf").alias("weight"), F.count("*").alias("overlap"), F.sort_array(F.collect_list("a.token")).alias("tokens"), F.min("a.df").alias("df_min"))
+    return pairs.agg(F.sum("a.idf").alias("weight"), F.count("*").alias("overlap"), F.min("a.df").alias("df_min"), F.min("a.ts").alias("ts_a"), F.min("b.ts").alias("ts_b"))
 
 
 def gated_pairs(post: DataFrame, window_hours: float) -> DataFrame:
@@ -125,13 +124,20 @@ def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int =
         pairs = saved(gated_pairs(post, window_hours), f"{work}/pairs")
         near = pairs.agg(F.max("weight").alias("weight"))
         top = near.crossJoin(largest_weight(post, near)).select(F.greatest("weight", "top").alias("top"))
-    side = lambda x: stories.select(F.col("story_id").alias(x), F.col("title").alias(f"title_{x}"), F.col("ts").alias(f"ts_{x}"), F.col("signature").alias(f"sig_{x}"))
-    out = pairs.where((F.size("tokens") == 0) | (F.col("overlap") >= min_overlap)).crossJoin(F.broadcast(top)).join(side("a"), "a").join(side("b"), "b")
     hours = F.coalesce(F.abs(hours_between(F.col("ts_a"), F.col("ts_b"))), F.lit(9999.0))
-    jac = jaccard(tokens_word(F.col("title_a")), tokens_word(F.col("title_b")))
-    raw = 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.20 * jac + 0.10 * F.greatest(F.lit(0.0), 1 - hours / window_hours)
-    out = out.withColumn("hours", hours).withColumn("title_jaccard", jac).where(F.col("hours") <= window_hours).withColumn("score", F.round(raw, 4))
-    out = out.where(~((F.col("score") < 0.10) & (F.col("weight") < 1.5)))
+    out = pairs.where((F.col("overlap") == 0) | (F.col("overlap") >= min_overlap)).crossJoin(F.broadcast(top)).withColumn("hours", hours).where(F.col("hours") <= window_hours)
+    out = out.withColumn("known", 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / window_hours))
+    # titles are compared only where the score could be among the top_k: titles add at most 0.20
+    sure = out.where((F.col("known") >= 0.10) | (F.col("weight") >= 1.5)).select(F.round("known", 4).alias("s")).orderBy(F.col("s").desc()).limit(top_k)
+    least = sure.agg(F.when(F.count("*") == top_k, F.min("s")).otherwise(0.0).alias("least"))
+    out = out.crossJoin(F.broadcast(least)).where(F.round(F.col("known") + 0.20, 4) >= F.col("least"))
+    lists = post.groupBy("story_id").agg(F.collect_list("token").alias("listed"))
+    sides = stories.join(lists, "story_id", "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
+    side = lambda x: sides.select(F.col("story_id").alias(x), tokens_word(F.col("title")).alias(f"words_{x}"), F.col("signature").alias(f"sig_{x}"), F.col("listed").alias(f"listed_{x}"))
+    jac = jaccard(F.col("words_a"), F.col("words_b"))
+    out = out.join(side("a"), "a").join(side("b"), "b").withColumn("title_jaccard", jac).withColumn("tokens", F.sort_array(F.array_intersect("listed_a", "listed_b")))
+    raw = 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.20 * F.col("title_jaccard") + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / window_hours)
+    out = out.withColumn("score", F.round(raw, 4)).where(~((F.col("score") < 0.10) & (F.col("weight") < 1.5)))
     out = out.orderBy(F.col("score").desc(), F.round("weight", 6).desc(), "a", "b").limit(top_k)
     merged = F.slice(F.sort_array(F.array_union("sig_a", "sig_b")), 1, 12)
     return out.select("a", "b", "score", F.round("weight", 4).alias("weight"), F.slice("tokens", 1, 8).alias("evidence"), "df_min", F.round("hours", 6).alias("hours"), F.round("title_jaccard", 6).alias("title_jaccard"), merged.alias("merged_signature"))
