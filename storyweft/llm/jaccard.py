@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from storyweft.llm.common import saved, shared_dir, short_batches, table
+from storyweft.llm.common import dropped, saved, shared_dir, short_batches, table
 from storyweft.llm.components import connected
 
 NO_ID = (1 << 63) - 1
@@ -352,6 +352,8 @@ def class_components(docs: DataFrame, by_id: bool = True, width: int = 5, percen
     settle(met_by_differences(labelled(nodes).join(open_homes, "home"), work, percent), "near_copies")
     tokens = labelled(tokens.drop("component")).join(nodes.select("node", "home"), "node", "left").withColumn("home", F.coalesce("home", "node"))
     settle(met_by_tokens(tokens, work, rare, percent), "rest")
+    for name in ("lists", "postings", "open", "homes", "candidates", "differences", "items", "item_keys", "keys", "home_links", "centres", "near_copies", "rest", *(f"round{k}" for k in range(rounds))):
+        dropped(docs.sparkSession, f"{work}/{name}")  # what is returned reads answers, classes and the last labels alone
     return rows, labelled(classes.select("class", "first"), "class")
 
 
