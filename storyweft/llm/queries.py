@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyweft.llm.chat import op3_chat_formatting
+from storyweft.llm.clusters import OP13_SQL, op13_centroid_clustering
 from storyweft.llm.jaccard import op5_ngram_jaccard
 from storyweft.llm.language import op8_language_id
 from storyweft.llm.lines import op7_line_dedup
@@ -12,6 +13,7 @@ from storyweft.llm.media import op4_media_columns
 from storyweft.llm.mixing import op9_mixing
 from storyweft.llm.oracles import CHAT_SQL, MIX_SQL, OP1_SQL, OP5_SQL, OP7_SQL
 from storyweft.llm.packing import op6_best_fit_packing
+from storyweft.llm.runs import OP12_SQL, op12_periodic_runs
 from storyweft.llm.substrings import op1_suffix_array_dedup
 from storyweft.llm.topk import OP10_SQL, op10_exact_top_k
 from storyweft.llm.toxicity import op2_toxicity
@@ -39,7 +41,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "chat_digests": chat_digests,
     "mix_targets": mix_targets,
 }
-ORACLE_SQL = {"op1_suffix_array_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_exact_top_k": OP10_SQL, "chat_digests": CHAT_SQL, "mix_targets": MIX_SQL}
+ORACLE_SQL = {"op1_suffix_array_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_exact_top_k": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_centroid_clustering": OP13_SQL, "chat_digests": CHAT_SQL, "mix_targets": MIX_SQL}
