@@ -15,6 +15,7 @@ from storyweft.llm.oracles import CHAT_SQL, MIX_SQL, OP1_SQL, OP5_SQL, OP7_SQL
 from storyweft.llm.packing import op6_best_fit_packing
 from storyweft.llm.runs import OP12_SQL, op12_periodic_runs
 from storyweft.llm.substrings import op1_suffix_array_dedup
+from storyweft.llm.tokenfiles import op11_token_index
 from storyweft.llm.topk import OP10_SQL, op10_exact_top_k
 from storyweft.llm.toxicity import op2_toxicity
 
@@ -41,6 +42,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_token_index": op11_token_index,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_centroid_clustering": op13_centroid_clustering,
     "chat_digests": chat_digests,
