@@ -48,7 +48,7 @@ TOKENIZER, END, MAGIC = "byte_bpe_50k.json", 0, "SWTOKEN1"
 FOOTER = "<IIQQQ"
 ROWS = "shard int, at int, doc_id long, local long, offset long, n_tokens long, ids_crc32 long"
 #: Pieces of text that a worker remembers, bytes of text that it encodes at once, and how many keys may be sent to all executors.
-CACHE, PORTION, FEW_KEYS = 700_000, 8 << 20, 100_000
+CACHE, PORTION, FEW_KEYS = 300_000, 4 << 20, 100_000
 #: A mark that no text that is split holds, and what keeps a text from being split (see ByteEncoder).
 MARK = "￿"
 _SPACE = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -57,6 +57,10 @@ WHOLE = rf"{_SPACE}{{3}}|{_SPACE}{{2}}\z|<\|"
 MARKS = ",.;:!?$%&*#()\"-"
 
 
+def _listed(texts: pa.StringArray) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class ByteEncoder:
     """Ids of texts by a byte-level tokenizer, as one array with the bounds of each text.
 
@@ -77,11 +81,23 @@ class ByteEncoder:
         for token, i in vocabulary.items():
             self.starts[i] = token.startswith("Ġ")
         self.width = 2 if len(self.starts) <= 1 << 16 else 4
+        self.hits = np.zeros(0, np.int32)
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at, self.n = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _forget(self, least: int = 1 << 30) -> None:
+        """Keeps the pieces that were met in at least so many portions."""
+        kept = np.nonzero(self.hits >= least)[0] if least < 1 << 30 else np.zeros(0, np.int64)
+        if len(kept) > CACHE // 2:
+            kept = kept[:0]
+        pieces = _listed(pa.array(list(self.known), pa.string()).take(pa.array(kept))) if len(kept) else []
+        ids, n = (gathered(self.ids, self.at[kept], self.n[kept]), self.n[kept]) if len(kept) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        self.known: dict[str, int] = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.ids, self.n, self.at, self.hits = ids, n, np.cumsum(n) - n, np.ones(len(n), np.int32)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
+        self.n, self.ids, self.hits = np.append(self.n, n), np.append(self.ids, ids), np.append(self.hits, np.zeros(len(n), np.int32))
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -94,27 +110,24 @@ class ByteEncoder:
         return (ids, np.diff(starts, append=len(ids))) if len(starts) == len(words) and starts[0] == 0 else self._each(words)
 
     def _learn(self, pieces: list[str]) -> None:
-        new = pa.array(pieces)
+        new = pa.array(pieces, pa.string())
         stems = pc.utf8_rtrim(new, MARKS)
         plain = pc.match_substring_regex(stems, r"^ \p{L}+$").to_numpy(zero_copy_only=False)
-        odd = np.nonzero(~plain)[0]
-        words = stems.filter(pa.array(plain))
-        marks = pa.array([pieces[k][n:] for k, n in zip(np.nonzero(plain)[0].tolist(), pc.utf8_length(words).to_pylist(), strict=True)], pa.string()).dictionary_encode()
-        words = words.dictionary_encode()
-        parts = [self._together(words.dictionary.slice(k, 20_000).to_pylist()) for k in range(0, len(words.dictionary), 20_000)]
-        parts += [self._each([*marks.dictionary.to_pylist(), *(pieces[k] for k in odd)])]
-        ids, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        at, many = np.cumsum(n) - n, len(words.dictionary)
-        of = np.zeros((len(pieces), 2), np.int64)  # a piece is a word and its marks, or an odd one alone
-        of[plain, 0], of[plain, 1] = words.indices.to_numpy(), many + marks.indices.to_numpy()
-        of[odd, 0] = many + len(marks.dictionary) + np.arange(len(odd))
-        sizes = n[of]
-        sizes[odd, 1] = 0
-        size = sizes.sum(1)
-        first = len(self.known)
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
-        self.n, self.ids = np.append(self.n, size), np.append(self.ids, gathered(ids, at[of].ravel(), sizes.ravel()))
+        odd, marked = np.nonzero(~plain)[0].tolist(), np.nonzero(plain)[0].tolist()
+        if odd:
+            self._add([pieces[k] for k in odd], *self._each([pieces[k] for k in odd]))
+        stems = _listed(stems.filter(pa.array(plain)))
+        fresh = [w for w in dict.fromkeys(stems) if w not in self.known]
+        for k in range(0, len(fresh), 20_000):
+            self._add(fresh[k : k + 20_000], *self._together(fresh[k : k + 20_000]))
+        both = [(k, w) for k, w in zip(marked, stems, strict=True) if len(w) < len(pieces[k])]
+        marks = [pieces[k][len(w) :] for k, w in both]
+        fresh = [m for m in dict.fromkeys(marks) if m not in self.known]
+        if fresh:
+            self._add(fresh, *self._each(fresh))
+        if both:  # a piece is a word and its marks
+            parts = np.array([[self.known[w], self.known[m]] for (_, w), m in zip(both, marks, strict=True)])
+            self._add([pieces[k] for k, _ in both], gathered(self.ids, self.at[parts].ravel(), self.n[parts].ravel()), self.n[parts].sum(1))
 
     def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of text k are ids[bounds[k] : bounds[k + 1]]."""
@@ -127,12 +140,14 @@ class ByteEncoder:
         pieces = pc.split_pattern(marked, MARK)
         coded = pieces.flatten().dictionary_encode()
         if len(self.known) > CACHE:
-            self._forget()
-        listed = coded.dictionary.to_pylist()
+            self._forget(2)
+        listed = _listed(coded.dictionary)
         if new := [p for p in listed if p not in self.known]:
             self._learn(new)
         known = self.known
-        slot = np.fromiter((known[p] for p in listed), np.int64, len(listed))[coded.indices.to_numpy()]
+        slot = np.fromiter((known[p] for p in listed), np.int64, len(listed))
+        self.hits[slot] += 1
+        slot = slot[coded.indices.to_numpy()]
         n = self.n[slot]
         ends = np.concatenate([[0], np.cumsum(n)])
         return gathered(self.ids, self.at[slot], n), ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
@@ -167,7 +182,7 @@ def read_shard(raw: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarra
     return shard, [None] * nulls + keys[nulls:].tolist(), counts, np.frombuffer(raw, f"<u{width}", tokens)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 24 << 20) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 16 << 20) -> None:
     """docs(doc_id, text) as shard files below path."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -351,7 +366,7 @@ def write_index(rows: DataFrame, path: str, bucket_keys: int = 4096) -> None:
     keyed.groupBy("bucket").applyInPandas(build, "bucket int, buckets int, mph binary").write.mode("overwrite").parquet(f"{path}/index")
 
 
-def token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 24 << 20, bucket_keys: int = 4096) -> DataFrame:
+def token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 16 << 20, bucket_keys: int = 4096) -> DataFrame:
     """Writes docs(doc_id, text) as shard files and index below path; gives what reading them back shows by document (see with_places)."""
     spark = docs.sparkSession
     write_shards(docs, path, tokenizer, shard_bytes)
