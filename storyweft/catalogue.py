@@ -222,12 +222,12 @@ def source_share(spark, d):
 
 @query(f"WITH {ad.ARTICLES_SQL} SELECT story_id, article_id, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC NULLS LAST, article_id DESC) AS position, 'TIME_ORDER' AS reason FROM a")
 def diversity_time_order(spark, d):
-    return cov.diversity_order(ad.coverage_articles(spark, d), 0, 1 << 30, 1 << 30)
+    return cov.diversity_order(ad.coverage_articles(spark, d))
 
 
 LIST_TYPE = "CASE WHEN article_type IS NULL THEN 'UNKNOWN' WHEN article_type = 'OPINION' THEN 'COMMENTARY' ELSE article_type END"
 DIVERSE_SQL = f"""RECURSIVE {ad.ARTICLES_SQL}, r AS (SELECT story_id, article_id, source_id, {LIST_TYPE} AS kind, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC NULLS LAST, article_id DESC) AS i FROM a),
-po AS (SELECT story_id, list(struct_pack(i := i, a := article_id, s := source_id, k := kind) ORDER BY i) AS rest, least(12, count(*)) AS n FROM r WHERE i <= 50 GROUP BY story_id),
+po AS (SELECT story_id, list(struct_pack(i := i, a := article_id, s := source_id, k := kind) ORDER BY i) AS rest, count(*) AS n FROM r GROUP BY story_id),
 st AS (SELECT story_id, n, CAST(ceil(0.6 * n) AS BIGINT) AS cap, 0 AS step, rest, rest[1:0] AS taken, '' AS why FROM po
 UNION ALL SELECT story_id, n, cap, step + 1, list_filter(rest, lambda x: x.i <> pick.i), list_append(taken, pick), why FROM (
 SELECT story_id, n, cap, step, rest, taken, coalesce(fresh, of_type[1], under[1], rest[1]) AS pick, CASE WHEN fresh IS NOT NULL THEN 'NEW_SOURCE' WHEN len(of_type) > 0 THEN 'TYPE_COVERAGE' WHEN len(under) > 0 THEN 'BASELINE_FILL' ELSE 'CAP_RELAXED_FILL' END AS why FROM (
@@ -265,7 +265,7 @@ def _detail(spark, d, part):
     return cov.story_detail(largest, a, ad.coverage_stories(spark, d), ad.coverage_sources(spark, d), ad.as_of())[part]
 
 
-@query(f"WITH {DETAIL_SQL} SELECT story_id, article_id, position, n_name AS source, 'Unknown' AS country, {LIST_TYPE} AS type, published_at FROM h LEFT JOIN nation ON n_nationkey = source_id WHERE position <= 12")
+@query(f"WITH {DETAIL_SQL} SELECT story_id, article_id, position, n_name AS source, 'Unknown' AS country, {LIST_TYPE} AS type, published_at FROM h LEFT JOIN nation ON n_nationkey = source_id")
 def story_page_articles(spark, d):
     """The page of the story with the most articles."""
     return _detail(spark, d, "articles").select("story_id", "article_id", "position", "source", "country", "type", "published_at")

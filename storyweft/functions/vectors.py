@@ -25,9 +25,10 @@ def nearest(queries: DataFrame, articles: DataFrame, m: int, days: float | None
     into blocks: of `block` queries, and of enough articles that a block's own best m are few of them.  A row of the join
     is two blocks.  With days, blocks hold one time bucket of that length, and a query meets its bucket and the two beside
     it.  Blocks of articles are dealt to groups that the blocks of queries are copied to, so no bucket is one task.
+    Blocks hold vectors of one width, and vectors of different widths are never neighbours.
     """
     groups = queries.sparkSession.sparkContext.defaultParallelism
-    q = _blocks(queries, days, block).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("q_ids"), F.col("ats").alias("q_ats"), F.col("m").alias("q"))
+    q = _blocks(queries, days, block).select("bucket", "width", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("q_ids"), F.col("ats").alias("q_ats"), F.col("m").alias("q"))
     a = _blocks(articles, days, max(4096, 4 * m)).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     if days is not None:
         a = a.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
@@ -48,31 +49,31 @@ def nearest(queries: DataFrame, articles: DataFrame, m: int, days: float | None
                 top = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
                 yield pd.DataFrame({"query_id": ids[i[top]], "article_id": vec[j[top]], "sim": sim[i[top], j[top]]})
 
-    found = q.join(a, ["bucket", "group"]).select("q_ids", "q_ats", "q", "ids", "ats", "m").mapInPandas(match, "query_id long, article_id long, sim double")
+    found = q.join(a, ["bucket", "width", "group"]).select("q_ids", "q_ats", "q", "ids", "ats", "m").mapInPandas(match, "query_id long, article_id long, sim double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("article_id")))
     return found.withColumn("rn", best).where(F.col("rn") <= m).drop("rn")
 
 
 def _blocks(rows: DataFrame, days: float | None, size: int) -> DataFrame:
-    """rows(id, published_at, embedding) -> bucket, and ids, times and unit vectors of at most `size` of its rows as bytes."""
+    """rows(id, published_at, embedding) -> bucket, width, and ids, times and unit vectors of at most `size` of its rows as bytes."""
     at = F.unix_micros(F.col("published_at").cast("timestamp"))
     bucket = F.lit(0).cast("long") if days is None else F.floor(at / (days * DAY))
-    rows = rows.where("embedding IS NOT NULL").select("id", F.coalesce(at, F.lit(0)).alias("at"), F.col("embedding").cast("array<double>").alias("embedding"), bucket.alias("bucket"))
+    rows = rows.where("embedding IS NOT NULL").select("id", F.coalesce(at, F.lit(0)).alias("at"), F.col("embedding").cast("array<double>").alias("embedding"), bucket.alias("bucket"), F.size("embedding").alias("width"))
     if days is not None:
         rows = rows.where("bucket IS NOT NULL").repartitionByRange("bucket", "id").sortWithinPartitions("bucket")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, part in b.groupby("bucket"):
+            for (k, width), part in b.groupby(["bucket", "width"]):
                 for lo in range(0, len(part), size):
                     some = part.iloc[lo : lo + size]
                     e = np.array(some["embedding"].tolist(), "<f8").reshape(len(some), -1)
                     e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
-                    out.append((k, some["id"].to_numpy("<i8").tobytes(), some["at"].to_numpy("<i8").tobytes(), e.tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "ids", "ats", "m"])
+                    out.append((k, width, some["id"].to_numpy("<i8").tobytes(), some["at"].to_numpy("<i8").tobytes(), e.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "width", "ids", "ats", "m"])
 
-    return rows.mapInPandas(pack, "bucket long, ids binary, ats binary, m binary")
+    return rows.mapInPandas(pack, "bucket long, width int, ids binary, ats binary, m binary")
 
 
 def hashed_encoder(width: int = 384) -> Callable[[list[list[str]]], np.ndarray]:

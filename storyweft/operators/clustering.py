@@ -5,10 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from storyweft.functions.fuzzy import token_set_ratio
+from storyweft.functions.fuzzy import token_set, token_set_ratio
 from storyweft.functions.text import jaccard, tokens_norm
 from storyweft.functions.vectors import nearest
+from storyweft.operators.graph import components
 from storyweft.plans.adapters import hours_between
+from storyweft.sources.shared import saved, shared_dir
+
+#: From this similarity on a query merges whatever else there is.
+LOW = 0.62
 
 
 def candidate_stories(queries: DataFrame, articles: DataFrame, links: DataFrame, days: float | None = 7, m: int = 2000, n: int = 20) -> DataFrame:
@@ -61,54 +66,99 @@ def cluster_dry_run(queries: DataFrame, articles: DataFrame, links: DataFrame, s
 def cluster(queries: DataFrame, articles: DataFrame, links: DataFrame, stories: DataFrame, days: float = 7, m: int = 2000, n: int = 20) -> DataFrame:
     """X17 with writing: article_id, action, story_id for every query, newest first, each seeing the earlier decisions.
 
-    All neighbours are found by Spark beforehand, as they do not hang on assignments.  The replay itself is sequential;
-    queries are a round's newest few (see newest_unassigned), so it is one small group.
+    Only what can change a decision binds two queries, so that most of a round is replayed side by side:
+    * A query goes to the best open story among its n best.  Neighbours that are no earlier query of the round have the
+      stories they had before, so the best of these, with similarity s, is known beforehand.  An earlier query counts
+      only if it is at least as similar as s, as else its story cannot be the best one.
+    * When a story ends counts only under LOW.  Where a query under LOW could go to a story, directly or through earlier
+      queries, all queries that could go there (and so move its end) are bound together.
+    The components of these ties are groups, and each is replayed in order.  New stories are named by the article that
+    starts them, and numbered at the end in the order of the round.  The only window over all queries holds their ids
+    and times, and a round is a bounded number of queries (see newest_unassigned).
+    """
+    work = shared_dir(queries.sparkSession)
+    place = F.row_number().over(W.orderBy(F.col("published_at").desc_nulls_last(), F.col("id").desc()))
+    asked = saved(queries.select("id", "published_at", tokens_norm(F.col("title")).alias("tokens"), place.alias("place")), f"{work}/asked")
+    places = asked.select(F.col("id").alias("article_id"), F.col("place").alias("earlier"))
+    near = nearest(queries, articles, m, days).join(asked.select(F.col("id").alias("query_id"), "place"), "query_id").join(places, "article_id", "left")
+    near = saved(near.join(links.select("article_id", "story_id"), "article_id", "left"), f"{work}/near")
+    told = F.coalesce(F.col("earlier") < F.col("place"), F.lit(False))
+    info = stories.select("story_id", tokens_norm(F.col("title")).alias("words"), ~F.col("status").eqNullSafe("closed"), F.col("end_time").alias("end")).toDF("story_id", "words", "open", "end")
+    before = near.where(~told & F.col("story_id").isNotNull()).groupBy("place", "story_id").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(W.partitionBy("place").orderBy(F.col("sim").desc(), "story_id"))
+    before = before.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank").join(info, "story_id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    before = saved(before.withColumn("best", F.max(F.when(F.col("open"), F.col("sim"))).over(W.partitionBy("place"))), f"{work}/before")
+    best = before.groupBy("place").agg(F.max("best").alias("best"))
+    told = near.where(told).select("place", "earlier", "sim").distinct().join(best, "place", "left")
+    told = saved(told.where(F.col("sim") >= F.coalesce("best", F.lit(-2.0))), f"{work}/told")
+    ties = told.select(F.col("place").alias("u"), F.col("earlier").alias("v"))
+    direct = components(ties, f"{work}/direct")
+    homes = before.where(F.col("open") & (F.col("sim") == F.col("best"))).select("place", "story_id")
+    low = told.where(F.col("sim") < LOW).select("place").unionByName(best.where(F.col("best") < LOW).select("place")).distinct()
+    group = lambda rows, at: rows.join(direct, rows["place"] == direct["node"], "left").select(*at, F.coalesce("component", "place").alias("group"))
+    moved = group(homes, ["place", "story_id"]).join(group(low, []).distinct(), "group", "left_semi").select("story_id").distinct()
+    shared = homes.join(moved, "story_id", "left_semi").withColumn("first", F.min("place").over(W.partitionBy("story_id")))
+    groups = components(ties.unionByName(shared.select(F.col("place").alias("u"), F.col("first").alias("v"))), f"{work}/groups")
+    own = before.groupBy("place").agg(F.collect_list(F.struct("story_id", "sim", "open", "words", "end")).alias("known"))
+    heard = told.groupBy("place").agg(F.collect_list(F.struct("earlier", "sim")).alias("told"))
+    rows = asked.join(own, "place", "left").join(heard, "place", "left").join(groups, asked["place"] == groups["node"], "left").withColumn("group", F.coalesce("component", "place"))
+
+    def replay(q: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(replayed(q.sort_values("place"), n), columns=["article_id", "place", "action", "story_id", "starter"])
+
+    done = rows.select("group", "id", "place", "published_at", "tokens", "known", "told").groupBy("group").applyInPandas(replay, "article_id long, place int, action string, story_id long, starter int")
+    done = saved(done, f"{work}/done")
+    top = stories.agg(F.coalesce(F.max("story_id"), F.lit(0)).alias("top"))
+    fresh = done.where("action = 'new'").select(F.col("place").alias("starter"), F.row_number().over(W.orderBy("place")).alias("number"))
+    out = done.join(fresh, "starter", "left").crossJoin(F.broadcast(top))
+    return out.select("article_id", "action", F.coalesce("story_id", F.col("top") + F.col("number")).cast("long").alias("story_id"))
+
+
+def replayed(queries: pd.DataFrame, n: int) -> list[tuple]:
+    """Decisions of queries in order: (article, place, action, story or None, place of the query that started the story or None).
+
+    known: stories by the neighbours' links of before; told: similarities to earlier queries of the round.
     """
-    from storyweft.functions.fuzzy import token_set
-
-    asked = queries.select("id", "title", "published_at", tokens_norm(F.col("title")).alias("tokens"))
-    edges = nearest(queries, articles, m, days).join(links.select("article_id", "story_id"), "article_id", "left")
-    edges = edges.groupBy("query_id").agg(F.collect_list(F.struct("article_id", "sim", "story_id")).alias("near"))
-    rows = asked.join(edges, asked["id"] == edges["query_id"], "left").drop("query_id")
-    known = edges.select(F.explode("near.story_id").alias("story_id")).where("story_id IS NOT NULL").distinct().join(stories, "story_id").select(F.col("story_id").alias("sid"), tokens_norm(F.col("title")).alias("stokens"), "status", "end_time")
-    top = stories.agg(F.max("story_id").alias("top"))
-    left = rows.withColumn("g", F.lit(1)).crossJoin(F.broadcast(top))
-
-    def replay(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        info = {int(r.sid): [list(r.stokens), r.status, r.end_time] for r in s.itertuples()}
-        fresh = int(q["top"].fillna(0).iloc[0]) if len(q) else 0
-        linked, out = {}, []
-        q = q.sort_values(["published_at", "id"], ascending=[False, False])
-        for r in q.itertuples():
-            best: dict[int, float] = {}
-            for e in r.near if r.near is not None else []:
-                story = linked.get(e["article_id"], e["story_id"])
-                if story is not None and not pd.isna(story):
-                    best[int(story)] = max(best.get(int(story), -2.0), e["sim"])
-            tokens, choice = list(r.tokens), None
-            for sid, sim in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]:
-                if sid in info and info[sid][1] != "closed":
-                    a, b = set(tokens), set(info[sid][0])
-                    key = (sim, token_set(tokens, info[sid][0]), -sid, len(a & b) / len(a | b) if a | b else 1.0)
-                    choice = max(choice, key) if choice else key
-            action = "new"
-            if choice:
-                sim, fuzz, sid, jac = choice[0], choice[1], -choice[2], choice[3]
-                end = info[sid][2]
-                near = not pd.isna(end) and not pd.isna(r.published_at) and abs((r.published_at - end).total_seconds()) <= 6 * 3600
-                if not (sim < 0.74 and jac <= 0.01 and fuzz < 45) and (sim >= 0.62 or (sim >= 0.54 and fuzz >= 45) or fuzz >= 85 or (fuzz >= 60 and (jac >= 0.20 or near))):
-                    action = "merge"
-            if action == "new":
-                fresh += 1
-                sid = fresh
-                info[sid] = [tokens, None, r.published_at]
-            elif not pd.isna(r.published_at) and (pd.isna(info[sid][2]) or r.published_at > info[sid][2]):
-                info[sid][2] = r.published_at
-            linked[r.id] = sid
-            out.append((r.id, action, sid))
-        return pd.DataFrame(out, columns=["article_id", "action", "story_id"])
-
-    return left.groupBy("g").cogroup(known.withColumn("g", F.lit(1)).groupBy("g")).applyInPandas(replay, "article_id long, action string, story_id long")
+    info: dict[tuple, list] = {}
+    went: dict[int, tuple] = {}
+    out = []
+    for r in queries.itertuples():
+        best: dict[tuple, float] = {}
+        for e in r.known if r.known is not None else []:
+            key = (0, int(e["story_id"]))  # stories of before come before new ones, as their numbers do
+            best[key] = float(e["sim"])
+            info.setdefault(key, [list(e["words"]) if e["words"] is not None else [], bool(e["open"]), e["end"]])
+        for e in r.told if r.told is not None else []:
+            key = went[int(e["earlier"])]
+            best[key] = max(best.get(key, -2.0), float(e["sim"]))
+        choice = None
+        for key, sim in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]:
+            words, is_open, end = info[key]
+            if is_open and (choice is None or sim >= choice[0]):
+                a, b = set(r.tokens), set(words)
+                found = (sim, token_set(list(r.tokens), words), key, len(a & b) / len(a | b) if a | b else 1.0)
+                if choice is None or found[1] > choice[1]:  # of the same similarity and ratio the earlier story stays
+                    choice = found
+        if choice and merges(choice[0], choice[1], choice[3], r.published_at, info[choice[2]][2]):
+            key = choice[2]
+            at, end = r.published_at, info[key][2]
+            if not pd.isna(at) and (pd.isna(end) or at > end):
+                info[key][2] = at
+            out.append((r.id, r.place, "merge", key[1] if key[0] == 0 else None, key[1] if key[0] else None))
+        else:
+            key = (1, r.place)
+            info[key] = [list(r.tokens), True, r.published_at]
+            out.append((r.id, r.place, "new", None, r.place))
+        went[r.place] = key
+    return out
+
+
+def merges(sim: float, fuzz: float, jac: float, at, end) -> bool:
+    """decide_action() for one query and its best story."""
+    near = not pd.isna(end) and not pd.isna(at) and abs((at - end).total_seconds()) <= 6 * 3600
+    if sim < 0.74 and jac <= 0.01 and fuzz < 45:
+        return False
+    return sim >= LOW or (sim >= 0.54 and fuzz >= 45) or fuzz >= 85 or (fuzz >= 60 and (jac >= 0.20 or near))
 
 
 def newest_unassigned(articles: DataFrame, links: DataFrame, now: Column, hours: float = 240, limit: int = 300) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from storyweft.functions.text import effective_type
@@ -49,40 +45,54 @@ def gap_hints(articles: DataFrame, sources: DataFrame, least_articles: int = 4,
     return out.withColumn("status", F.when(few, "INSUFFICIENT_DATA").when(F.size("codes") > 0, "GAP_FOUND").otherwise("NO_GAP")).withColumn("reason", F.when(few, "below_thresholds"))
 
 
-def diversity_order(articles: DataFrame, level: int = 0, k: int = 12, pool: int = 50) -> DataFrame:
-    """articles(story_id, article_id, source_id, article_type, published_at) -> story_id, article_id, position, reason: k of each story.
+def diversity_order(articles: DataFrame, level: int = 0, k: int | None = None, pool: int | None = None, share: float = 0.6) -> DataFrame:
+    """articles(story_id, article_id, source_id, article_type, published_at) -> story_id, article_id, position, reason.
+
+    All articles of a story are ordered; pool keeps its newest ones only, and k the first of the order.  Level 0 is by
+    time.  Level 30 (60 is treated as 30) caps each source at ceil(share * k) and takes, step by step, a source that has
+    none yet, else an article of the type that has the fewest among those that remain (ties by name), else the newest
+    under the cap, else the newest.  An article without a source is under no cap and never a new source.
 
-    The pool is a story's newest articles.  Level 0 is by time.  Level 30 (60 is treated as 30) caps each source at
-    ceil(0.6 k) of the k that are picked and takes, step by step, a source that has none yet, else an article of the
-    type that has the fewest among those that remain (ties by name), else the newest under the cap, else the newest.
-    An article without a source is under no cap and never a new source.  A group is a pool, so its size is bounded.
+    The steps are plain sorts, so windows give them.  New sources come first, in order of time.  Then a type that has c
+    articles gives its next ones at (c, type), (c + 1, type), ..., and the smallest is always taken.  As the cap is over
+    half, only one source can reach it; from there on its articles are left out of these counts, and a type of which
+    only such are left still asks for its turn: what would come after that turn comes by time, and the left ones last.
     """
     if level not in (0, 30, 60):
         raise ValueError("level must be 0, 30 or 60")
-    rows = articles.withColumn("i", F.row_number().over(newest_first())).where(F.col("i") <= pool)
+    if not 0.5 < share <= 1:
+        raise ValueError("share must be over one half, and at most one")
+    rows = articles.withColumn("i", F.row_number().over(newest_first()))
+    rows = rows.where(F.col("i") <= pool) if pool is not None else rows
     if level == 0:
-        return rows.where(F.col("i") <= k).select("story_id", "article_id", F.col("i").alias("position"), F.lit("TIME_ORDER").alias("reason"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        rest = [(a, None if pd.isna(s) else s, t) for a, s, t in zip(pdf["article_id"], pdf["source_id"], pdf["kind"], strict=True)]
-        n = min(k, len(rest))
-        cap, out, by_source, by_kind = math.ceil(0.6 * n), [], Counter(), Counter()
-        while len(out) < n:
-            under = [r for r in rest if r[1] is None or by_source[r[1]] < cap]
-            fresh = [r for r in under if r[1] is not None and not by_source[r[1]]]
-            least = min({r[2] for r in rest}, key=lambda t: (by_kind[t], t))
-            of_type = [r for r in under if r[2] == least]
-            found, why = next((f, w) for f, w in ((fresh, "NEW_SOURCE"), (of_type, "TYPE_COVERAGE"), (under, "BASELINE_FILL"), (rest, "CAP_RELAXED_FILL")) if f)
-            a, s, t = found[0]
-            rest.remove(found[0])
-            by_source[s] += 1
-            by_kind[t] += 1
-            out.append((int(pdf["story_id"].iloc[0]), a, len(out) + 1, why))
-        return pd.DataFrame(out, columns=["story_id", "article_id", "position", "reason"])
-
-    few = rows.select("story_id", "article_id", "source_id", effective_type(F.col("article_type"), "list").alias("kind"), "i")
-    return few.groupBy("story_id").applyInPandas(order, "story_id long, article_id long, position int, reason string")
+        rows = rows.where(F.col("i") <= k) if k is not None else rows
+        return rows.select("story_id", "article_id", F.col("i").alias("position"), F.lit("TIME_ORDER").alias("reason"))
+    story, kind, source = W.partitionBy("story_id"), W.partitionBy("story_id", "kind"), W.partitionBy("story_id", "source_id")
+    up_to = lambda w, *order: w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("story_id", "article_id", "source_id", effective_type(F.col("article_type"), "list").alias("kind"), "i")
+    n = F.count("*").over(story)
+    rows = rows.withColumn("cap", F.ceil(F.lit(share) * (n if k is None else F.least(n, F.lit(k)))))
+    rows = rows.withColumn("of_source", F.when(F.col("source_id").isNotNull(), F.count("*").over(source)))
+    rows = rows.withColumn("new", F.coalesce((F.row_number().over(source.orderBy("i")) == 1) & F.col("source_id").isNotNull(), F.lit(False)))
+    # a type's articles that are no new source: (level, kind) is the turn at which each would come
+    turn = F.count_if("new").over(kind) + F.count_if(~F.col("new")).over(up_to(kind, "i")) - 1
+    rows = rows.withColumn("turn", F.when(~F.col("new"), F.struct(turn.alias("at"), "kind")))
+    taken = F.when(~F.col("new"), F.count("turn").over(up_to(source, "turn")))
+    full = F.when((taken == F.col("cap") - 1) & (F.col("of_source") > F.col("cap")), F.col("turn"))
+    rows = rows.withColumn("full", F.max(full).over(story))
+    after = F.coalesce(F.col("turn") > F.col("full"), F.lit(False))
+    rows = rows.withColumn("over", after & F.coalesce(F.col("of_source") > F.col("cap"), F.lit(False))).withColumn("late", after & ~F.col("over"))
+    turn = F.struct((F.col("turn.at") - F.count_if("over").over(up_to(kind, "i"))).alias("at"), "kind")
+    rows = rows.withColumn("turn", F.when(F.col("late"), turn).otherwise(F.col("turn")))
+    asks = F.struct((F.min(F.when(after, F.col("turn.at"))).over(kind) + F.count_if("late").over(kind)).alias("at"), "kind")
+    rows = rows.withColumn("asks", F.when(F.count_if("over").over(kind) > 0, asks)).withColumn("asks", F.min("asks").over(story))
+    by_time = F.col("late") & F.coalesce(F.col("turn") > F.col("asks"), F.lit(False))
+    reason = F.when(F.col("new"), "NEW_SOURCE").when(F.col("over"), "CAP_RELAXED_FILL").when(by_time, "BASELINE_FILL").otherwise("TYPE_COVERAGE")
+    part = F.when(F.col("new"), 0).when(F.col("over"), 3).when(by_time, 2).otherwise(1)
+    order = story.orderBy("part", F.when(F.col("part") == 1, F.col("turn")), "i")
+    out = rows.withColumn("reason", reason).withColumn("part", part).withColumn("position", F.row_number().over(order))
+    out = out.where(F.col("position") <= k) if k is not None else out
+    return out.select("story_id", "article_id", "position", "reason")
 
 
 def diversity_histograms(ordered: DataFrame, articles: DataFrame) -> DataFrame:
@@ -126,7 +136,7 @@ def touch_window(stories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def story_detail(story_id: int, articles: DataFrame, stories: DataFrame, sources: DataFrame, now: Column, diversity: int = 0, days: int = 30) -> dict[str, DataFrame]:
-    """The parts of a story's page: summary, shown articles (of the last days, in order, with source, country and type), coverage, totals, gaps and the histograms of what is shown.
+    """The parts of a story's page: summary, all articles (of the last days, in order, with source, country and type), coverage, totals, gaps and the histograms of what is shown.
 
     stories(story_id, title, and title_override where there is a rewritten one); sources(source_id, source, and country,
     which is Unknown where it is missing).

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from storyweft.functions.text import jaccard, tokens_eval
+from storyweft.functions.text import tokens_eval
 from storyweft.plans.adapters import hours_between
+from storyweft.sources.shared import saved, shared_dir
 
 
 def rank_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -22,22 +23,33 @@ def rank_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
     return shared.crossJoin(pairs).withColumn("tau", F.coalesce((F.col("concordant") - F.col("discordant")) / F.when(total != 0, total), F.lit(0.0)))
 
 
-def misattachment_audit(articles: DataFrame, top: DataFrame, suspect: float = 0.15, most: int = 1000) -> DataFrame:
+def misattachment_audit(articles: DataFrame, top: DataFrame, suspect: float = 0.15) -> DataFrame:
     """articles(article_id, story_id, title), top(story_id, title): is an article's title closer to another top story?
 
-    top is the short list of a report: at most `most` stories take part, the first by id, and they are broadcast.
+    Titles that share no token have nothing in common, so an index of the top stories' tokens finds all others; a title
+    without tokens stands as the empty token, as two of these are alike.  top may have any length, and is read once
+    (saved) for every side of the joins.  Without another top story that shares a token, the best other is the smallest
+    other id, with 0; without any other story it is null.
     """
-    top = top.orderBy("story_id").limit(most)
-    t = F.broadcast(top.select(F.col("story_id").alias("other"), tokens_eval(F.col("title")).alias("other_tokens")))
-    own = articles.join(F.broadcast(top.select("story_id")), "story_id", "left_semi").withColumn("tokens", tokens_eval(F.col("title")))
-    sim = jaccard(F.col("tokens"), F.col("other_tokens"))
-    scored = own.crossJoin(t).withColumn("sim", sim)
-    other = F.when(F.col("other") != F.col("story_id"), F.struct(F.col("sim").alias("sim"), (-F.col("other")).alias("o")))
-    out = scored.groupBy("article_id", "story_id").agg(F.max(F.when(F.col("other") == F.col("story_id"), F.col("sim"))).alias("self_sim"), F.max(other).alias("best"))
-    out = out.select("article_id", "story_id", "self_sim", F.coalesce("best.sim", F.lit(0.0)).alias("best_other_sim"), (-F.col("best.o")).alias("best_other"))
+    top = saved(top.select("story_id", _marked(tokens_eval(F.col("title"))).alias("tokens")), f"{shared_dir(top.sparkSession)}/top")
+    index = top.select(F.col("story_id").alias("other"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    own = articles.join(top.select("story_id"), "story_id", "left_semi").select("article_id", "story_id", _marked(tokens_eval(F.col("title"))).alias("tokens"))
+    met = own.select("article_id", "story_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(index, "token")
+    met = met.groupBy("article_id", "story_id", "other").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    sim = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
+    other = F.max(F.when(F.col("other") != F.col("story_id"), F.struct(sim.alias("sim"), (-F.col("other")).alias("o"))))
+    best = met.groupBy("article_id", "story_id").agg(F.max(F.when(F.col("other") == F.col("story_id"), sim)).alias("self_sim"), other.alias("best"))
+    two = top.orderBy("story_id").limit(2).agg(F.sort_array(F.collect_list("story_id")).alias("two"))
+    out = own.select("article_id", "story_id").join(best, ["article_id", "story_id"], "left").crossJoin(F.broadcast(two))
+    plain = F.get(F.filter("two", lambda x: x != F.col("story_id")), F.lit(0))
+    out = out.select("article_id", "story_id", F.coalesce("self_sim", F.lit(0.0)).alias("self_sim"), F.coalesce("best.sim", F.lit(0.0)).alias("best_other_sim"), F.coalesce(-F.col("best.o"), plain).alias("best_other"))
     return out.withColumn("margin", F.col("self_sim") - F.col("best_other_sim")).withColumn("conflict", F.col("margin") <= 0).withColumn("suspect", F.col("best_other_sim") - F.col("self_sim") >= suspect)
 
 
+def _marked(tokens: Column) -> Column:
+    return F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(tokens))
+
+
 def audit_summary(audited: DataFrame) -> DataFrame:
     """Averages, the rate of conflicts and the number of suspects of misattachment_audit(), as one row."""
     rate = F.avg(F.col("conflict").cast("double"))

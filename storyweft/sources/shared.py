@@ -23,3 +23,9 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet in the shared folder and reads them again."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that saved() wrote, through the store's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
