@@ -14,7 +14,8 @@ Only 64-bit hashes of lines are counted (10^11 different lines would give some 3
 one holder of each wording in nodes that could recur.  Hot lines are pre-aggregated by (line, text), and joins to them
 have one row per line on the other side.
 
-Defined cases: null texts stay null and have no lines; lines of fewer than min_tokens tokens, empty lines and lines of
+Defined cases: null texts stay null and have no lines; documents without an id come after all others, by a hash of their
+text; lines of fewer than min_tokens tokens, empty lines and lines of
 variable fields alone are always kept; very long lines are lines like others; of tokens that as many wordings share the
 first in the line leads on; a template repeated within its first document stays there; repeated rows are treated alike;
 an empty table gives no rows; the input's columns stay in one struct, so other columns may have any name.
@@ -43,25 +44,30 @@ def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _key(doc_id: Column) -> Column:
-    """The id as a text, so that a null id joins too."""
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+def _key(doc_id: Column, h: Column) -> Column:
+    """What stands for a document in joins: its id as a text, or without an id the hash of its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), h.cast("string")))
+
+
+def _first() -> list[Column]:
+    """The first document of some: the smallest id, or, where none has an id, the smallest hash of a text."""
+    return [F.min("doc_id").alias("first_doc"), F.min(F.when(F.col("doc_id").isNull(), F.col("h"))).alias("first_h")]
 
 
 def recurring_lines(docs: DataFrame, depth: int = 4, splits: int = 3, min_texts: int = 5, min_tokens: int = 3, similarity: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> lines(doc_id, h, line, leaf) and recurring(line, first_doc): one row per wording to drop."""
+    """docs(doc_id, text) -> lines(doc_id, h, line, leaf) and recurring(line, first_doc, first_h): one row per wording to drop."""
     work = shared_dir(docs.sparkSession)
     of_line = lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(_tokens(x), F.substring_index(x, " ", depth)).alias("leaf"))
     lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.transform(F.filter(_masked_lines(F.col("text")), lambda x: (_tokens(x) >= min_tokens) & (F.trim(F.replace(x, F.lit("<*>"), F.lit(""))) != "")), of_line))).alias("l"))
     lines = saved(lines.select("doc_id", "h", "l.line", "l.leaf"), f"{work}/lines")
     texts = lines.groupBy("line", "leaf", "h").agg(F.min("doc_id").alias("doc_id"))
-    counts = saved(texts.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")), f"{work}/counts")
-    exact = counts.where(F.col("n") >= min_texts).select("line", "first_doc")
+    counts = saved(texts.groupBy("line", "leaf").agg(F.count("*").alias("n"), *_first()), f"{work}/counts")
+    exact = counts.where(F.col("n") >= min_texts).select("line", "first_doc", "first_h")
     may_recur = (F.count("*") > 1) & (F.sum("n") >= min_texts)
     open_leaves = counts.groupBy("leaf").agg(may_recur.alias("open")).where("open").select("leaf")
     wordings = counts.join(open_leaves, "leaf")
-    asked = wordings.groupBy("first_doc").agg(F.collect_set("line").alias("asked"))
-    found = docs.join(asked, docs["doc_id"] == asked["first_doc"]).select(F.explode(F.filter(F.transform(_masked_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), x.alias("words"))), lambda s: F.array_contains("asked", s.line))).alias("s"))
+    asked = wordings.groupBy(_key(F.col("first_doc"), F.col("first_h")).alias("d")).agg(F.collect_set("line").alias("asked"))
+    found = docs.withColumn("d", _key(F.col("doc_id"), F.xxhash64("text"))).join(asked, "d").select(F.explode(F.filter(F.transform(_masked_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), x.alias("words"))), lambda s: F.array_contains("asked", s.line))).alias("s"))
     found = found.select("s.line", F.split("s.words", " ").alias("words")).groupBy("line").agg(F.first("words").alias("words"))
     node = saved(wordings.join(found, "line").select("line", F.col("leaf").alias("node"), "n", "words"), f"{work}/wordings0")
     templates = None
@@ -81,9 +87,9 @@ def recurring_lines(docs: DataFrame, depth: int = 4, splits: int = 3, min_texts:
             rest = saved(rest, f"{work}/rest{k}")
             node = saved(rest.join(rest.groupBy("node").agg(may_recur.alias("open")).where("open").select("node"), "node").select("line", "node", "n", "words"), f"{work}/wordings{k + 1}")
     spread = lines.join(templates, "line").groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
-    spread = spread.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_texts)
-    loose = templates.join(spread, "template").select("line", "first_doc")
-    return lines, saved(exact.unionByName(loose).groupBy("line").agg(F.min("first_doc").alias("first_doc")), f"{work}/recurring")
+    spread = spread.groupBy("template").agg(F.count("*").alias("n"), *_first()).where(F.col("n") >= min_texts)
+    loose = templates.join(spread, "template").select("line", "first_doc", "first_h")
+    return lines, saved(exact.unionByName(loose).groupBy("line").agg(F.min("first_doc").alias("first_doc"), F.min("first_h").alias("first_h")), f"{work}/recurring")
 
 
 def without_recurring_lines(docs: DataFrame, **options) -> DataFrame:
@@ -91,8 +97,8 @@ def without_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     named = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
     plain = named.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     lines, recurring = recurring_lines(plain, **options)
-    drop = lines.join(recurring, "line").where("doc_id IS NULL OR doc_id <> first_doc").groupBy(_key(F.col("doc_id")).alias("d"), "h").agg(F.collect_set("line").alias("drop"))
-    out = named.withColumn("h", F.xxhash64("row.text")).withColumn("d", _key(F.col("row.doc_id"))).join(drop, ["d", "h"], "left")
+    drop = lines.join(recurring, "line").where("NOT (doc_id <=> first_doc AND (doc_id IS NOT NULL OR h = first_h))").groupBy(_key(F.col("doc_id"), F.col("h")).alias("d"), "h").agg(F.collect_set("line").alias("drop"))
+    out = named.withColumn("h", F.xxhash64("row.text")).withColumn("d", _key(F.col("row.doc_id"), F.col("h"))).join(drop, ["d", "h"], "left")
     text = F.col("row.text")
     left = F.filter(F.zip_with(F.split(text, "\n", -1), _masked_lines(text), lambda a, b: F.when(~F.array_contains("drop", F.xxhash64(b)), a)), lambda x: x.isNotNull())
     out = out.select("row", F.when(F.col("drop").isNull(), F.split(text, "\n", -1)).otherwise(left).alias("left"))

@@ -202,3 +202,15 @@ def test_templates_that_share_a_leaf_are_both_found(spark):
     docs = cases.documents(spark, rows)
     got = {r.doc_id: r.text for r in lines.line_deduplicated(docs).collect()}
     assert sum(t.startswith("the job") for t in got.values()) == 3 and got == dict(brute_lines(rows))
+
+
+def test_lines_of_documents_without_an_id(spark):
+    rng = random.Random(4)
+    shared, loose = "this line stands in every document", "the job on beta {} is at its end"
+    text = lambda k: f"{shared}\n{loose.format(words(rng, 1))}\n{words(rng, 7)}"
+    for rows in ([(None, text(k)) for k in range(6)], [(i, text(i)) for i in range(6)] + [(None, text(k)) for k in range(6)]):
+        out = lines.without_recurring_lines(cases.documents(spark, rows)).collect()
+        kept = [r for r in out if shared in r.text]
+        assert len(kept) == 1 == len([r for r in out if "the job on" in r.text])
+        assert kept[0].row.doc_id == min((i for i, _ in rows if i is not None), default=None)
+        assert sorted(r.n_dropped for r in out) in ([0] + [2] * (len(rows) - 1), [1, 1] + [2] * (len(rows) - 2))
