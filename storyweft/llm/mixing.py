@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every source is permuted by a seeded hash of doc_id and cut into blocks of about block_words words.  Its target is
+Every source is permuted by a seeded hash of doc_id, text and, for rows that are the same, a number, and cut into blocks of about block_words words.  Its target is
 met by whole passes over the source plus the head of one more pass, cut at a word.  The blocks that are drawn form
 exact integer quotas by source.  A binary tree splits the quotas among the output shards: at each node the left half
 receives an exact number of blocks, divided among the sources as a draw without replacement would divide them.  Each
@@ -14,7 +14,7 @@ The draw of a node inverts the distribution function within 12 deviations (and 2
 the mass beyond is under 10^-6 of any draw; quotas stay exact whatever is drawn.
 
 Defined cases: null text has size 0; a document without a word takes no part; very long texts are counted whole and are in
-one block; of equal hashes the smaller doc_id, size and text hash come first; a null source is a source of its own and comes last; repeated rows are mixed as
+one block; of equal hashes the smaller doc_id, size, text hash and number come first; a null source is a source of its own and comes last; repeated rows are mixed as
 rows of their own; an empty table gives an empty result; a source without words has target 0.  Column names other
 than the two that are named are kept as they are, and text columns may be called anything.
 """
@@ -99,6 +99,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return names.join(ends, "i").select("sid", "ends")
 
 
+def _numbered(rows: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """rows with a number among rows that are the same.  They are counted first, and a count is dealt in stretches of `most`."""
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    parts = same.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))))
+    return parts.withColumn("number", F.explode(F.sequence("lo", F.least(F.col("lo") + most, F.col("n")) - 1))).drop("n", "lo")
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_words: int = 65536, shards: int = 8, seed: int = 0) -> DataFrame:
     """One row per input row: doc_id, text_hash, size, source, source_size, target, taken, and draws: an array of (pass, words, shard).
 
@@ -107,7 +114,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """
     work = shared_dir(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash"))
-    rows = saved(rows.withColumn("u", F.expr(_uniform(str(seed), "doc_id"))), f"{work}/sizes")
+    rows = saved(_numbered(rows).withColumn("u", F.expr(_uniform(str(seed), "doc_id", "text_hash", "number"))), f"{work}/sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     sources = saved(sources.withColumn("sid", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))), f"{work}/sources")
     has_words = F.col("source_size") > 0
@@ -123,7 +130,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     quotas = sources.join(reached, "sid", "left").select("sid", (F.col("passes") * F.col("blocks") + F.coalesce(F.col("last") + 1, F.lit(0))).cast("long").alias("units"))
     ends = saved(split_quotas(saved(quotas, f"{work}/quotas"), shards, seed), f"{work}/ends").join(sources.select("sid", F.col("blocks").alias("n"), F.col("passes").alias("whole")), "sid")
     offsets = by_block.join(ends, "sid").select("sid", "block", "block_at", F.expr("transform(sequence(0L, whole), p -> size(filter(ends, e -> e <= p * n + block)))").alias("shard_of"))
-    rows = rows.withColumn("in_block", F.coalesce(F.sum("size").over(W.partitionBy("sid", "block").orderBy("u", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("in_block", F.coalesce(F.sum("size").over(W.partitionBy("sid", "block").orderBy("u", "doc_id", "size", "text_hash", "number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     out = rows.join(offsets, ["sid", "block"]).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("block_at") - F.col("in_block"))).cast("long"))
     draws = F.expr("filter(transform(sequence(0L, passes), p -> named_struct('pass', CAST(p AS INT), 'words', IF(p < passes, size, extra), 'shard', shard_of[CAST(p AS INT)])), d -> d.words > 0)")
     return out.withColumn("draws", draws).select("doc_id", "text_hash", "size", "source", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "draws")

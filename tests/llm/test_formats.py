@@ -87,6 +87,19 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_all_blocks(spark):
+    rows = [(None, f"no id but text {k} " * 5) for k in range(300)] + [(7, "the same row " * 5)] * 300 + [(i, f"own {i} " * 10) for i in range(1000, 1100)]
+    df = cases.documents(spark, rows).withColumn("source", F.lit("s"))
+    numbered = mixing._numbered(df.select("doc_id", F.xxhash64("text").alias("text_hash")), 64)
+    assert numbered.count() == len(rows) == numbered.distinct().count()
+    out = mixing.mix(df, block_words=100).collect()
+    size = sum(len(t.split()) for _, t in rows)
+    assert len(out) == len(rows) and abs(sum(r.taken for r in out) - round(1.5 * size)) <= 1
+    assert 60 < sum(r.taken > r.size for r in out if r.doc_id == 7) < 240  # the second pass takes about half of them
+    again = mixing.mix(df.repartition(7), block_words=100).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_splitting_tree_is_exact_and_fair(spark):
     quotas = spark.createDataFrame([(1, 1000), (2, 500), (3, 0), (4, 3)], "sid int, units long")
     means = []
