@@ -2,12 +2,13 @@
 
 A word's subwords are itself and the 2- to 4-grams of the word between marks.  A text is the mean of the embeddings of
 all its words' subwords; as the output layer is linear, scoring adds up a table of embedding times output per subword,
-once per distinct word.  Training takes a sample of labelled rows of expected size train_rows, drawn by hash, in one
-task; a tenth of it is set aside to fit the softmax temperature and the level below which a prediction counts as
+once per distinct word.  Training takes a sample of labelled documents of expected size train_rows, drawn by hash, one
+row of each doc_id (the smallest text), in one task; a tenth of it, whatever its size, is set aside to fit the softmax temperature and the level below which a prediction counts as
 rejected (column accepted): the lowest confidence at which at most 1 % of the rows above it are wrong.
 
 Defined cases: a null text and a text without a letter are `und` with score 0; very long texts are read whole; of equally
-likely languages the first by name is predicted; null languages are not learned from; without labelled rows everything is
+likely languages the first by name is predicted; null languages and rows without a doc_id are not learned from, and a null doc_id
+has a null held_out; without labelled rows everything is
 `und`; repeated rows are predicted each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -77,8 +78,7 @@ def fit(rows: list[tuple[np.ndarray, str, list[str]]], epochs: int = 3, rate: fl
     langs = sorted({r[1] for r in rows})
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    aside = rows[::10] if len(rows) >= 50 else rows
-    learned = [r for k, r in enumerate(rows) if k % 10 or len(rows) < 50]
+    aside, learned = rows[::10], [r for k, r in enumerate(rows) if k % 10]
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for k in rng.permutation(len(learned)):
@@ -116,7 +116,7 @@ def train(docs: DataFrame, train_rows: int = 6000) -> dict | None:
     known = docs.where("lang IS NOT NULL").where(~held_out(F.col("doc_id")))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 20))
-    sample = known.where(draw < int((1 << 20) * min(1.0, train_rows / max(1, n)))).select("doc_id", "text", "lang")
+    sample = known.where(draw < int((1 << 20) * min(1.0, train_rows / max(1, n)))).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, cache = [], {}

@@ -137,3 +137,11 @@ def test_language_scores_equal_a_plain_average(spark):
         x = (sum(table[cases.crc(g) % language.BUCKETS] for g in grams) / len(grams) + np.array(m["bias"])) / m["temperature"]
         p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
         assert r.lang_pred == m["langs"][int(p.argmax())] and abs(r.score - p.max()) < 1e-9
+
+
+def test_language_learns_one_row_of_an_id(spark):
+    texts = {"de": "der die das und nicht", "en": "the and of to not"}
+    rows = [(1, texts["de"] + f" wort {k}", "de", "s") for k in range(3000)] + [(i, texts["en" if i % 2 else "de"] + f" {i}", "en" if i % 2 else "de", "s") for i in range(2, 200)]
+    docs = spark.createDataFrame([*rows, (None, texts["en"], "en", "s")], "doc_id long, text string, lang string, source string")
+    out = {(r.doc_id, r.lang_pred) for r in language.identified(docs, language.train(docs, 2000)).collect()}
+    assert (1, "de") in out and (3, "en") in out and (None, "en") in out
