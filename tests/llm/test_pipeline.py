@@ -59,4 +59,7 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
                 n = len(encode(r.text or "", add_special_tokens=False).ids) + 1
                 want.update((r.doc_id, k, start, min(2048, n - start)) for k, start in enumerate(range(0, n, 2048)))
             assert Counter((r.doc_id, r.piece, r.start, r.length) for r in at.collect()) == want
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1][1] > 0
+    assert spark.conf.get(key) == before and not corpus_pipeline._kept
