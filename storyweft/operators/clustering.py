@@ -98,7 +98,8 @@ def cluster(queries: DataFrame, articles: DataFrame, links: DataFrame, stories:
     group = lambda rows, at: rows.join(direct, rows["place"] == direct["node"], "left").select(*at, F.coalesce("component", "place").alias("group"))
     moved = group(homes, ["place", "story_id"]).join(group(low, []).distinct(), "group", "left_semi").select("story_id").distinct()
     shared = homes.join(moved, "story_id", "left_semi").withColumn("first", F.min("place").over(W.partitionBy("story_id")))
-    groups = components(ties.unionByName(shared.select(F.col("place").alias("u"), F.col("first").alias("v"))), f"{work}/groups")
+    more = saved(shared.where("place <> first").select(F.col("place").alias("u"), F.col("first").alias("v")), f"{work}/more")
+    groups = direct if more.isEmpty() else components(ties.unionByName(more), f"{work}/groups")
     own = before.groupBy("place").agg(F.collect_list(F.struct("story_id", "sim", "open", "words", "end")).alias("known"))
     heard = told.groupBy("place").agg(F.collect_list(F.struct("earlier", "sim")).alias("told"))
     rows = asked.join(own, "place", "left").join(heard, "place", "left").join(groups, asked["place"] == groups["node"], "left").withColumn("group", F.coalesce("component", "place"))
