@@ -346,7 +346,13 @@ def conflicting_titles(spark, d):
     return _neighbours(spark, d).select("id", "next_id", tx.conflicting_titles(F.col("title"), F.col("next_title"), DENY, ASSERT).alias("conflict"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEXT_SQL}, t AS (SELECT id, next_id, list_sort(list_distinct({STEM_SQL.format(NORM_SQL)})) AS a, list_sort(list_distinct({STEM_SQL.format(NORM_SQL.replace('title', 'next_title'))})) AS b FROM p),
+s AS (SELECT *, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ' ') AS c, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS l, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' ') AS r FROM t),
+u AS (SELECT l, r, 0 AS step, list_transform(range(length(l) + 1), lambda j: 0) AS tab FROM (SELECT DISTINCT l, r FROM s)
+UNION ALL SELECT l, r, step + 1, list_concat([0], list_transform(range(1, length(l) + 1), lambda j: list_max(new[1:j]))) FROM (SELECT *, list_transform(range(1, length(l) + 1), lambda j: CASE WHEN l[j] = r[step + 1] THEN tab[j] + 1 ELSE tab[j + 1] END) AS new FROM u WHERE step < length(r))),
+m AS (SELECT l, r, tab[-1] AS common FROM u WHERE step = length(r)),
+z AS (SELECT *, CASE WHEN c = '' THEN 0 ELSE length(c) + 1 END AS k FROM s JOIN m USING (l, r))
+SELECT id, next_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 WHEN c <> '' AND (l = '' OR r = '') THEN 100.0 ELSE greatest(200.0 * (k + common)::DOUBLE / (2 * k + length(l) + length(r)), CASE WHEN c = '' THEN 0.0 ELSE greatest(200.0 * length(c)::DOUBLE / (length(c) + k + length(l)), 200.0 * length(c)::DOUBLE / (length(c) + k + length(r))) END) END, 4) AS ratio FROM z""")
 def fuzzy_titles(spark, d):
     return _neighbours(spark, d).select("id", "next_id", F.round(token_set_ratio(F.col("title"), F.col("next_title")), 4).alias("ratio"))
 

@@ -1,8 +1,9 @@
-"""X05 token_set_ratio: the one text function that has no native expression; it runs on Arrow batches."""
+"""X05 token_set_ratio, as a native expression, and in Python for the replay of clustering."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from storyweft.functions.text import tokens_norm
@@ -36,9 +37,76 @@ def token_set(a: list[str], b: list[str]) -> float:
     return max([ratio(x, y), *((ratio(both, x), ratio(both, y)) if both else ())])
 
 
+#: Bits of a word in common_length(); sums of two words have to fit a signed 64-bit number.
+BITS = 62
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts of ASCII letters, digits and blanks.
+
+    The rows of the usual table are bits: words of BITS characters of a, kept in an array.  A character of b updates them
+    with one addition and its carry; masks say where in a each character stands, and are made by replacing the others.
+    """
+
+    def mask(part: Column, c: Column) -> Column:
+        bits = F.replace(F.regexp_replace(F.replace(part, c, F.lit("!")), "[^!]", "0"), F.lit("!"), F.lit("1"))
+        return F.conv(F.reverse(bits), 2, 10).cast("long")
+
+    def updated(v: Column, m: Column, full: Column) -> Column:
+        def word(s: Column, k: Column) -> Column:
+            old = F.get(v, k)
+            hit = old.bitwiseAND(F.get(m, k))
+            total = old + hit + s["carry"]
+            new = total.bitwiseAND(F.get(full, k)).bitwiseOR(old - hit)
+            return F.struct(F.concat(s["out"], F.array(new)).alias("out"), F.shiftright(total, BITS).alias("carry"))
+
+        none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(full) - 1), none, word, lambda s: s["out"])
+
+    def counted(q: Column) -> Column:
+        letters = F.array_distinct(_letters(q["a"]))
+        masks = F.map_from_arrays(letters, F.transform(letters, lambda c: F.transform(q["parts"], lambda p: mask(p, c))))
+        bound = F.struct(masks.alias("masks"), F.transform(q["parts"], lambda p: F.pow(F.lit(2.0), F.length(p)).cast("long") - 1).alias("full"), q["b"].alias("b"))
+
+        def rows(t: Column) -> Column:
+            last = F.aggregate(_letters(t["b"]), t["full"], lambda v, c: F.when(F.element_at(t["masks"], c).isNull(), v).otherwise(updated(v, F.element_at(t["masks"], c), t["full"])))
+            return F.aggregate(F.zip_with(t["full"], last, lambda f, v: F.bit_count(f.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, x: n + x)
+
+        return _let(bound, rows)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / BITS).cast("int")), lambda k: F.substring(a, k * BITS + 1, F.lit(BITS)))
+    return F.when((a == "") | (b == ""), 0).otherwise(_let(F.struct(a.alias("a"), b.alias("b"), parts.alias("parts")), counted))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
+    """X05, natively: token_set() of the normal tokens of two titles.
+
+    The common tokens start both sides, so they are common as they stand, and only what differs is compared by character.
+    """
+
+    def of_texts(y: Column) -> Column:
+        none = y["both"] == ""
+        sizes = F.struct(F.when(none, 0).otherwise(F.length(y["both"]) + 1).alias("k"), F.length(y["both"]).alias("both"), F.length(y["left"]).alias("n"), F.length(y["right"]).alias("m"), common_length(y["left"], y["right"]).alias("l"))
+
+        def ratio(z: Column) -> Column:
+            part = lambda n: 200.0 * z["both"] / (z["both"] + z["k"] + z[n])  # noqa: E731  of the common tokens and one side
+            return F.greatest(200.0 * (z["k"] + z["l"]) / (2 * z["k"] + z["n"] + z["m"]), F.when(z["both"] == 0, 0.0).otherwise(F.greatest(part("n"), part("m"))))
+
+        return F.when(~none & ((y["left"] == "") | (y["right"] == "")), 100.0).otherwise(_let(sizes, ratio))
+
+    def of_sets(x: Column) -> Column:
+        text = lambda t: F.array_join(t, " ")
+        texts = F.struct(text(F.array_intersect(x["a"], x["b"])).alias("both"), text(F.array_except(x["a"], x["b"])).alias("left"), text(F.array_except(x["b"], x["a"])).alias("right"))
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(_let(texts, of_texts))
 
-    return score(tokens_norm(a), tokens_norm(b))
+    tokens = lambda t: F.array_sort(F.array_distinct(tokens_norm(t)))
+    return _let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), of_sets)

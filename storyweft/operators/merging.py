@@ -87,20 +87,41 @@ def gated_pairs(post: DataFrame, window_hours: float) -> DataFrame:
     return _weights(post.alias("a"), older.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & near & _newer())
 
 
-def largest_weight(post: DataFrame, least: DataFrame) -> DataFrame:
-    """top: the largest weight of any pair, at whatever distance, if it is over least(weight), which is one row; else no value.
+#: How much longer the posting lists of each step of largest_weight() may be.
+STEP = 32
 
-    Of a story's tokens, rarest first, those from which on the rest weighs at most `least` cannot alone make a heavier
-    pair, so a heavier pair shares one of the tokens before: only those are joined, and the pairs they give are added up.
+
+def largest_weight(post: DataFrame, least: float = 0.0, made: list[int] | None = None) -> float | None:
+    """The largest weight of any pair, at whatever distance, if it is over `least`; else least, or null where nothing pairs.
+
+    A threshold search over post(story_id, token, df, idf): tokens come in steps of list length, rarest first.  A pair not
+    met yet shares only tokens of the steps to come, so it weighs at most what either story has left in these; stories
+    with less than the best pair so far drop out before each step, and the search ends when no token has two left.  Lists
+    of the first step are short, so its pairs are linear in the stories, and the best of them leaves few for the others.
+    A story has a signature's few tokens, which travel with it, so pairs are weighed where they meet; what comes to the
+    driver is two numbers a step, of which the number of pairs is appended to `made`.
     """
-    order = W.partitionBy("story_id").orderBy(F.col("idf").desc(), "token")
+    order = W.partitionBy("story_id").orderBy("df", "token")
     rest = F.sum("idf").over(order.rowsBetween(0, W.unboundedFollowing))
-    heavy = post.withColumn("rest", rest).crossJoin(F.broadcast(least)).where(F.col("rest") > F.coalesce("weight", F.lit(0.0)) - 1e-9).select("story_id", "ts", "token")
-    met = heavy.alias("a").join(heavy.alias("b"), (F.col("a.token") == F.col("b.token")) & _newer()).select(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b")).distinct()
-    lists = post.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("w"))
-    both = met.join(lists.select(F.col("story_id").alias("a"), F.col("w").alias("wa")), "a").join(lists.select(F.col("story_id").alias("b"), F.map_keys("w").alias("wb")), "b")
-    weight = F.aggregate(F.array_intersect(F.map_keys("wa"), F.col("wb")), F.lit(0.0), lambda s, t: s + F.element_at("wa", t))
-    return both.agg(F.max(weight).alias("top"))
+    own = F.map_from_entries(F.collect_list(F.struct("token", "idf")).over(W.partitionBy("story_id")))
+    lists = saved(post.where("df > 1").select("story_id", "token", "df", "idf", rest.alias("rest"), own.alias("own")), f"{shared_dir(post.sparkSession)}/lists")
+    ends = lists.agg(F.max("df").alias("df"), F.max("idf").alias("idf")).first()
+    if ends["df"] is None:
+        return least or None
+    best = max(least, ends["idf"] - 1e-9)  # some pair shares the token of that idf
+    low, high = 1, STEP
+    while True:
+        alive = lists.where((F.col("df") > low) & (F.col("rest") > best - 1e-9))
+        step = alive.where(F.col("df") <= high).select("token", "story_id", "own")
+        a, b = step.alias("a"), step.alias("b")
+        weight = F.aggregate(F.array_intersect(F.map_keys("a.own"), F.map_keys("b.own")), F.lit(0.0), lambda s, t: s + F.element_at("a.own", t))
+        found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.story_id") < F.col("b.story_id"))).agg(F.max(weight).alias("w"), F.count("*").alias("n")).first()
+        best = max(best, found["w"] or 0.0)
+        if made is not None:
+            made.append(found["n"])
+        if high >= ends["df"] or lists.where((F.col("df") > high) & (F.col("rest") > best - 1e-9)).groupBy("token").count().where("count > 1").isEmpty():
+            return best
+        low, high = high, high * STEP
 
 
 def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int = 60, max_df_ratio: float = 0.35, min_overlap: int = 1, fallback: bool = True) -> DataFrame:
@@ -122,8 +143,8 @@ def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int =
         top = pairs.agg(F.max("weight").alias("top"))
     else:
         pairs = saved(gated_pairs(post, window_hours), f"{work}/pairs")
-        near = pairs.agg(F.max("weight").alias("weight"))
-        top = near.crossJoin(largest_weight(post, near)).select(F.greatest("weight", "top").alias("top"))
+        top = largest_weight(post, pairs.agg(F.max("weight").alias("w")).first()["w"] or 0.0)
+        top = stories.sparkSession.createDataFrame([(top,)], "top double")
     hours = F.coalesce(F.abs(hours_between(F.col("ts_a"), F.col("ts_b"))), F.lit(9999.0))
     out = pairs.where((F.col("overlap") == 0) | (F.col("overlap") >= min_overlap)).crossJoin(F.broadcast(top)).withColumn("hours", hours).where(F.col("hours") <= window_hours)
     out = out.withColumn("known", 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / window_hours))
