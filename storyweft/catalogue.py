@@ -10,8 +10,8 @@ from storyweft.functions import text as tx
 from storyweft.functions.fuzzy import token_set_ratio
 from storyweft.functions.lexicons import SIGNATURE_STOP_WORDS, TITLE_STOP_WORDS
 from storyweft.functions.vectors import embed, nearest
-from storyweft.operators import clustering as cl, coverage as cov, evaluation as ev, listing as ls, merging as mg, ranking as rk, store as st
-from storyweft.plans import adapters as ad
+from storyweft.operators import backgrounds as bg, clustering as cl, coverage as cov, evaluation as ev, listing as ls, merging as mg, ranking as rk, store as st
+from storyweft.plans import adapters as ad, translations as tr
 from storyweft.sources.shared import saved, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,3 +611,53 @@ def source_names(spark, d):
 def type_audit(spark, d):
     a = ad.read(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_orderdate").alias("published_at"), F.col("o_orderstatus").alias("article_type"))
     return ev.type_audit(a, 500).select(F.col("article_type").alias("status"), "n")
+
+
+@query(f"""WITH {KNN_SQL.format(where='')}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, story_id ORDER BY rn) AS nth FROM k WHERE rn <= 50 AND story_id % 3 <> 0),
+f AS (SELECT query_id, story_id, min(rn) AS first, count(*) AS articles FROM p WHERE nth <= 3 GROUP BY ALL)
+SELECT query_id, story_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank, articles FROM f""")
+def baseline_candidates(spark, d):
+    """X34's baseline; every third story's articles have no link."""
+    v = ad.embedded_articles(spark, d)
+    v = ev.known_queries(v.withColumn("query_id", F.col("id")), v).drop("query_id")
+    return ev.baseline_candidates(v, v, v.where("story_id % 3 <> 0").select(F.col("id").alias("article_id"), "story_id"))
+
+
+TITLE_CACHE_SQL = """c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'another title' ELSE trim(substr(text, 1, 120)) END AS of_title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('t', doc_id) END AS translated, CASE doc_id % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'PENDING' ELSE 'ERROR' END AS was, doc_id % 200 AS age FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+@query(f"""WITH {TITLE_CACHE_SQL}, b AS (SELECT d.doc_id AS story_id, CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE trim(substr(text, 1, 120)) END AS source_title, c.* FROM documents d LEFT JOIN c USING (doc_id)),
+a AS (SELECT *, CASE WHEN source_title = '' THEN 'EMPTY' WHEN was IS NULL THEN 'CLAIM' WHEN of_title <> source_title THEN 'CHANGED' WHEN was = 'SUCCESS' AND translated <> '' THEN 'USE' WHEN was = 'PENDING' AND age < 90 THEN 'WAIT' ELSE 'RETRY' END AS action FROM b)
+SELECT story_id, CASE action WHEN 'EMPTY' THEN 'EMPTY_SOURCE_TITLE' WHEN 'USE' THEN 'SUCCESS' ELSE 'PENDING' END AS status, CASE action WHEN 'USE' THEN translated WHEN 'EMPTY' THEN NULL ELSE source_title END AS title, action IN ('USE', 'WAIT') AS cache_hit, action FROM a""")
+def translated_titles(spark, d):
+    """X27 over a cache that is made of the documents: all transitions, and titles that changed since."""
+    docs = ad.read(spark, d, "documents").select(F.col("doc_id").alias("story_id"), F.trim(F.substring("text", 1, 120)).alias("own"))
+    stories = docs.select("story_id", F.when(F.col("story_id") % 11 == 0, F.lit(" ")).otherwise(F.col("own")).alias("title"))
+    was = F.when(F.col("story_id") % 3 == 0, "SUCCESS").when(F.col("story_id") % 3 == 1, "PENDING").otherwise("ERROR")
+    cache = docs.where("story_id % 5 <> 0").select(
+        "story_id", F.lit("zh").alias("lang"), F.lit("v1").alias("prompt_version"), F.when(F.col("story_id") % 7 == 0, "another title").otherwise(F.col("own")).alias("source_title"),
+        F.when(F.col("story_id") % 4 == 0, "").otherwise(F.concat(F.lit("t"), "story_id")).alias("translated_title"), was.alias("status"), F.lit(None).cast("string").alias("error"), (ad.as_of() - F.make_dt_interval(secs=(F.col("story_id") % 200).cast("decimal(18,6)"))).alias("updated_at"),
+    )
+    return tr.translation_state(stories, cache, ad.as_of()).select("story_id", "status", "title", "cache_hit", "action")
+
+
+def fnv_sql(text: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda h, x: (xor(h, x) * 16777619::UBIGINT) & 4294967295::UBIGINT)"
+
+
+#: Categories as they come: in any case, odd, or missing.
+RAW_CATEGORIES = ["Crime", "ECONOMY", "geopolitics", "Politics", "sports", "Technology", "General", "Weather"]
+POOLS_SQL = ", ".join(f"('{c}', [{', '.join(repr(x) for x in bg.pool_of(c))}])" for c in bg.FILES)
+
+
+@query(f"""WITH RECURSIVE pools(category, pool) AS (VALUES {POOLS_SQL}),
+e AS (SELECT doc_id AS story_id, CASE doc_id % 9 {' '.join(f"WHEN {k} THEN '{c.capitalize() if c != 'Weather' else 'General'}'" for k, c in enumerate(RAW_CATEGORIES))} ELSE 'General' END AS category FROM documents),
+h AS (SELECT *, concat('2024-01-31:', category, ':', story_id) AS key, len(pool) AS n, row_number() OVER (PARTITION BY category ORDER BY story_id) AS turn FROM e JOIN pools USING (category)),
+g AS (SELECT *, CAST({fnv_sql('key')} % n AS BIGINT) AS base, CAST(1 + {fnv_sql("concat('step:', key)")} % (n - 1) AS BIGINT) AS step FROM h),
+f AS (SELECT category, 0::BIGINT AS turn, NULL::BIGINT AS story_id, CAST([] AS BIGINT[]) AS used, NULL::BIGINT AS slot FROM pools
+UNION ALL SELECT category, turn, story_id, list_append(used, slot), slot FROM (SELECT g.category, g.turn, g.story_id, f.used, coalesce(list_filter(list_transform(range(0, n + 1), lambda i: (base + step * i) % n), lambda s: NOT list_contains(f.used, s))[1], base) AS slot FROM f JOIN g ON g.category = f.category AND g.turn = f.turn + 1))
+SELECT f.story_id, category, pool[slot + 1] AS background FROM f JOIN pools USING (category) WHERE f.turn > 0""")
+def story_backgrounds(spark, d):
+    raw = F.get(F.array(*map(F.lit, RAW_CATEGORIES)), (F.col("doc_id") % 9).cast("int"))
+    stories = ad.read(spark, d, "documents").select(F.col("doc_id").alias("story_id"), raw.alias("category"), F.lit(0).alias("place"))
+    return bg.assigned_backgrounds(stories, ad.AS_OF[:10]).select("story_id", "category", "background")

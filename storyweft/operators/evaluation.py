@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from storyweft.functions.text import tokens_eval
+from storyweft.functions.vectors import nearest
 from storyweft.plans.adapters import hours_between
 from storyweft.sources.shared import saved, shared_dir
 
@@ -56,6 +57,29 @@ def audit_summary(audited: DataFrame) -> DataFrame:
     return audited.agg(F.round(F.avg("self_sim"), 4).alias("avg_title_match"), F.round(F.avg("margin"), 4).alias("avg_margin"), F.round(rate, 4).alias("conflict_rate"), F.count_if("suspect").alias("suspects"), F.count("*").alias("articles"))
 
 
+def known_queries(labels: DataFrame, articles: DataFrame) -> DataFrame:
+    """Labels, whose queries all have to be among articles(id, title) with a title; else an error that names up to ten of the others."""
+    there = articles.where(F.trim(F.coalesce("title", F.lit(""))) != "").select(F.col("id").alias("query_id"))
+    missing = labels.select("query_id").distinct().join(there, "query_id", "left_anti").orderBy("query_id").limit(10).collect()
+    if missing:
+        raise ValueError(f"these queries are not among the recent articles: {[r['query_id'] for r in missing]}")
+    return labels
+
+
+def baseline_candidates(queries: DataFrame, articles: DataFrame, links: DataFrame, m: int = 50, per_story: int = 3) -> DataFrame:
+    """query_id, story_id, rank, articles: the stories of each query's m nearest articles by title vector, in order of their first article.
+
+    articles counts a story's articles among them, of which the first per_story are taken.  Neighbours without a story
+    are passed over; a story of several links is there once a link.
+    """
+    near = nearest(queries, articles, m).withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("article_id"))))
+    near = near.join(links.select("article_id", "story_id"), "article_id")
+    taken = F.row_number().over(W.partitionBy("query_id", "story_id").orderBy("place"))
+    per = near.withColumn("nth", taken).where(F.col("nth") <= per_story).groupBy("query_id", "story_id").agg(F.min("place").alias("first"), F.count("*").alias("articles"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("first", "story_id"))
+    return per.select("query_id", "story_id", rank.alias("rank"), "articles")
+
+
 def retrieval_recall(labels: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     """labels(query_id, true_story_id), candidates(query_id, story_id, rank) -> k, hits, n, recall."""
     found = labels.join(candidates.withColumnRenamed("story_id", "true_story_id"), ["query_id", "true_story_id"], "left")
