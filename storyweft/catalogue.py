@@ -661,3 +661,61 @@ def story_backgrounds(spark, d):
     raw = F.get(F.array(*map(F.lit, RAW_CATEGORIES)), (F.col("doc_id") % 9).cast("int"))
     stories = ad.read(spark, d, "documents").select(F.col("doc_id").alias("story_id"), raw.alias("category"), F.lit(0).alias("place"))
     return bg.assigned_backgrounds(stories, ad.AS_OF[:10]).select("story_id", "category", "background")
+
+
+@query(f"""WITH {ad.TITLED_SQL}, e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT count(*) FILTER (WHERE {HOURS_SQL.format(NOW_SQL, 'published_at')} <= 168 AND embedding IS NULL) AS missing_embeddings, count(*) FILTER (WHERE {HOURS_SQL.format(NOW_SQL, 'published_at')} <= 168 AND toxic IS NULL) AS missing_types,
+count(*) FILTER (WHERE {HOURS_SQL.format(NOW_SQL, 'published_at')} <= 240 AND embedding IS NOT NULL AND id % 2 = 0) AS unassigned FROM d LEFT JOIN e ON vec_id = id LEFT JOIN labels ON labels.doc_id = id""")
+def missing_work(spark, d):
+    """A third of the vectors and the even articles' stories are missing; labels stand for types."""
+    e = ad.read(spark, d, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), "embedding")
+    kinds = ad.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("string").alias("article_type"))
+    a = ad.titled_articles(spark, d).select("id", "published_at").join(e, "id", "left").join(kinds, "id", "left")
+    return ev.missing_work(a, a.where("id % 2 = 1").select(F.col("id").alias("article_id")), ad.as_of())
+
+
+def _listed_stories(spark, d):
+    """Stories of the vectors' labels, each with its articles; one story without any."""
+    v = ad.embedded_articles(spark, d)
+    stories = v.groupBy("story_id").agg(F.min_by("title", "id").alias("title"), F.max("published_at").alias("ts"))
+    stories = stories.select(F.col("story_id").cast("long").alias("story_id"), "title", "ts").unionByName(spark.createDataFrame([(-1, None)], "story_id long, title string").withColumn("ts", ad.as_of()))
+    return mg.signature_input(stories, v.select(F.col("story_id").cast("long").alias("story_id"), F.col("id").alias("article_id"), "title", "summary", "published_at"))
+
+
+LISTED_SQL = f"""{ad.EMBEDDED_SQL}, st AS (SELECT CAST(story_id AS BIGINT) AS story_id, arg_min(title, id) AS title, max(published_at) AS ts FROM v GROUP BY story_id UNION ALL SELECT -1, '', {NOW_SQL}),
+rd AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC NULLS LAST, id DESC) AS rn FROM v)"""
+
+
+@query(f"""WITH {LISTED_SQL}, a AS (SELECT story_id, string_agg(concat(title, chr(1), summary), chr(2) ORDER BY rn) AS docs, count(*) AS n FROM rd WHERE rn <= 5 GROUP BY story_id)
+SELECT st.story_id, title, ts, coalesce(docs, '') AS docs, coalesce(n, 0) AS n_docs FROM st LEFT JOIN a USING (story_id)""")
+def signature_docs(spark, d):
+    """What signatures are made of."""
+    docs = F.array_join(F.transform("docs", lambda x: F.concat(x["title"], F.lit("\x01"), x["summary"])), "\x02")
+    return _listed_stories(spark, d).select("story_id", "title", "ts", docs.alias("docs"), F.size("docs").cast("long").alias("n_docs"))
+
+
+#: RE2's word boundary knows ASCII only, so that accented letters become underscores, which are parts of words for both engines.
+_PLAIN = r"regexp_replace(regexp_replace({0}, 'https?://\S+|www\.\S+', ' ', 'g'), '[\x{{C0}}-\x{{24F}}]', '_', 'g')"
+PHRASES_SQL = r"list_concat(list_filter(list_transform(list_concat(regexp_extract_all(" + _PLAIN + r", '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'), regexp_extract_all(" + _PLAIN + r", '\b[A-Z]{{2,}}\b')), lambda t: lower(t)), lambda t: length(t) >= 2 AND t NOT IN (" + words_sql(SIGNATURE_STOP_WORDS) + ")), " + TERMS_SQL + ")"
+
+
+@query(f"""WITH {LISTED_SQL}, p AS (SELECT story_id, 0 AS o, 4 AS w, {PHRASES_SQL.format('title')} AS t FROM st UNION ALL SELECT story_id, 2 * rn - 1, 2, {PHRASES_SQL.format('title')} FROM rd WHERE rn <= 5 UNION ALL SELECT story_id, 2 * rn, 1, {PHRASES_SQL.format('summary')} FROM rd WHERE rn <= 5),
+e AS (SELECT story_id, o, w, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM p), vt AS (SELECT story_id, term, sum(w) AS votes, min(o * 100000 + i) AS first FROM e GROUP BY story_id, term),
+rk AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY votes DESC, first) AS rn FROM vt), sg AS (SELECT story_id, string_agg(term, '|' ORDER BY rn) AS signature FROM rk WHERE rn <= 12 GROUP BY story_id)
+SELECT story_id, coalesce(signature, '') AS signature, '' AS keywords_hit FROM st LEFT JOIN sg USING (story_id)""")
+def signatures_with_phrases(spark, d):
+    """X10 with runs of capitalised words and acronyms; the tables' words are invented, so no keyword is hit."""
+    out = mg.signed_stories(_listed_stories(spark, d))
+    return out.select("story_id", F.array_join("signature", "|").alias("signature"), F.array_join("keywords_hit", "|").alias("keywords_hit"))
+
+
+@query(f"""WITH {KNN_SQL.format(where='')}, b AS (SELECT query_id, story_id, max(sim) AS best_sim FROM k WHERE rn <= 200 AND query_id % 2 = 0 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_sim DESC, story_id) AS rank FROM b),
+g AS (SELECT query_id, string_agg(CAST(story_id AS VARCHAR), ' ' ORDER BY rank) FILTER (WHERE rank <= 20) AS stories, count(*) AS n FROM c GROUP BY query_id)
+SELECT d.doc_id AS query_id, coalesce(stories, '') AS stories, coalesce(n, 0) AS unique_stories, CASE WHEN d.doc_id NOT IN (SELECT id FROM v) THEN 'query_article_not_found' WHEN d.doc_id % 2 = 1 THEN 'query_embedding_is_null' END AS error FROM documents d LEFT JOIN g ON g.query_id = d.doc_id""")
+def retrieved_candidates(spark, d):
+    """X13 for every document: some are no articles with a vector, and the odd ones have lost theirs as queries."""
+    v = ad.embedded_articles(spark, d).withColumn("story_id", F.col("story_id").cast("long"))
+    asked = v.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.col("embedding")))
+    queries = ad.read(spark, d, "documents").select(F.col("doc_id").alias("query_id"))
+    out = cl.retrieved(queries, v, v.select(F.col("id").alias("article_id"), "story_id"), asked=asked)
+    return out.select("query_id", joined("stories").alias("stories"), "unique_stories", "error")

@@ -27,6 +27,21 @@ def candidate_stories(queries: DataFrame, articles: DataFrame, links: DataFrame,
     return per.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def retrieved(queries: DataFrame, articles: DataFrame, links: DataFrame, days: float | None = None, m: int = 200, n: int = 20, asked: DataFrame | None = None) -> DataFrame:
+    """queries(query_id) -> query_id, stories in order of rank, unique_stories, error: one row for every query, also where there is nothing to find.
+
+    error names a query that is no article, or has no vector; else it is null, and without neighbours the list is empty.
+    asked, if given, holds the queries' articles in place of articles.
+    """
+    known = articles if asked is None else asked
+    asked = queries.select("query_id").distinct().join(known.select(F.col("id").alias("query_id"), F.col("embedding").isNotNull().alias("has")), "query_id", "left")
+    found = candidate_stories(known.join(asked.where("has").select(F.col("query_id").alias("id")), "id", "left_semi"), articles, links, days, m, 1 << 30)
+    per = found.groupBy("query_id").agg(F.count("*").alias("unique_stories"), F.sort_array(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "story_id")))).alias("s"))
+    error = F.when(F.col("has").isNull(), "query_article_not_found").when(~F.col("has"), "query_embedding_is_null")
+    stories = F.coalesce(F.transform("s", lambda x: x["story_id"]), F.array().cast("array<bigint>"))
+    return asked.join(per, "query_id", "left").select("query_id", stories.alias("stories"), F.coalesce("unique_stories", F.lit(0)).alias("unique_stories"), error.alias("error"))
+
+
 def decide_action(vec: Column, fuzz: Column, jac: Column, at: Column, end: Column) -> Column:
     """Merge with the best story or start a new one."""
     near = F.abs(hours_between(at, end)) <= 6

@@ -8,6 +8,7 @@ from storyweft.functions.text import tokens_eval
 from storyweft.functions.vectors import nearest
 from storyweft.plans.adapters import hours_between
 from storyweft.sources.shared import saved, shared_dir
+from storyweft.sources.tablestore import Change, Snapshot, TableStore
 
 
 def rank_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,9 +107,44 @@ def params_daily(logs: DataFrame) -> DataFrame:
     return logs.groupBy(day_of(F.col("created_at")).alias("day"), "eval_type").agg(F.max(F.get_json_object("params", "$.weights.k").cast("double")).alias("max_k"))
 
 
-def log_eval(rows: DataFrame, path: str) -> None:
-    """Appends evaluation rows."""
-    rows.write.mode("append").parquet(path)
+EVAL_LOG = "run_id string, eval_type string, algorithm_name string, algorithm_version string, baseline_name string, baseline_version string, sample_window_hours int, sample_event_ids string, algo_topk string, baseline_topk string, metrics string, params string, notes string, created_at timestamp_ntz"
+_JSON = ("sample_event_ids", "algo_topk", "baseline_topk", "metrics", "params")
+
+
+def eval_rows(rows: DataFrame, created_at: Column) -> DataFrame:
+    """Evaluation runs in the shape of the log: lists, maps and structs as JSON (missing ones empty), missing columns null, one time for all."""
+    kinds = dict(f.split() for f in EVAL_LOG.split(", "))
+
+    def column(name: str) -> Column:
+        if name == "created_at":
+            return created_at.cast("timestamp_ntz")
+        there = F.col(name) if name in rows.columns else F.lit(None)
+        if name not in _JSON:
+            return there.cast(kinds[name])
+        nothing = F.lit("{}" if name in ("metrics", "params") else "[]")
+        plain = name not in rows.columns or dict(rows.dtypes)[name] == "string"
+        return F.coalesce(there.cast("string") if plain else F.to_json(there), nothing)
+
+    return rows.select(*[column(n).alias(n) for n in kinds])
+
+
+def log_eval(rows: DataFrame, store: TableStore, created_at: Column, table: str = "algorithm_eval_logs") -> None:
+    """Adds the runs of rows, once: a run (run_id, eval_type) that the log has already is passed over, so a retry adds nothing twice."""
+    made = eval_rows(rows, created_at)
+
+    def plan(at: Snapshot) -> Change:
+        new = made.join(at.read(table).select("run_id", "eval_type"), ["run_id", "eval_type"], "left_anti") if table in at else made
+        return {table: ("append", new)}
+
+    store.change(plan)
+
+
+def missing_work(articles: DataFrame, links: DataFrame, now: Column, days: float = 7, hours: float = 240) -> DataFrame:
+    """One row of what is left to do: recent articles without a vector, without a type, and with a vector but without a story."""
+    age = hours_between(now, F.col("published_at"))
+    linked = links.select(F.col("article_id").alias("id"), F.lit(True).alias("linked")).distinct()
+    free = (age <= hours) & F.col("embedding").isNotNull() & F.col("linked").isNull()
+    return articles.join(linked, "id", "left").agg(F.count_if((age <= 24 * days) & F.col("embedding").isNull()).alias("missing_embeddings"), F.count_if((age <= 24 * days) & F.col("article_type").isNull()).alias("missing_types"), F.count_if(free).alias("unassigned"))
 
 
 def funnel(articles: DataFrame, links: DataFrame, stories: DataFrame, now: Column, days: int = 7) -> DataFrame:

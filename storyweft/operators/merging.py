@@ -42,6 +42,26 @@ def signatures(stories: DataFrame, docs: DataFrame, top_n: int = 12, phrases: bo
     return votes.where(F.col("rn") <= top_n).groupBy("story_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x.term).alias("signature"))
 
 
+def signature_input(stories: DataFrame, articles: DataFrame, since: Column | None = None, most: int = 500, per_story: int = 5) -> DataFrame:
+    """stories(story_id, title, ts, and title_override where there is one), articles(story_id, article_id, title, summary, published_at)
+    -> story_id, title, ts, docs: the `most` newest stories from `since` on, each with its newest articles as structs (title, summary), an empty list without any."""
+    title = F.coalesce("title_override", "title", F.lit("")) if "title_override" in stories.columns else F.coalesce("title", F.lit(""))
+    fresh = stories.where(F.col("ts") >= since) if since is not None else stories.where("ts IS NOT NULL")
+    fresh = fresh.orderBy(F.col("ts").desc(), F.col("story_id").desc()).limit(most).select("story_id", title.alias("title"), "ts")
+    rn = F.row_number().over(W.partitionBy("story_id").orderBy(F.col("published_at").desc_nulls_last(), F.col("article_id").desc()))
+    docs = articles.join(fresh.select("story_id"), "story_id", "left_semi").withColumn("rn", rn).where(F.col("rn") <= per_story)
+    docs = docs.groupBy("story_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "title", "summary"))), lambda x: F.struct(x["title"].alias("title"), x["summary"].alias("summary"))).alias("docs"))
+    return fresh.join(docs, "story_id", "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<struct<title: string, summary: string>>")))
+
+
+def signed_stories(listed: DataFrame, top_n: int = 12, phrases: bool = True) -> DataFrame:
+    """signature_input() -> story_id, ts, signature (empty without a term) and keywords_hit, its fixed keywords in order of name."""
+    docs = listed.select("story_id", F.posexplode("docs").alias("i", "d")).select("story_id", (F.col("i") + 1).alias("rn"), "d.title", "d.summary")
+    out = listed.select("story_id", "ts").join(signatures(listed.select("story_id", "title"), docs, top_n, phrases), "story_id", "left")
+    out = out.withColumn("signature", F.coalesce("signature", F.array().cast("array<string>")))
+    return out.withColumn("keywords_hit", F.array_sort(F.array_intersect("signature", F.array(*map(F.lit, lex.SIGNATURE_KEYWORDS)))))
+
+
 def df_idf(stories: DataFrame) -> DataFrame:
     """stories(story_id, signature) -> token, df, idf."""
     n = stories.agg(F.count("*").alias("n"))

@@ -43,6 +43,17 @@ def top_stories(articles: DataFrame, stories: DataFrame, now: Column, limit: int
     return out.orderBy(F.col("score").desc(), F.col("last_seen_at").desc_nulls_last(), F.col("story_id").desc()).limit(limit)
 
 
+def clamped(value: int, least: int, most: int) -> int:
+    return max(least, min(int(value), most))
+
+
+def top_list(articles: DataFrame, stories: DataFrame, now: Column, limit: int, **options) -> DataFrame:
+    """What a reader of the top list gets: limit, held within 1 to 20, stories after the rerank of six times as many, within 20 to 60."""
+    limit = clamped(limit, 1, 20)
+    few = top_stories(articles, stories, now, clamped(6 * limit, 20, 60), **options)
+    return rerank(few, limit)
+
+
 def top_stories_v0(articles: DataFrame, now: Column, hours: float = 72, k: int = 5, weights: tuple[float, float, float] = (0.45, 0.35, 0.20)) -> DataFrame:
     """Stories last seen within `hours`, by log counts and freshness."""
     life = story_lifetime(articles)

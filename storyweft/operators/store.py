@@ -45,11 +45,17 @@ def cache_action(status: Column, updated_at: Column, now: Column, refresh_days:
     )
 
 
-def prompt_titles(titles: Column, most: int = 6, length: int = 160) -> Column:
-    """Squeezed, distinct regardless of case, cut titles; the first `most` in the given order."""
+def prompt_titles(titles: Column, most: int = 6, length: int = 160, seed: int = 0) -> Column:
+    """Squeezed, distinct regardless of case, cut titles, in the given order; of more than `most`, a sample.
+
+    The sample is drawn by a seeded hash, so the same titles give the same prompt.
+    """
     clean = F.filter(F.transform(titles, lambda t: F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, length)), lambda t: t != "")
     firsts = F.filter(clean, lambda t: t.isNotNull())
-    return F.slice(F.filter(firsts, lambda t, i: F.array_position(F.transform(firsts, F.lower), F.lower(t)) == i + 1), 1, most)
+    once = F.filter(firsts, lambda t, i: F.array_position(F.transform(firsts, F.lower), F.lower(t)) == i + 1)
+    drawn = lambda all_: F.slice(F.array_sort(F.transform(all_, lambda t: F.struct(F.xxhash64(F.lit(seed), t).alias("h"), t.alias("t")))), 1, most)
+    sample = lambda all_: F.filter(all_, lambda t: F.exists(drawn(all_), lambda x: x["t"] == t))
+    return F.get(F.transform(F.array(once), lambda all_: F.when(F.size(all_) <= most, all_).otherwise(sample(all_))), F.lit(0))
 
 
 def with_column_if_missing(df: DataFrame, name: str, kind: str) -> DataFrame:
