@@ -346,13 +346,18 @@ def conflicting_titles(spark, d):
     return _neighbours(spark, d).select("id", "next_id", tx.conflicting_titles(F.col("title"), F.col("next_title"), DENY, ASSERT).alias("conflict"))
 
 
-@query(f"""WITH RECURSIVE {NEXT_SQL}, t AS (SELECT id, next_id, list_sort(list_distinct({STEM_SQL.format(NORM_SQL)})) AS a, list_sort(list_distinct({STEM_SQL.format(NORM_SQL.replace('title', 'next_title'))})) AS b FROM p),
-s AS (SELECT *, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ' ') AS c, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS l, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' ') AS r FROM t),
+def fuzz_sql(pairs: str) -> str:
+    """CTEs that end in fz: the rows of pairs, which has the sorted tokens a and b, with their fuzzy ratio as fuzz; the common length by the rows of the usual table."""
+    return f"""s AS (SELECT *, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ' ') AS c, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS l, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' ') AS r FROM {pairs}),
 u AS (SELECT l, r, 0 AS step, list_transform(range(length(l) + 1), lambda j: 0) AS tab FROM (SELECT DISTINCT l, r FROM s)
 UNION ALL SELECT l, r, step + 1, list_concat([0], list_transform(range(1, length(l) + 1), lambda j: list_max(new[1:j]))) FROM (SELECT *, list_transform(range(1, length(l) + 1), lambda j: CASE WHEN l[j] = r[step + 1] THEN tab[j] + 1 ELSE tab[j + 1] END) AS new FROM u WHERE step < length(r))),
 m AS (SELECT l, r, tab[-1] AS common FROM u WHERE step = length(r)),
-z AS (SELECT *, CASE WHEN c = '' THEN 0 ELSE length(c) + 1 END AS k FROM s JOIN m USING (l, r))
-SELECT id, next_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 WHEN c <> '' AND (l = '' OR r = '') THEN 100.0 ELSE greatest(200.0 * (k + common)::DOUBLE / (2 * k + length(l) + length(r)), CASE WHEN c = '' THEN 0.0 ELSE greatest(200.0 * length(c)::DOUBLE / (length(c) + k + length(l)), 200.0 * length(c)::DOUBLE / (length(c) + k + length(r))) END) END, 4) AS ratio FROM z""")
+z AS (SELECT *, CASE WHEN c = '' THEN 0 ELSE length(c) + 1 END AS k FROM s JOIN m USING (l, r)),
+fz AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 WHEN c <> '' AND (l = '' OR r = '') THEN 100.0 ELSE greatest(200.0 * (k + common)::DOUBLE / (2 * k + length(l) + length(r)), CASE WHEN c = '' THEN 0.0 ELSE greatest(200.0 * length(c)::DOUBLE / (length(c) + k + length(l)), 200.0 * length(c)::DOUBLE / (length(c) + k + length(r))) END) END AS fuzz FROM z)"""
+
+
+@query(f"""WITH RECURSIVE {NEXT_SQL}, t AS (SELECT id, next_id, list_sort(list_distinct({STEM_SQL.format(NORM_SQL)})) AS a, list_sort(list_distinct({STEM_SQL.format(NORM_SQL.replace('title', 'next_title'))})) AS b FROM p),
+{fuzz_sql('t')} SELECT id, next_id, round(fuzz, 4) AS ratio FROM fz""")
 def fuzzy_titles(spark, d):
     return _neighbours(spark, d).select("id", "next_id", F.round(token_set_ratio(F.col("title"), F.col("next_title")), 4).alias("ratio"))
 
@@ -520,6 +525,20 @@ def cluster_dry_run(spark, d):
     return out.select("query_id", "action", "story_id", F.round("best_sim", 5).alias("best_sim"), r6("jac").alias("jac"))
 
 
+@query(f"""WITH RECURSIVE {CANDIDATES_SQL}, st AS (SELECT story_id, arg_min(title, id) AS title, max(published_at) AS end_time FROM v GROUP BY story_id),
+t AS (SELECT c.query_id, c.story_id, best_sim, v.published_at, st.end_time, list_sort(list_distinct({STEM_SQL.format(NORM_SQL.replace('title', 'v.title'))})) AS a, list_sort(list_distinct({STEM_SQL.format(NORM_SQL.replace('title', 'st.title'))})) AS b
+      FROM c JOIN v ON v.id = c.query_id JOIN st ON st.story_id = c.story_id WHERE rank <= 20 AND c.story_id % 4 <> 0 QUALIFY best_sim = max(best_sim) OVER (PARTITION BY c.query_id)),
+{fuzz_sql('t')},
+o AS (SELECT *, {jaccard_sql('a', 'b', '1.0')} AS jac FROM fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fuzz DESC, story_id) = 1),
+x AS (SELECT v.id AS query_id, o.story_id, best_sim, fuzz, jac, CASE WHEN best_sim IS NULL OR (best_sim < 0.74 AND jac <= 0.01 AND fuzz < 45) THEN 'new' WHEN best_sim >= 0.62 OR (best_sim >= 0.54 AND fuzz >= 45) OR fuzz >= 85 OR (fuzz >= 60 AND (jac >= 0.20 OR coalesce(abs({HOURS_SQL.format('o.published_at', 'end_time')}) <= 6, false))) THEN 'merge' ELSE 'new' END AS action FROM v LEFT JOIN o ON o.query_id = v.id)
+SELECT query_id, action, CASE WHEN action = 'merge' THEN story_id END AS story_id, round(best_sim, 5) AS best_sim, round(fuzz, 4) AS fuzz, round(jac, 6) AS jac FROM x""")
+def cluster_decisions(spark, d):
+    """X14 to X17 with the fuzzy ratio, every vector being a query."""
+    v = ad.embedded_articles(spark, d)
+    out = cl.cluster_dry_run(v, v, v.select(F.col("id").alias("article_id"), "story_id"), _named_stories(spark, d))
+    return out.select("query_id", "action", "story_id", F.round("best_sim", 5).alias("best_sim"), F.round("fuzz", 4).alias("fuzz"), r6("jac").alias("jac"))
+
+
 @query()
 def cluster_write(spark, d):
     v = ad.embedded_articles(spark, d).withColumn("story_id", F.col("story_id").cast("long"))

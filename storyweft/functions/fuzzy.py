@@ -53,8 +53,9 @@ def _letters(text: Column) -> Column:
 def common_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two texts of ASCII letters, digits and blanks.
 
-    The rows of the usual table are bits: words of BITS characters of a, kept in an array.  A character of b updates them
-    with one addition and its carry; masks say where in a each character stands, and are made by replacing the others.
+    The rows of the usual table are bits, in words of BITS characters of the shorter text (mostly one).  A character of the
+    other updates them with one addition and its carry; masks say where in the shorter text each character stands, and
+    are made by replacing the others.
     """
 
     def mask(part: Column, c: Column) -> Column:
@@ -72,19 +73,34 @@ def common_length(a: Column, b: Column) -> Column:
         none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("carry"))
         return F.aggregate(F.sequence(F.lit(0), F.size(full) - 1), none, word, lambda s: s["out"])
 
-    def counted(q: Column) -> Column:
-        letters = F.array_distinct(_letters(q["a"]))
-        masks = F.map_from_arrays(letters, F.transform(letters, lambda c: F.transform(q["parts"], lambda p: mask(p, c))))
-        bound = F.struct(masks.alias("masks"), F.transform(q["parts"], lambda p: F.pow(F.lit(2.0), F.length(p)).cast("long") - 1).alias("full"), q["b"].alias("b"))
+    all_ones = lambda p: F.pow(F.lit(2.0), F.length(p)).cast("long") - 1
+    left_over = lambda f, v: F.bit_count(f.bitwiseAND(F.bitwise_not(v)))
 
-        def rows(t: Column) -> Column:
-            last = F.aggregate(_letters(t["b"]), t["full"], lambda v, c: F.when(F.element_at(t["masks"], c).isNull(), v).otherwise(updated(v, F.element_at(t["masks"], c), t["full"])))
-            return F.aggregate(F.zip_with(t["full"], last, lambda f, v: F.bit_count(f.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, x: n + x)
+    def one_word(q: Column) -> Column:
+        masks = F.map_from_arrays(q["letters"], F.transform(q["letters"], lambda c: mask(q["a"], c)))
+        met = _let(masks, lambda m: F.transform(_letters(q["b"]), lambda c: F.coalesce(F.element_at(m, c), F.lit(0).cast("long"))))
+        step = lambda f: lambda v, m: (v + v.bitwiseAND(m)).bitwiseAND(f).bitwiseOR(v - v.bitwiseAND(m))
+        return _let(all_ones(q["a"]), lambda f: left_over(f, F.aggregate(met, f, step(f))))
 
-        return _let(bound, rows)
+    def words(q: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(q["a"]) - 1) / BITS).cast("int")), lambda k: F.substring(q["a"], k * BITS + 1, F.lit(BITS)))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / BITS).cast("int")), lambda k: F.substring(a, k * BITS + 1, F.lit(BITS)))
-    return F.when((a == "") | (b == ""), 0).otherwise(_let(F.struct(a.alias("a"), b.alias("b"), parts.alias("parts")), counted))
+        def counted(parts: Column) -> Column:
+            masks = F.map_from_arrays(q["letters"], F.transform(q["letters"], lambda c: F.transform(parts, lambda p: mask(p, c))))
+            met = _let(masks, lambda m: F.filter(F.transform(_letters(q["b"]), lambda c: F.element_at(m, c)), lambda x: x.isNotNull()))
+
+            def rows(full: Column) -> Column:
+                return F.aggregate(F.zip_with(full, F.aggregate(met, full, lambda v, m: updated(v, m, full)), left_over), F.lit(0), lambda n, x: n + x)
+
+            return _let(F.transform(parts, all_ones), rows)
+
+        return _let(parts, counted)
+
+    shorter = F.length(a) <= F.length(b)
+    sides = F.struct(F.when(shorter, a).otherwise(b).alias("a"), F.when(shorter, b).otherwise(a).alias("b"))
+    both = lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), F.array_distinct(_letters(q["a"])).alias("letters"))
+    ways = lambda q: F.when(q["a"] == "", 0).when(F.length(q["a"]) <= BITS, one_word(q)).otherwise(words(q))
+    return _let(sides, lambda q: _let(both(q), ways))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
