@@ -195,13 +195,36 @@ def pipeline_probe(spark, d):
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS avg_k, CAST(sum(CASE WHEN CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 50 THEN 1 ELSE 0 END) AS BIGINT) AS n_high FROM events GROUP BY ALL")
 def gap_daily(spark, d):
     e = ad.read(spark, d, "events").select(F.col("ts").alias("created_at"), F.col("props").alias("metrics"))
-    return ev.gap_daily(e).select("day", "n", r6("avg_k").alias("avg_k"), "n_high")
+    return ev.json_daily(e, ("avg_k", "avg", "metrics", "k"), ("n_high", 50, "metrics", "k")).select("day", "n", r6("avg_k").alias("avg_k"), "n_high")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type AS eval_type, max(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS max_k FROM events GROUP BY ALL")
 def params_daily(spark, d):
     e = ad.read(spark, d, "events").select(F.col("ts").alias("created_at"), F.col("event_type").alias("eval_type"), F.concat(F.lit('{"weights": '), F.col("props"), F.lit("}")).alias("params"))
-    return ev.params_daily(e)
+    return ev.json_daily(e, ("max_k", "max", "params", "weights.k"), by=("eval_type",)).drop("n")
+
+
+def _logs(spark, d):
+    """The evaluation log in its own shape, made of the click stream: even events are checks of gaps, odd ones runs of the top list."""
+    e = ad.read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    gap = F.struct((F.col("k") >= 50).alias("gap_found"), (F.col("k") / 100).alias("dominant_source_ratio"), (F.col("k") % 4).alias("missing_type_count"))
+    top = F.struct(F.col("k").alias("window_hours"), F.when(F.col("k") % 2 == 0, F.col("k") % 48).alias("tau_hours"), F.struct((F.col("k") / 100).alias("hot"), (F.col("k") / 200).alias("div")).alias("weights"))
+    even = F.col("event_id") % 2 == 0
+    return e.select(F.col("ts").alias("created_at"), F.when(even, "gap_hints_daily").otherwise("top_events_params").alias("eval_type"), F.when(even, F.to_json(gap)).alias("metrics"), F.when(~even, F.to_json(top)).alias("params"))
+
+
+K_SQL = "SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_id % 2 = {0}"
+
+
+@query(f"SELECT date_trunc('day', ts) AS day, count(*) AS events_checked, count(*) FILTER (k >= 50) AS events_with_gap, round(avg(k / 100), 6) AS avg_dominant_source_ratio, round(avg(k % 4), 6) AS avg_missing_type_count FROM ({K_SQL.format(0)}) GROUP BY ALL")
+def gap_hints_by_day(spark, d):
+    out = ev.gap_hints_daily(_logs(spark, d))
+    return out.select("day", "events_checked", "events_with_gap", r6("avg_dominant_source_ratio").alias("avg_dominant_source_ratio"), r6("avg_missing_type_count").alias("avg_missing_type_count"))
+
+
+@query(f"SELECT date_trunc('day', ts) AS day, count(*) AS runs, max(k) AS window_hours, max(CASE WHEN k % 2 = 0 THEN k % 48 END) AS tau_hours, round(max(k / 100), 6) AS w_hot, round(max(k / 200), 6) AS w_div, CAST(NULL AS DOUBLE) AS w_fresh FROM ({K_SQL.format(1)}) GROUP BY ALL")
+def top_params_by_day(spark, d):
+    return ev.top_events_params_daily(_logs(spark, d)).select("day", "runs", "window_hours", "tau_hours", r6("w_hot").alias("w_hot"), r6("w_div").alias("w_div"), "w_fresh")
 
 
 @query(f"WITH {ad.ARTICLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY published_at DESC NULLS LAST, article_id DESC) AS rn FROM a) SELECT story_id, string_agg(CAST(article_id AS VARCHAR), ' ' ORDER BY rn) AS docs FROM r WHERE rn <= 5 GROUP BY story_id")

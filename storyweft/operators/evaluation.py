@@ -11,8 +11,13 @@ from storyweft.sources.shared import saved, shared_dir
 from storyweft.sources.tablestore import Change, Snapshot, TableStore
 
 
-def rank_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a(id, rank), b(id, rank), both top lists -> overlap, mean rank difference, concordant, discordant, tau."""
+def rank_metrics(a: DataFrame, b: DataFrame, longest: int = 2000) -> DataFrame:
+    """a(id, rank), b(id, rank), both top lists -> overlap, mean rank difference, concordant, discordant, tau.
+
+    Every pair of ids is compared, so lists of over `longest` rows are an error.
+    """
+    if max(x.limit(longest + 1).count() for x in (a, b)) > longest:
+        raise ValueError(f"rank_metrics compares all pairs of two top lists; one has over {longest} rows")
     most = F.greatest(F.max("ra"), F.max("rb")) + 1
     both = a.select("id", F.col("rank").alias("ra")).join(b.select("id", F.col("rank").alias("rb")), "id", "full_outer")
     miss = both.agg(most.alias("missing"))
@@ -96,15 +101,36 @@ def day_of(at: Column) -> Column:
     return F.date_trunc("day", at).cast("timestamp_ntz")
 
 
-def gap_daily(logs: DataFrame) -> DataFrame:
-    """logs(created_at, metrics as JSON) by day: rows, average value, rows whose flag is set."""
-    k = F.get_json_object("metrics", "$.k").cast("double")
-    return logs.groupBy(day_of(F.col("created_at")).alias("day")).agg(F.count("*").alias("n"), F.avg(k).alias("avg_k"), F.sum(F.when(k >= 50, 1).otherwise(0)).alias("n_high"))
+def json_daily(logs: DataFrame, *columns: tuple[str, str | float, str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """logs(created_at, ... and columns of JSON) by day (and by): the number of rows n, and columns (name, what, column, path).
+
+    what is avg or max of a number, max_int of a whole one, true for the rows where it is, or a number that it has to reach.
+    """
+
+    def value(name: str, what: str | float, column: str, path: str) -> Column:
+        x = F.get_json_object(column, f"$.{path}")
+        if what == "true":
+            return F.sum(F.when(F.coalesce(x.cast("boolean"), F.lit(False)), 1).otherwise(0)).alias(name)
+        if what == "max_int":
+            return F.max(x.cast("double").cast("int")).alias(name)
+        if isinstance(what, str):
+            return {"avg": F.avg, "max": F.max}[what](x.cast("double")).alias(name)
+        return F.sum(F.when(x.cast("double") >= what, 1).otherwise(0)).alias(name)
+
+    return logs.groupBy(day_of(F.col("created_at")).alias("day"), *by).agg(F.count("*").alias("n"), *[value(*c) for c in columns])
+
+
+def gap_hints_daily(logs: DataFrame) -> DataFrame:
+    """The log's checks of gaps by day."""
+    of = json_daily(logs.where("eval_type = 'gap_hints_daily'"), ("events_with_gap", "true", "metrics", "gap_found"), ("avg_dominant_source_ratio", "avg", "metrics", "dominant_source_ratio"), ("avg_missing_type_count", "avg", "metrics", "missing_type_count"))
+    return of.withColumnRenamed("n", "events_checked")
 
 
-def params_daily(logs: DataFrame) -> DataFrame:
-    """A10: logs(created_at, eval_type, params as JSON): the largest nested weight by day and type."""
-    return logs.groupBy(day_of(F.col("created_at")).alias("day"), "eval_type").agg(F.max(F.get_json_object("params", "$.weights.k").cast("double")).alias("max_k"))
+def top_events_params_daily(logs: DataFrame) -> DataFrame:
+    """The log's parameters of the top list by day, the largest of each."""
+    whole = [(c, "max_int", "params", c) for c in ("window_hours", "tau_hours")]
+    of = json_daily(logs.where("eval_type = 'top_events_params'"), *whole, *[(f"w_{c}", "max", "params", f"weights.{c}") for c in ("hot", "div", "fresh")])
+    return of.withColumnRenamed("n", "runs")
 
 
 EVAL_LOG = "run_id string, eval_type string, algorithm_name string, algorithm_version string, baseline_name string, baseline_version string, sample_window_hours int, sample_event_ids string, algo_topk string, baseline_topk string, metrics string, params string, notes string, created_at timestamp_ntz"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from storyweft.operators.evaluation import gap_hints_daily, top_events_params_daily
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """A CSV file with a header that has the required columns."""
@@ -86,11 +88,7 @@ def seed_sources(spark: SparkSession) -> DataFrame:
 
 def daily_views(logs: DataFrame) -> None:
     """logs(created_at, eval_type, metrics, params as JSON) as the views vw_gap_hints_daily and vw_top_events_params_daily."""
-    day = F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day")
-    number = lambda c, path: F.get_json_object(c, f"$.{path}").cast("double")
-    gap = logs.where("eval_type = 'gap_hints_daily'").groupBy(day).agg(F.count("*").alias("events_checked"), F.sum(F.when(F.get_json_object("metrics", "$.gap_found").cast("boolean"), 1).otherwise(0)).alias("events_with_gap"), F.avg(number("metrics", "dominant_source_ratio")).alias("avg_dominant_source_ratio"), F.avg(number("metrics", "missing_type_count")).alias("avg_missing_type_count"))
-    top = logs.where("eval_type = 'top_events_params'").groupBy(day).agg(*[F.max(number("params", c).cast("int")).alias(c) for c in ("window_hours", "tau_hours")], *[F.max(number("params", f"weights.{c}")).alias(f"w_{c}") for c in ("hot", "div", "fresh")], F.count("*").alias("runs"))
-    named_views({"vw_gap_hints_daily": gap.orderBy(F.col("day").desc()), "vw_top_events_params_daily": top.orderBy(F.col("day").desc())})
+    named_views({"vw_gap_hints_daily": gap_hints_daily(logs).orderBy(F.col("day").desc()), "vw_top_events_params_daily": top_events_params_daily(logs).orderBy(F.col("day").desc())})
 
 
 def seeded(table: DataFrame, seeds: DataFrame, key: str = "url") -> DataFrame:

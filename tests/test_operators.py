@@ -132,6 +132,8 @@ def test_judge(spark):
 def test_rank_metrics(spark):
     ranks = lambda ids: spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "id long, rank int")
     r = ev.rank_metrics(ranks([1, 2, 3, 4, 5]), ranks([2, 1, 6, 3, 7])).first()
+    with pytest.raises(ValueError, match="over 3 rows"):
+        ev.rank_metrics(ranks([1, 2, 3, 4]), ranks([1]), longest=3)
     assert (r.overlap, r.mean_rank_delta, r.concordant, r.discordant, r.tau) == (0.6, pytest.approx(1.429, abs=1e-3), 13, 6, pytest.approx(0.368, abs=1e-3))
 
 
