@@ -10,7 +10,7 @@ from storyweft.functions.text import jaccard, tokens_norm
 from storyweft.functions.vectors import nearest
 from storyweft.operators.graph import components
 from storyweft.plans.adapters import hours_between
-from storyweft.sources.shared import saved, shared_dir
+from storyweft.sources.shared import removed, saved, shared_dir
 
 #: From this similarity on a query merges whatever else there is.
 LOW = 0.62
@@ -127,7 +127,10 @@ def cluster(queries: DataFrame, articles: DataFrame, links: DataFrame, stories:
     top = stories.agg(F.coalesce(F.max("story_id"), F.lit(0)).alias("top"))
     fresh = done.where("action = 'new'").select(F.col("place").alias("starter"), F.row_number().over(W.orderBy("place")).alias("number"))
     out = done.join(fresh, "starter", "left").crossJoin(F.broadcast(top))
-    return out.select("article_id", "action", F.coalesce("story_id", F.col("top") + F.col("number")).cast("long").alias("story_id"))
+    out = out.select("article_id", "action", F.coalesce("story_id", F.col("top") + F.col("number")).cast("long").alias("story_id"))
+    out = saved(out, f"{shared_dir(queries.sparkSession)}/round")
+    removed(queries.sparkSession, work)
+    return out
 
 
 def replayed(queries: pd.DataFrame, n: int) -> list[tuple]:

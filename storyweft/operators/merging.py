@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from storyweft.functions import lexicons as lex
 from storyweft.functions.text import jaccard, tokens_word
 from storyweft.plans.adapters import hours_between
-from storyweft.sources.shared import saved, shared_dir
+from storyweft.sources.shared import noted_dirs, removed, saved, shared_dir
 
 URL = r"(?i)https?://\S+|www\.\S+"
 
@@ -149,8 +149,18 @@ def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int =
 
     Pairs come from an inverted index without the tokens that over max_df_ratio of the stories have, and lie within the
     window (an hour at least); weights are relative to the largest weight of any pair, whatever its distance.  Where no
-    token is in two stories' lists, and fallback is set, title pairs step in.  Signatures are computed once and saved.
+    token is in two stories' lists, and fallback is set, title pairs step in.  Signatures are computed once and saved; of
+    what is saved on the way only the top_k pairs stay.
     """
+    with noted_dirs() as made:
+        out = _scored_pairs(stories, window_hours, top_k, max_df_ratio, min_overlap, fallback)
+        out = saved(out, f"{shared_dir(stories.sparkSession)}/candidates")
+    for path in made[:-1]:
+        removed(stories.sparkSession, path)
+    return out
+
+
+def _scored_pairs(stories: DataFrame, window_hours: float, top_k: int, max_df_ratio: float, min_overlap: int, fallback: bool) -> DataFrame:
     work = shared_dir(stories.sparkSession)
     window_hours = max(1, window_hours)
     stories = saved(stories.select("story_id", "title", "ts", "signature"), f"{work}/stories")

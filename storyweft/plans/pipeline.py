@@ -107,5 +107,5 @@ def cluster_until_converged(articles: DataFrame, links: DataFrame, stories: Data
 
 
 def run_merge_pipeline(stories: DataFrame, cache: DataFrame | None = None, **options) -> DataFrame:
-    """Signatures are in stories; candidates, then judgement, as one lazy plan."""
+    """Signatures are in stories; candidates, which are found at once, then their judgement."""
     return merge_judge(merge_candidates(stories, **options), cache)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from storyweft.operators.store import upsert
 from storyweft.plans.models import model_answers
-from storyweft.sources.shared import saved, shared_dir
+from storyweft.sources.shared import removed, saved, shared_dir
 from storyweft.sources.tablestore import Change, Snapshot, TableStore
 
 CACHE = "story_id long, lang string, prompt_version string, source_title string, translated_title string, status string, error string, updated_at timestamp_ntz"
@@ -89,11 +89,12 @@ def translated(store: TableStore, stories: DataFrame, now, lang: str = "zh", pro
         answers = answers.withColumn("translated_title", F.when(fine, text)).withColumn("error", F.when(fine, None).otherwise(F.coalesce("error", F.lit("no title")))).withColumn("status", F.when(fine, "SUCCESS").otherwise("ERROR"))
         answers = answers.join(asked.select("story_id", "source_title"), "story_id")
         made = row(answers, translated_title=F.col("translated_title"), error=F.col("error"))
-        made = saved(made, f"{shared_dir(store.spark)}/answers")  # so that nothing is asked for again when another writer comes first
+        made = saved(made, answered := shared_dir(store.spark))  # so that nothing is asked for again when another writer comes first
 
         def ends(at: Snapshot) -> Change:
             held = cached(at).where((F.col("status") == "PENDING") & (F.col("updated_at") == at_now)).select(*keys, "source_title")
             return {table: ("replace", upsert(cached(at), made.join(held, [*keys, "source_title"], "left_semi").select(*names), keys))}
 
         store.change(ends)
+        removed(store.spark, answered)
     return translation_state(stories, cached(store.snapshot()), at_now, lang, prompt_version)

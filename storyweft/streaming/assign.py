@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from storyweft.operators.clustering import cluster
 from storyweft.operators.coverage import touch_window
 from storyweft.operators.store import insert_ignore
-from storyweft.sources.shared import saved, shared_dir
+from storyweft.sources.shared import noted_dirs, removed, saved, shared_dir
 from storyweft.sources.tablestore import Change, Snapshot, TableStore
 from storyweft.streaming.ingest import run_available
 
@@ -42,7 +42,11 @@ def assign_batch(store: TableStore, batch: DataFrame, number: int, stream: str =
         all_ = all_.drop("start_time", "end_time").join(touch_window(all_, seen), "story_id")
         return {"articles": ("append", new), "links": ("append", done.select("article_id", "story_id")), "stories": ("replace", all_.select(*[c.split()[0] for c in STORIES.split(", ")]))}
 
-    return store.change(plan, (stream, number))
+    with noted_dirs() as made:
+        done = store.change(plan, (stream, number))
+    for path in made:
+        removed(store.spark, path)
+    return done
 
 
 def assign_stream(rows: DataFrame, store: TableStore, checkpoint: str, stream: str = "articles", **options) -> None:
