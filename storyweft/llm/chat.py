@@ -12,7 +12,8 @@ Spans take budget - system - history - the longest turn's tokens (a quarter of t
 keeps within the budget unless its turns alone are longer.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn, role and text, nulls first, and repeated rows
-are turns of their own; a null conv_id is a conversation; an empty table gives no rows; other columns are ignored.
+are turns of their own; a null conv_id is a conversation; a very long text is written whole, in a window of its own if it
+is longer than the budget, and a very long conversation is one row while it is formatted; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ whole text.  Training takes a sample of labelled rows whose expected size is tra
 task that runs the sequential updates holds a bounded number of rows.  Per-coordinate rates and L1 leave few non-zero
 weights; at most 2**BITS of them go to the driver and are broadcast.  Scoring reads every whole text in Arrow batches.
 
-Defined cases: null and empty texts get the score of the intercept; very long texts are scored whole; labels that are
+Defined cases: a row without a doc_id is scored like any other, is not learned from, and has a null held_out; null and
+empty texts get the score of the intercept; very long texts are scored whole; labels that are
 null are not learned from; of the labels of one doc_id the toxic one counts, and of its texts the least one is learned
 from, so repeated rows do not enlarge the sample; a score of exactly 0.5 is predicted toxic; without any labelled row
 every score is 0; repeated rows are scored each; an empty table gives no rows; other columns are ignored, and ids,
