@@ -33,6 +33,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,8 @@ CACHE, PORTION, FEW_KEYS = 300_000, 4 << 20, 100_000
 MARK = "￿"
 _SPACE = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 WHOLE = rf"{_SPACE}{{3}}|{_SPACE}{{2}}\z|<\|"
+#: A comma or full stop at the end of a word that does not follow a letter or a digit.
+JOINED = r"(?:^|[^\p{L}\p{N}])[,.][ \n]"
 #: ASCII marks that may follow letters; the tokenizer parts them from letters.
 MARKS = ",.;:!?$%&*#()\"-"
 
@@ -66,7 +69,8 @@ class ByteEncoder:
 
     The tokenizer starts a new token at the first of several blanks, and, of two blanks that a word follows, at the second
     one too.  So a text is cut before every space and line break, unless it has three blanks in a row, two at its end, or
-    what could be a special token; such a text is encoded whole.  Different pieces are encoded once and remembered.
+    what could be a special token; such a text is encoded whole.  Commas and full stops after words are pieces, unless
+    the text has one after something else.  Different pieces are encoded once and remembered.
     A new piece of a space, letters and MARKS is cut before the marks; those of letters alone are encoded together, where
     every token that starts with a space starts a piece.  If the counts differ, pieces are encoded one by one.
     """
@@ -81,7 +85,7 @@ class ByteEncoder:
         for token, i in vocabulary.items():
             self.starts[i] = token.startswith("Ġ")
         self.width = 2 if len(self.starts) <= 1 << 16 else 4
-        self.hits = np.zeros(0, np.int32)
+        self.hits, self.known = np.zeros(0, np.int32), {}
         self._forget()
 
     def _forget(self, least: int = 1 << 30) -> None:
@@ -89,9 +93,11 @@ class ByteEncoder:
         kept = np.nonzero(self.hits >= least)[0] if least < 1 << 30 else np.zeros(0, np.int64)
         if len(kept) > CACHE // 2:
             kept = kept[:0]
-        pieces = _listed(pa.array(list(self.known), pa.string()).take(pa.array(kept))) if len(kept) else []
+        chosen = np.zeros(len(self.hits), bool)
+        chosen[kept] = True
+        pieces = list(compress(self.known, chosen.tolist())) if len(kept) else []
         ids, n = (gathered(self.ids, self.at[kept], self.n[kept]), self.n[kept]) if len(kept) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
-        self.known: dict[str, int] = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.known = dict(zip(pieces, range(len(pieces)), strict=True))
         self.ids, self.n, self.at, self.hits = ids, n, np.cumsum(n) - n, np.ones(len(n), np.int32)
 
     def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
@@ -136,16 +142,19 @@ class ByteEncoder:
             parts = [self(pa.array([t]))[0] if not o else self._each([t])[0] for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
             return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         marked = pc.replace_substring(pc.replace_substring(texts, " ", f"{MARK} "), "\n", f"{MARK}\n")
+        apart = pc.replace_substring(pc.replace_substring(marked, f",{MARK}", f"{MARK},{MARK}"), f".{MARK}", f"{MARK}.{MARK}")
+        marked = pc.if_else(pc.match_substring_regex(texts, JOINED), marked, apart)
         marked = pc.if_else(pc.match_substring_regex(texts, WHOLE), texts, marked)
         pieces = pc.split_pattern(marked, MARK)
         coded = pieces.flatten().dictionary_encode()
         if len(self.known) > CACHE:
             self._forget(2)
         listed = _listed(coded.dictionary)
-        if new := [p for p in listed if p not in self.known]:
-            self._learn(new)
-        known = self.known
-        slot = np.fromiter((known[p] for p in listed), np.int64, len(listed))
+        slot = np.array(list(map(self.known.get, listed, repeat(-1))), np.int64)
+        if len(new := np.nonzero(slot < 0)[0]):
+            unknown = [listed[k] for k in new.tolist()]
+            self._learn(unknown)
+            slot[new] = list(map(self.known.get, unknown))
         self.hits[slot] += 1
         slot = slot[coded.indices.to_numpy()]
         n = self.n[slot]

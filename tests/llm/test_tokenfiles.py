@@ -17,7 +17,7 @@ PATH = public_tokenizers.path(tf.TOKENIZER)
 
 def test_pieces_encode_as_the_whole(spark):
     rng, plain = random.Random(3), Tokenizer.from_file(PATH)
-    parts = ["a", "the", " ", "  ", "   ", "\n", "\n\n", "\t", " \n", "\n ", "\r\n", "\xa0", "　", "'s", "don't", ",", "!!", "12", "é", "日本", "𝄞", "<|endoftext|>", "<|", "A", "\x1c", "​", "\x85", tf.MARK, "ing", "́", "ß", "(", "1a", " ²"]
+    parts = ["a", "the", ".", " ", "  ", "   ", "\n", "\n\n", "\t", " \n", "\n ", "\r\n", "\xa0", "　", "'s", "don't", ",", "!!", "12", "é", "日本", "𝄞", "<|endoftext|>", "<|", "A", "\x1c", "​", "\x85", tf.MARK, "ing", "́", "ß", "(", "1a", " ²"]
     texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000))]
     for cache in (tf.CACHE, 10):  # with a small one the pieces are forgotten
         encode = tf.ByteEncoder(PATH)
