@@ -570,10 +570,18 @@ def cluster_write(spark, d):
     return cl.cluster(cl.newest_unassigned(v, links, ad.as_of()), v, links, stories, m=200)
 
 
-@query()
+#: Checksum of an ASCII text t by its bits: a step for each character, then one for each of its bits.
+CRC_SQL = "CAST(xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(t, ''), lambda c: list_prepend(CAST(1000 + ascii(c) AS UBIGINT), list_transform(range(8), lambda b: 0::UBIGINT))))), lambda s, x: CASE WHEN x > 0 THEN xor(s, x - 1000) ELSE xor(s >> 1, (s & 1) * 3988292384::UBIGINT) END)) AS BIGINT)"
+
+
+@query(f"""WITH {ad.TITLED_SQL}, w AS (SELECT id, unnest({STEM_SQL.format(NORM_SQL)}) AS t FROM d), h AS (SELECT id, {CRC_SQL} AS h FROM w), c AS (SELECT id, h % 384 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM h GROUP BY ALL),
+g AS (SELECT id, count(*) FILTER (n <> 0) AS nonzero, CAST(sum(sign(n) * i) AS BIGINT) AS signs, count(*) FILTER (n <> 0) > 0 AS filled FROM c GROUP BY id)
+SELECT id, 384 AS width, coalesce(nonzero, 0) AS nonzero, coalesce(signs, 0) AS signs, CASE WHEN filled THEN 1.0::DOUBLE ELSE 0.0 END AS norm2 FROM d LEFT JOIN g USING (id)""")
 def embed_titles(spark, d):
     a = ad.titled_articles(spark, d)
-    return embed(a, tx.tokens_norm(F.col("title"))).select("id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 5).alias("norm2"))
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    places = F.aggregate(F.transform("embedding", lambda x, i: F.signum(x).cast("long") * i), F.lit(0).cast("long"), lambda s, x: s + x)
+    return embed(a, tx.tokens_norm(F.col("title"))).select("id", F.size("embedding").alias("width"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nonzero"), places.alias("signs"), F.round(square, 5).alias("norm2"))
 
 
 AUDIT_SQL = f"""{TOP_SQL.strip().removeprefix('WITH')}, tt AS (SELECT story_id, title FROM t ORDER BY score DESC, last_seen_at DESC NULLS LAST, story_id DESC LIMIT 5),
