@@ -49,7 +49,7 @@ TOKENIZER, END, MAGIC = "byte_bpe_50k.json", 0, "SWTOKEN1"
 FOOTER = "<IIQQQ"
 ROWS = "shard int, at int, doc_id long, local long, offset long, n_tokens long, ids_crc32 long"
 #: Pieces of text that a worker remembers, bytes of text that it encodes at once, and how many keys may be sent to all executors.
-CACHE, PORTION, FEW_KEYS = 300_000, 4 << 20, 100_000
+CACHE, PORTION, FEW_KEYS = 200_000, 2 << 20, 100_000
 #: A mark that no text that is split holds, and what keeps a text from being split (see ByteEncoder).
 MARK = "￿"
 _SPACE = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -191,7 +191,7 @@ def read_shard(raw: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarra
     return shard, [None] * nulls + keys[nulls:].tolist(), counts, np.frombuffer(raw, f"<u{width}", tokens)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 16 << 20) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 12 << 20) -> None:
     """docs(doc_id, text) as shard files below path."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -375,7 +375,7 @@ def write_index(rows: DataFrame, path: str, bucket_keys: int = 4096) -> None:
     keyed.groupBy("bucket").applyInPandas(build, "bucket int, buckets int, mph binary").write.mode("overwrite").parquet(f"{path}/index")
 
 
-def token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 16 << 20, bucket_keys: int = 4096) -> DataFrame:
+def token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shard_bytes: int = 12 << 20, bucket_keys: int = 4096) -> DataFrame:
     """Writes docs(doc_id, text) as shard files and index below path; gives what reading them back shows by document (see with_places)."""
     spark = docs.sparkSession
     write_shards(docs, path, tokenizer, shard_bytes)
