@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
