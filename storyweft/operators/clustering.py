@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from storyweft.functions.fuzzy import token_set, token_set_ratio
 from storyweft.functions.text import jaccard, tokens_norm
-from storyweft.functions.vectors import nearest
+from storyweft.functions.vectors import nearest, nearest_stories
 from storyweft.operators.graph import components
 from storyweft.plans.adapters import hours_between
 from storyweft.sources.shared import removed, saved, shared_dir
@@ -21,8 +21,7 @@ def candidate_stories(queries: DataFrame, articles: DataFrame, links: DataFrame,
 
     A cap on articles per story keeps a story's most similar ones, so it cannot change the maximum; none is applied.
     """
-    near = nearest(queries, articles, m, days).join(links.select("article_id", "story_id"), "article_id")
-    per = near.groupBy("query_id", "story_id").agg(F.max("sim").alias("best_sim"), F.max_by("article_id", F.struct("sim", -F.col("article_id"))).alias("via_article_id"))
+    per = nearest_stories(queries, articles, links, m, days).select("query_id", "story_id", F.col("sim").alias("best_sim"), F.col("article_id").alias("via_article_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("best_sim").desc(), F.col("story_id")))
     return per.withColumn("rank", rank).where(F.col("rank") <= n)
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from storyweft.functions import vectors
 from storyweft.functions.fuzzy import token_set
 from storyweft.functions.vectors import nearest
 from storyweft.operators import clustering as cl
@@ -108,3 +109,27 @@ def test_neighbours_have_the_same_width(spark):
     a = spark.createDataFrame(rows, ARTICLES)
     for days in (None, 7):
         assert sorted((r.query_id, r.article_id) for r in nearest(a, a, 5, days).collect()) == [(1, 2), (2, 1), (3, 4), (4, 3)]
+
+
+def test_rows_of_neighbours_do_not_grow_with_blocks(spark):
+    """What leaves the tasks is as long as the result, however many blocks a query meets; ties, several stories and none included."""
+    rng = random.Random(5)
+    n, m = 900, 7
+    vector = lambda: [rng.choice((-1.0, 1.0)) for _ in range(4)] if rng.random() < 0.7 else [float(k == 0) for k in rng.sample(range(4), 4)]  # noqa: E731  (exact when of unit length)
+    rows = [(k, "", NOW - timedelta(hours=rng.randrange(400)), vector()) for k in range(n)]
+    a = spark.createDataFrame(rows, ARTICLES).repartition(9).select("id", "published_at", "embedding")
+    links = [(k, s) for k in range(n) for s in rng.sample(range(40), rng.choice([0, 1, 1, 3]))]
+    told = spark.createDataFrame(links + links[:50], "article_id long, story_id int")
+    of = {k: {s for x, s in links if x == k} for k in range(n)}
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, _, _, v in rows}
+    for days in (None, 5):
+        assert vectors._met(a, a, m, days, 64).count() == n * m
+        want = set()
+        for k, _, at, _ in rows:
+            near = [(-round(float(unit[k] @ unit[x]), 9), x) for x, _, when, _ in rows if x != k and (days is None or abs(at - when) <= timedelta(days=days))]
+            for s in {s for _, x in sorted(near)[:m] for s in of[x]}:
+                sim, x = min(p for p in sorted(near)[:m] if s in of[p[1]])
+                want.add((k, s, -sim, x))
+        got = vectors.nearest_stories(a, a, told, m, days, block=64)
+        assert got.schema["story_id"].dataType.typeName() == "integer"
+        assert {(r.query_id, r.story_id, round(r.sim, 9), r.article_id) for r in got.collect()} == want
