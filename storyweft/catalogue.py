@@ -100,8 +100,10 @@ def rank_agreement(spark, d):
 @query("""SELECT o_orderkey AS story_id, count(l_orderkey) AS articles_count, count(DISTINCT l_suppkey) AS sources_count, min(l_shipdate) AS start_time, coalesce(max(l_shipdate), o_orderdate) AS last_seen_at
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate""")
 def story_lifetime(spark, d):
-    o, line = ad.read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ad.read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
-    return o.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.col("o_orderkey").alias("story_id"), "o_orderdate").agg(F.count("l_orderkey").alias("articles_count"), F.countDistinct("l_suppkey").alias("sources_count"), F.min("l_shipdate").alias("start_time"), F.max("l_shipdate").alias("m")).select("story_id", "articles_count", "sources_count", "start_time", F.coalesce("m", "o_orderdate").alias("last_seen_at"))
+    o = ad.read(spark, d, "orders").groupBy("o_orderkey", "o_orderdate").agg(F.count("*").alias("times"))
+    per = cov.lifetimes(ad.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("story_id"), F.col("l_suppkey").alias("source_id"), F.col("l_shipdate").alias("published_at")))
+    both = o.join(per, F.col("o_orderkey") == F.col("story_id"), "left")
+    return both.select(F.col("o_orderkey").alias("story_id"), F.coalesce(F.col("articles_count") * F.col("times"), F.lit(0)).alias("articles_count"), F.coalesce("sources_count", F.lit(0)).alias("sources_count"), "start_time", F.coalesce("end_time", "o_orderdate").alias("last_seen_at"))
 
 
 @query("""SELECT l_orderkey AS story_id, l_linenumber AS article_no, s_name AS source, coalesce(n_name, 'Unknown') AS country, l_shipdate AS published_at,

@@ -154,3 +154,16 @@ def story_detail(story_id: int, articles: DataFrame, stories: DataFrame, sources
     listed = listed.withColumn("type", effective_type(F.col("article_type"), "list")).orderBy("position")
     coverage = coverage_matrix(own, sources)
     return {"summary": summary, "articles": listed, "coverage": coverage, "totals": coverage_totals(coverage), "gaps": gap_hints(own, sources), "histograms": diversity_histograms(ordered, shown)}
+
+
+def lifetimes(articles: DataFrame) -> DataFrame:
+    """articles(story_id, source_id, published_at) -> story_id, articles_count, sources_count, start_time, end_time of every story that has an id.
+
+    One sort by story and source serves all of it, so no task holds its stories in a hash table.
+    """
+    in_order = W.partitionBy("story_id").orderBy("source_id")
+    all_ = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    new = F.col("source_id").isNotNull() & ~F.lag("source_id").over(in_order).eqNullSafe(F.col("source_id"))
+    rows = articles.where("story_id IS NOT NULL").select("story_id", "source_id", "published_at", new.cast("long").alias("new"), F.row_number().over(in_order).alias("nth"))
+    of = (F.count("*").over(all_).alias("articles_count"), F.sum("new").over(all_).alias("sources_count"), F.min("published_at").over(all_).alias("start_time"), F.max("published_at").over(all_).alias("end_time"))
+    return rows.select("story_id", "nth", *of).where("nth = 1").drop("nth")

@@ -144,3 +144,22 @@ def test_embedded_titles_are_signed_counts(spark):
             want[h % 384] += 1.0 if h >> 31 else -1.0
         norm = sum(x * x for x in want) ** 0.5 or 1.0
         assert all(abs(x - y / norm) < 1e-6 for x, y in zip(r.embedding, want))
+
+
+def test_lifetimes_sort_once(spark):
+    rows = [(1, 5, datetime(2024, 1, 2)), (1, None, datetime(2024, 1, 9)), (1, 5, None), (1, 4, datetime(2024, 1, 1)), (2, None, None), (None, 3, datetime(2024, 1, 1))]
+    articles = spark.createDataFrame(rows, "story_id long, source_id long, published_at timestamp_ntz")
+    got = cov.lifetimes(articles)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 2, datetime(2024, 1, 1), datetime(2024, 1, 9)), (2, 1, 0, None, None)]
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_story_lifetime_of_repeated_orders(spark, tmp_path):
+    from storyweft.catalogue import QUERIES
+
+    at = datetime(2024, 1, 5)
+    spark.createDataFrame([(1, at), (1, at), (2, at), (None, at)], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 7, datetime(2024, 1, 6)), (1, 7, datetime(2024, 1, 8)), (3, 7, at), (None, 7, at)], "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["story_lifetime"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 4, 1, datetime(2024, 1, 6), datetime(2024, 1, 8)), (2, 0, 0, None, at), (None, 0, 0, None, at)]
