@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from storyweft.functions import lexicons as lex
@@ -88,27 +90,33 @@ def lexical_pairs(stories: DataFrame, window_hours: float, least: float = 0.2) -
     return both.select("a", "b", alike.alias("weight"), F.lit(0).cast("long").alias("overlap"), F.lit(None).cast("long").alias("df_min"), "ts_a", "ts_b").where(F.col("weight") >= least)
 
 
-def _weights(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    """Pairs a, b of two aliased posting lists with weight, overlap, df_min and both times."""
-    pairs = a.join(b, on).groupBy(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"))
-    return pairs.agg(F.sum("a.idf").alias("weight"), F.count("*").alias("overlap"), F.min("a.df").alias("df_min"), F.min("a.ts").alias("ts_a"), F.min("b.ts").alias("ts_b"))
+#: How much longer the posting lists of each step of a threshold search may be.
+STEP = 32
+
+
+def _own(post: DataFrame, *columns: str) -> DataFrame:
+    """post(story_id, token, df, idf) -> story_id, columns, own: the tokens that other stories may share as structs (df, token, idf), rarest first."""
+    return post.where("df > 1").groupBy("story_id", *columns).agg(F.sort_array(F.collect_list(F.struct("df", "token", "idf"))).alias("own"))
+
+
+def _total(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0.0), lambda s, x: s + x["idf"])
 
 
-def gated_pairs(post: DataFrame, window_hours: float) -> DataFrame:
-    """Pairs within the window.  Lists are cut into time buckets as long as the window, so a story meets its own bucket and the one before.
+def _alive(sets: DataFrame, low: int, least: float) -> DataFrame:
+    """The columns of sets, token and df: a row for each token in over `low` stories from which on own weighs at least `least`.
 
-    Stories without a time are as far from all others as the gate's 9999 hours say.
+    The first token that two stories share, in the order of own, is followed by all others, so a pair that weighs `least`
+    meets there.
     """
-    if window_hours >= 9999:
-        return _weights(post.alias("a"), post.alias("b"), (F.col("a.token") == F.col("b.token")) & _newer())
-    post = post.where("ts IS NOT NULL").withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (3.6e9 * window_hours)))
-    older = post.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    near = hours_between(F.col("a.ts"), F.col("b.ts")) <= window_hours
-    return _weights(post.alias("a"), older.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & near & _newer())
+    at = F.transform("own", lambda x, i: F.struct(x["token"].alias("token"), x["df"].alias("df"), _total(F.slice("own", i + 1, F.size("own"))).alias("rest")))
+    some = sets.select("*", F.explode(F.filter(at, lambda x: (x["df"] > low) & (x["rest"] >= least))).alias("at"))
+    return some.select(*sets.columns, "at.token", "at.df")
 
 
-#: How much longer the posting lists of each step of largest_weight() may be.
-STEP = 32
+def _common() -> Column:
+    """What aliases a and b share, rarest first."""
+    return F.array_intersect("a.own", "b.own")
 
 
 def largest_weight(post: DataFrame, least: float = 0.0, made: list[int] | None = None) -> float | None:
@@ -118,32 +126,106 @@ def largest_weight(post: DataFrame, least: float = 0.0, made: list[int] | None =
     met yet shares only tokens of the steps to come, so it weighs at most what either story has left in these; stories
     with less than the best pair so far drop out before each step, and the search ends when no token has two left.  Lists
     of the first step are short, so its pairs are linear in the stories, and the best of them leaves few for the others.
+    Stories with the same tokens count once; two of them are a pair of which the weight is known beforehand.
     A story has a signature's few tokens, which travel with it, so pairs are weighed where they meet; what comes to the
     driver is two numbers a step, of which the number of pairs is appended to `made`.
     """
-    order = W.partitionBy("story_id").orderBy("df", "token")
-    rest = F.sum("idf").over(order.rowsBetween(0, W.unboundedFollowing))
-    own = F.map_from_entries(F.collect_list(F.struct("token", "idf")).over(W.partitionBy("story_id")))
-    lists = saved(post.where("df > 1").select("story_id", "token", "df", "idf", rest.alias("rest"), own.alias("own")), f"{shared_dir(post.sparkSession)}/lists")
-    ends = lists.agg(F.max("df").alias("df"), F.max("idf").alias("idf")).first()
+    sets = _own(post).groupBy("own").agg(F.min("story_id").alias("story_id"), F.count("*").alias("n"))
+    sets = saved(sets, f"{shared_dir(post.sparkSession)}/sets")
+    ends = sets.agg(F.max(F.element_at("own", -1)["df"]).alias("df"), F.max(F.element_at("own", 1)["idf"]).alias("idf"), F.max(F.when(F.col("n") > 1, _total(F.col("own")))).alias("twice")).first()
     if ends["df"] is None:
         return least or None
-    best = max(least, ends["idf"] - 1e-9)  # some pair shares the token of that idf
+    best = max(least, ends["idf"] - 1e-9, ends["twice"] or 0.0)  # some pair shares the token of that idf
+    sets = sets.drop("n")
     low, high = 1, STEP
     while True:
-        alive = lists.where((F.col("df") > low) & (F.col("rest") > best - 1e-9))
-        step = alive.where(F.col("df") <= high).select("token", "story_id", "own")
+        step = _alive(sets, low, best - 1e-9).where(F.col("df") <= high)
         a, b = step.alias("a"), step.alias("b")
-        weight = F.aggregate(F.array_intersect(F.map_keys("a.own"), F.map_keys("b.own")), F.lit(0.0), lambda s, t: s + F.element_at("a.own", t))
-        found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.story_id") < F.col("b.story_id"))).agg(F.max(weight).alias("w"), F.count("*").alias("n")).first()
+        found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.story_id") < F.col("b.story_id"))).agg(F.max(_total(_common())).alias("w"), F.count("*").alias("n")).first()
         best = max(best, found["w"] or 0.0)
         if made is not None:
             made.append(found["n"])
-        if high >= ends["df"] or lists.where((F.col("df") > high) & (F.col("rest") > best - 1e-9)).groupBy("token").count().where("count > 1").isEmpty():
+        if high >= ends["df"] or _alive(sets, high, best - 1e-9).groupBy("token").count().where("count > 1").isEmpty():
             return best
         low, high = high, high * STEP
 
 
+class _Scores:
+    """What a pair's weight, distance in hours and titles add to its score."""
+
+    def __init__(self, top: float | None, window_hours: float, top_k: int, min_overlap: int):
+        self.top, self.window_hours, self.top_k, self.min_overlap = top, window_hours, top_k, min_overlap
+
+    def known(self) -> Column:
+        """The score without the titles, which add at most 0.20."""
+        return 0.70 * F.least(F.lit(1.0), F.col("weight") / F.lit(self.top).cast("double")) + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / self.window_hours)
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        hours = F.coalesce(F.abs(hours_between(F.col("ts_a"), F.col("ts_b"))), F.lit(9999.0))
+        out = pairs.where((F.col("overlap") == 0) | (F.col("overlap") >= self.min_overlap)).withColumn("hours", hours).where(F.col("hours") <= self.window_hours)
+        return out.withColumn("known", self.known())
+
+    def least(self, pairs: DataFrame, stories: DataFrame) -> float:
+        """near() pairs -> a score that top_k of them reach, or 0: of the most promising by what is known, the titles are compared."""
+        some = pairs.orderBy(F.col("known").desc()).limit(10 * self.top_k)
+        title = lambda x: stories.select(F.col("story_id").alias(x), tokens_word(F.col("title")).alias(f"words_{x}"))
+        some = some.join(title("a"), "a").join(title("b"), "b").select("weight", F.round(F.col("known") + 0.20 * jaccard(F.col("words_a"), F.col("words_b")), 4).alias("s"))
+        best = some.where((F.col("s") >= 0.10) | (F.col("weight") >= 1.5)).orderBy(F.col("s").desc()).limit(self.top_k)
+        return best.agg(F.when(F.count("*") == self.top_k, F.min("s")).otherwise(0.0).alias("s")).first()["s"]
+
+    def least_weight(self, score: float) -> float:
+        """What a pair has to weigh to reach a score."""
+        return ((score - 5e-5) - 0.30) / 0.70 * (self.top or 0.0) - 1e-9
+
+    def reach(self, score: float) -> float:
+        """How many hours a pair may lie apart to reach a score."""
+        return min(self.window_hours, self.window_hours * (1 - ((score - 5e-5) - 0.90) / 0.10) + 1e-6)
+
+
+def top_pairs(post: DataFrame, stories: DataFrame, scores: _Scores, made: list[int] | None = None) -> DataFrame:
+    """Of the pairs within the window, all that may be among the top_k: a, b, weight, overlap, df_min, ts_a, ts_b.
+
+    The search of largest_weight(), with a score in place of a weight: top_k pairs that are known to reach a score rule out
+    all pairs of too small a weight, and of too long a distance, to reach it.  The first such pairs are neighbours in time
+    among the stories with the same tokens; each step of the search then adds its own.  A pair is weighed once, at the
+    first token that it shares.  Lists are cut into time buckets as long as pairs may lie apart, so a story meets its own
+    bucket and the one before.  Stories without a time are as far from all others as the gate's 9999 hours say.
+    The number of pairs that each step joins is appended to `made`.
+    """
+    work = shared_dir(post.sparkSession)
+    gated = scores.window_hours < 9999
+    sets = saved(_own(post.where("ts IS NOT NULL") if gated else post, "ts"), f"{work}/sets")
+    order = W.partitionBy("own").orderBy("ts", "story_id")
+    twins = sets.select(F.col("story_id").alias("a"), F.col("ts").alias("ts_a"), F.lag("story_id").over(order).alias("b"), F.lag("ts").over(order).alias("ts_b"), _total(F.col("own")).alias("weight"), F.size("own").alias("overlap")).where("b IS NOT NULL")
+    least = scores.least(scores.near(twins), stories) if scores.top else 0.0
+    longest = sets.agg(F.max(F.element_at("own", -1)["df"])).first()[0] or 0
+    found, low, high = [], 1, STEP
+    while True:
+        step = _alive(sets, low, scores.least_weight(least)).where(F.col("df") <= high)
+        reach = scores.reach(least)
+        on = (F.col("a.token") == F.col("b.token")) & _newer()
+        if gated:
+            step = step.withColumn("bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (3.6e9 * max(reach, 0.1))))
+            older = step.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+            on = on & (F.col("a.bucket") == F.col("b.bucket")) & (hours_between(F.col("a.ts"), F.col("b.ts")) <= reach)
+        else:
+            older = step
+        met = step.alias("a").join(older.alias("b"), on).select(F.col("a.story_id").alias("a"), F.col("b.story_id").alias("b"), "a.token", _common().alias("common"), F.col("a.df").alias("df_min"), F.col("a.ts").alias("ts_a"), F.col("b.ts").alias("ts_b"))
+        met = met.where(F.element_at("common", 1)["token"] == F.col("token")).select("a", "b", _total(F.col("common")).alias("weight"), F.size("common").cast("long").alias("overlap"), "df_min", "ts_a", "ts_b")
+        met = scores.near(met)
+        if scores.top:
+            met = met.where(F.round(F.col("known") + 0.20, 4) >= least)
+        met = saved(met, f"{work}/step{high}")
+        found.append(met.drop("known", "hours"))
+        if made is not None:
+            made.append(met.count())
+        if scores.top:
+            least = max(least, scores.least(met, stories))
+        if high >= longest or _alive(sets, high, scores.least_weight(least)).groupBy("token").count().where("count > 1").isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        low, high = high, high * STEP
+
+
 def merge_candidates(stories: DataFrame, window_hours: float = 72, top_k: int = 60, max_df_ratio: float = 0.35, min_overlap: int = 1, fallback: bool = True) -> DataFrame:
     """stories(story_id, title, ts, signature) -> scored pairs (a, b), a being the more recent.
 
@@ -170,14 +252,11 @@ def _scored_pairs(stories: DataFrame, window_hours: float, top_k: int, max_df_ra
     post = saved(stories.select("story_id", "ts", F.explode(F.array_distinct("signature")).alias("token")).join(rare, "token"), f"{work}/postings")
     if fallback and post.where("df > 1").isEmpty():
         pairs = lexical_pairs(stories, window_hours)
-        top = pairs.agg(F.max("weight").alias("top"))
+        scores = _Scores(pairs.agg(F.max("weight").alias("top")).first()["top"], window_hours, top_k, min_overlap)
     else:
-        pairs = saved(gated_pairs(post, window_hours), f"{work}/pairs")
-        top = largest_weight(post, pairs.agg(F.max("weight").alias("w")).first()["w"] or 0.0)
-        top = stories.sparkSession.createDataFrame([(top,)], "top double")
-    hours = F.coalesce(F.abs(hours_between(F.col("ts_a"), F.col("ts_b"))), F.lit(9999.0))
-    out = pairs.where((F.col("overlap") == 0) | (F.col("overlap") >= min_overlap)).crossJoin(F.broadcast(top)).withColumn("hours", hours).where(F.col("hours") <= window_hours)
-    out = out.withColumn("known", 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / window_hours))
+        scores = _Scores(largest_weight(post), window_hours, top_k, min_overlap)
+        pairs = top_pairs(post, stories, scores)
+    out = scores.near(pairs)
     # titles are compared only where the score could be among the top_k: titles add at most 0.20
     sure = out.where((F.col("known") >= 0.10) | (F.col("weight") >= 1.5)).select(F.round("known", 4).alias("s")).orderBy(F.col("s").desc()).limit(top_k)
     least = sure.agg(F.when(F.count("*") == top_k, F.min("s")).otherwise(0.0).alias("least"))
@@ -187,7 +266,7 @@ def _scored_pairs(stories: DataFrame, window_hours: float, top_k: int, max_df_ra
     side = lambda x: sides.select(F.col("story_id").alias(x), tokens_word(F.col("title")).alias(f"words_{x}"), F.col("signature").alias(f"sig_{x}"), F.col("listed").alias(f"listed_{x}"))
     jac = jaccard(F.col("words_a"), F.col("words_b"))
     out = out.join(side("a"), "a").join(side("b"), "b").withColumn("title_jaccard", jac).withColumn("tokens", F.sort_array(F.array_intersect("listed_a", "listed_b")))
-    raw = 0.70 * F.least(F.lit(1.0), F.col("weight") / F.col("top")) + 0.20 * F.col("title_jaccard") + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / window_hours)
+    raw = 0.70 * F.least(F.lit(1.0), F.col("weight") / F.lit(scores.top).cast("double")) + 0.20 * F.col("title_jaccard") + 0.10 * F.greatest(F.lit(0.0), 1 - F.col("hours") / window_hours)
     out = out.withColumn("score", F.round(raw, 4)).where(~((F.col("score") < 0.10) & (F.col("weight") < 1.5)))
     out = out.orderBy(F.col("score").desc(), F.round("weight", 6).desc(), "a", "b").limit(top_k)
     merged = F.slice(F.sort_array(F.array_union("sig_a", "sig_b")), 1, 12)

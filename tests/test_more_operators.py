@@ -163,3 +163,38 @@ def test_story_lifetime_of_repeated_orders(spark, tmp_path):
     spark.createDataFrame([(1, 7, datetime(2024, 1, 6)), (1, 7, datetime(2024, 1, 8)), (3, 7, at), (None, 7, at)], "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["story_lifetime"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=str) == [(1, 4, 1, datetime(2024, 1, 6), datetime(2024, 1, 8)), (2, 0, 0, None, at), (None, 0, 0, None, at)]
+
+
+def test_candidates_are_found_without_all_pairs(spark):
+    """Stories with frequent words and copies: the search joins few of the pairs that share a word, and finds those of all pairs."""
+    import random
+    from collections import Counter
+    from datetime import timedelta
+    from math import log
+
+    rng = random.Random(4)
+    n = 800
+    texts = [sorted({*(f"w{rng.randrange(40)}" for _ in range(8)), *(f"r{rng.randrange(900)}" for _ in range(3))}) for _ in range(n // 2)]
+    rows = [(i, f"alpha beta t{rng.randrange(9)}", datetime(2024, 1, 1) + timedelta(hours=rng.randrange(700)), rng.choice(texts)) for i in range(n)]
+    stories = spark.createDataFrame(rows, "story_id long, title string, ts timestamp_ntz, signature array<string>")
+    df = Counter(t for r in rows for t in r[3])
+    idf = {t: log((n + 1) / (k + 1)) + 1 for t, k in df.items() if k <= int(n * 0.35)}
+    pairs, top = [], 0.0
+    for a in rows:
+        for b in rows:
+            shared = [t for t in a[3] if t in b[3] and t in idf] if (a[2], a[0]) > (b[2], b[0]) else []
+            weight = sum(idf[t] for t in shared)
+            top = max(top, weight)
+            if shared and a[2] - b[2] <= timedelta(hours=72):
+                pairs.append((a, b, weight))
+    words = lambda t: set(t.split())
+    want = []
+    for a, b, weight in pairs:
+        jac = len(words(a[1]) & words(b[1])) / len(words(a[1]) | words(b[1]))
+        want.append((-round(0.7 * min(1, weight / top) + 0.2 * jac + 0.1 * (1 - (a[2] - b[2]).total_seconds() / 3600 / 72), 4), -round(weight, 6), a[0], b[0]))
+    got = [(r.a, r.b, r.score) for r in mg.merge_candidates(stories, top_k=20).collect()]
+    assert [p[:2] for p in got] == [(a, b) for _, _, a, b in sorted(want)[:20]]
+    post = stories.select("story_id", "ts", F.explode("signature").alias("token")).join(spark.createDataFrame([(t, df[t], x) for t, x in idf.items()], "token string, df long, idf double"), "token")
+    made: list[int] = []
+    mg.top_pairs(post, stories, mg._Scores(top, 72, 20, 1), made)
+    assert sum(made) < n < len(pairs) / 20
