@@ -33,13 +33,17 @@ def signature_terms(text: Column, phrases: bool = True) -> Column:
 def signatures(stories: DataFrame, docs: DataFrame, top_n: int = 12, phrases: bool = True) -> DataFrame:
     """stories(story_id, title), docs(story_id, rn, title, summary) -> story_id, signature: the top_n terms by weighted votes.
 
-    Titles of stories weigh 4, of documents 2, summaries 1; ties go to the term seen first.
+    Titles of stories weigh 4, of documents 2, summaries 1; ties go to the term seen first.  Texts are dealt by story, and
+    terms are counted where they are, so a text travels once and its many terms do not.
     """
-    part = lambda order, weight, text: F.struct(F.lit(order).alias("o") if isinstance(order, int) else order.alias("o"), F.lit(weight).alias("w"), signature_terms(text, phrases).alias("t"))
-    rows = stories.select("story_id", part(0, 4, F.col("title")).alias("p")).unionByName(
-        docs.select("story_id", F.explode(F.array(part((2 * F.col("rn") - 1).cast("int"), 2, F.col("title")), part((2 * F.col("rn")).cast("int"), 1, F.col("summary")))).alias("p")))
-    terms = rows.select("story_id", "p.o", "p.w", F.posexplode("p.t").alias("i", "term"))
-    votes = terms.groupBy("story_id", "term").agg(F.sum("w").alias("votes"), F.min(F.struct("o", "i")).alias("first"))
+    part = lambda order, weight, text: F.struct(order.cast("long").alias("o"), F.lit(weight).alias("w"), F.col(text).alias("text"))
+    rows = stories.select("story_id", F.array(part(F.lit(0), 4, "title")).alias("p")).unionByName(
+        docs.select("story_id", F.array(part(2 * F.col("rn") - 1, 2, "title"), part(2 * F.col("rn"), 1, "summary")).alias("p")))
+    # a number of its own, as Spark would join partitions by the size of their texts, and the terms of a task take many times that
+    parts = int(stories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.repartition(parts, "story_id").select("story_id", F.explode("p").alias("p"))
+    terms = texts.select("story_id", "p.o", "p.w", F.posexplode(signature_terms(F.col("p.text"), phrases)).alias("i", "term"))
+    votes = terms.groupBy("story_id", "term").agg(F.sum("w").alias("votes"), F.min(F.col("o") * (1 << 31) + F.col("i")).alias("first"))
     votes = votes.withColumn("rn", F.row_number().over(W.partitionBy("story_id").orderBy(F.col("votes").desc(), F.col("first"))))
     return votes.where(F.col("rn") <= top_n).groupBy("story_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "term"))), lambda x: x.term).alias("signature"))
 

@@ -198,3 +198,11 @@ def test_candidates_are_found_without_all_pairs(spark):
     made: list[int] = []
     mg.top_pairs(post, stories, mg._Scores(top, 72, 20, 1), made)
     assert sum(made) < n < len(pairs) / 20
+
+
+def test_signatures_deal_texts_not_terms(spark):
+    s = spark.createDataFrame([(1, "quake hits port")], "story_id long, title string")
+    d = spark.createDataFrame([(1, 1, "port quake", "harbour wall fell"), (2, 1, None, "flood")], "story_id long, rn int, title string, summary string")
+    out = mg.signatures(s, d, phrases=False)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.story_id: r.signature for r in out.collect()} == {1: ["quake", "port", "hits", "harbour", "wall", "fell"], 2: ["flood"]}
